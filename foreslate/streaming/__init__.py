@@ -1,0 +1,6 @@
+"""Intentionally empty: every forecast here is a batch recompute.
+
+Freshness comes from rerunning over the corrected game log (see
+``foreslate.sources.store.refresh_partition``), so there is no streaming
+operator to provide.
+"""
