@@ -1,6 +1,6 @@
 """Every query by name; importing this module fills the registry."""
 
-from . import aggregate_queries  # noqa: F401
+from . import aggregate_queries, window_queries  # noqa: F401
 from .registry import REGISTRY, Query
 
 __all__ = ["REGISTRY", "Query"]

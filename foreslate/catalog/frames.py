@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from functools import wraps
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import grading as G
+from ..operators import reshape as U
+from ..plans import features as FT
 from ..plans import models as M
 from ..sources.fixtures import Fixture
+from ..sources.store import materialize
 from ..sources.readers import derive_player_columns, derive_report_columns
 
 
@@ -29,7 +31,7 @@ def shared(build):
 
 
 def kept(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return materialize(df, "frame")
 
 
 @shared
@@ -109,3 +111,29 @@ def graded(fx: Fixture) -> DataFrame:
 def priced(fx: Fixture) -> DataFrame:
     """Picks and edges on the stand-in forecasts, with the total columns."""
     return M.total_columns(G.attach_edges(scored(fx)), F.lit(13.3))
+
+
+@shared
+def observed(fx: Fixture) -> DataFrame:
+    """Long schedule with every rolled statistic."""
+    return FT.team_observations(fx.games, team_games(fx))
+
+
+@shared
+def form(fx: Fixture) -> DataFrame:
+    return kept(FT.team_form(fx.games, team_games(fx)))
+
+
+@shared
+def elo(fx: Fixture) -> DataFrame:
+    """A rating with an exact SQL form, standing in for the sequential one."""
+    edge = F.avg(F.col("points_for") - F.col("points_against"))
+    return U.team_points_long(fx.games.where("completed")).groupBy("team").agg(
+        (F.lit(1500) + 10 * edge).alias("elo"), (10 * edge / 25.0).alias("spread_vs_average"))
+
+
+@shared
+def features(fx: Fixture) -> DataFrame:
+    """The full feature table of the fixture."""
+    return kept(FT.build_features(
+        fx.games, team_games(fx), player_weeks(fx), injuries(fx), halves(fx), min_dropbacks=1))

@@ -218,3 +218,249 @@ SELECT *, pick_prob * {payout('pick_odds')} - (1.0 - pick_prob) AS ml_ev,
        CASE WHEN market_total IS NULL THEN '-' WHEN pred_total > market_total THEN 'OVER' ELSE 'UNDER' END AS ou_pick
 FROM edges"""),
 }
+
+SHARED_SQL.update({
+    "usage": ("player_weeks", """
+SELECT *, avg(touches) OVER (PARTITION BY player_id ORDER BY season, week, game_id, team ROWS UNBOUNDED PRECEDING) AS usage_post
+FROM (SELECT player_id, season, week, game_id, team, season * 100 + week AS period, targets + carries AS touches
+      FROM player_weeks WHERE targets + carries > 0)"""),
+    "player_timeline": ("usage", """
+SELECT player_id, period, usage_post FROM usage
+QUALIFY row_number() OVER (PARTITION BY player_id, period ORDER BY game_id DESC, team DESC) = 1"""),
+    "team_timeline": ("usage", "SELECT team, period, sum(usage_post) AS team_usage FROM usage GROUP BY team, period"),
+    "report": ("injuries", f"""
+SELECT *, season * 100 + week AS period,
+       CAST(CASE trim(report_status) {' '.join(f"WHEN '{k}' THEN {v}" for k, v in K.AVAILABILITY.items())} ELSE 1.0 END AS DOUBLE) AS availability
+FROM injuries WHERE gsis_id IS NOT NULL"""),
+    "listed_usage": ("report player_timeline", """
+SELECT r.*, p.usage_post FROM report r ASOF LEFT JOIN player_timeline p
+  ON p.player_id = r.gsis_id AND r.period > p.period"""),
+    "absence": ("listed_usage team_timeline", """
+SELECT c.season, c.week, c.team, c.period, c.missing, t.team_usage,
+       least(greatest(coalesce(CASE WHEN t.team_usage > 0 THEN c.missing / t.team_usage END, 0), 0), 1) AS cost
+FROM (SELECT season, week, team, period, sum((1.0 - availability) * coalesce(usage_post, 0)) AS missing
+      FROM listed_usage GROUP BY season, week, team, period) c
+ASOF LEFT JOIN team_timeline t ON t.team = c.team AND c.period > t.period"""),
+    "gamelog": ("scored", f"""
+SELECT *, greatest(prob_home, 1.0 - prob_home) AS game_confidence,
+  {', '.join(f'''CASE WHEN {p} IS NULL THEN NULL WHEN home_win = 0.5 THEN 0.5 WHEN ({p} > 0.5) = (home_win = 1.0) THEN 1.0 ELSE 0.0 END AS hit_{n},
+  pow({p} - home_win, 2) AS brier_{n}''' for n, p in (("blended", "prob_home"), ("model", "model_prob_home"), ("market", "market_prob_home"), ("elo", "elo_prob_home")))},
+  pred_margin - market_spread AS spread_edge, abs(pred_margin - market_spread) AS abs_edge,
+  CASE WHEN market_spread IS NULL THEN '' WHEN margin - market_spread = 0 THEN 'P'
+       WHEN (pred_margin - market_spread > 0) = (margin - market_spread > 0) THEN 'W' ELSE 'L' END AS ats_result,
+  {', '.join(f'abs(actual_total - {c}) AS err_total_{n}, actual_total - {c} AS signed_total_{n}' for n, c in (("blended", "pred_total"), ("model", "model_total"), ("market", "market_total")))},
+  model_total - market_total AS ou_edge,
+  CASE WHEN market_total IS NULL THEN '' WHEN actual_total - market_total = 0 THEN 'P'
+       WHEN (model_total - market_total > 0) = (actual_total - market_total > 0) THEN 'W' ELSE 'L' END AS ou_result
+FROM scored WHERE completed"""),
+})
+
+
+def record_sql(table: str, edge: str, gap: str, thresholds, where: str, pay: float = 100.0 / 110.0) -> str:
+    """Win, loss and push counts at every threshold."""
+    values = ", ".join(f"({float(t)})" for t in thresholds)
+    return f"""
+SELECT threshold, bets, wins, losses, pushes,
+       wins * 1.0 / nullif(wins + losses, 0) AS win_rate,
+       (wins * CAST({pay!r} AS DOUBLE) - losses) / nullif(wins + losses, 0) AS roi,
+       wins * CAST({pay!r} AS DOUBLE) - losses AS units,
+       1.0 / (1.0 + CAST({pay!r} AS DOUBLE)) AS breakeven
+FROM (
+  SELECT t.threshold, count(*) AS bets,
+         count(*) FILTER (WHERE result > 0) AS wins, count(*) FILTER (WHERE result < 0) AS losses,
+         count(*) FILTER (WHERE result = 0) AS pushes
+  FROM (SELECT {edge} AS edge, CASE WHEN {edge} > 0 THEN {gap} ELSE -({gap}) END AS result FROM {table} WHERE {where}) r
+  JOIN (VALUES {values}) t(threshold) ON abs(r.edge) >= t.threshold
+  GROUP BY t.threshold)"""
+
+
+def metrics_sql(table: str, prob: str, by: str = "") -> str:
+    lead = f"{by}, " if by else ""
+    p = floored("p")
+    return f"""
+SELECT {lead}count(*) AS n, avg({hit(p)}) AS accuracy, avg(pow({p} - home_win, 2)) AS brier,
+       -avg(home_win * ln({p}) + (1 - home_win) * ln(1 - {p})) AS log_loss,
+       avg(greatest({p}, 1 - {p})) AS mean_prob
+FROM (SELECT {lead}home_win, {prob} AS p FROM {table} WHERE home_win IS NOT NULL AND {prob} IS NOT NULL)
+{'GROUP BY ' + by if by else ''}"""
+
+
+def calibration_sql(table: str, prob: str, edges) -> str:
+    p = floored(prob)
+    bands = ", ".join(f"({i}, {lo}, {hi})" for i, (lo, hi) in enumerate(zip(edges, edges[1:])))
+    return f"""
+SELECT low, high, count(*) AS games, avg(c) AS predicted, avg(hit) AS actual, avg(hit) - avg(c) AS gap
+FROM (SELECT greatest({p}, 1 - {p}) AS c, {hit(p)} AS hit FROM {table} WHERE home_win IS NOT NULL AND {prob} IS NOT NULL) s
+JOIN (VALUES {bands}) b(i, low, high) ON (c > low OR (i = 0 AND c = low)) AND c <= high
+GROUP BY low, high"""
+
+
+def regression_sql(table: str, predicted: str, by: str = "") -> str:
+    lead = f"{by}, " if by else ""
+    return f"""
+SELECT {lead}count(*) AS n, avg(abs(actual_total - {predicted})) AS mae,
+       sqrt(avg(pow(actual_total - {predicted}, 2))) AS rmse,
+       avg(actual_total - {predicted}) AS bias, avg({predicted}) AS mean_total
+FROM {table} WHERE actual_total IS NOT NULL AND {predicted} IS NOT NULL {'GROUP BY ' + by if by else ''}"""
+
+
+def scorecard_sql(table: str, select: str, group: str) -> str:
+    p = floored("prob_home")
+    return f"""
+SELECT {select}, count(*) AS games, sum(hit) AS correct, avg(hit) AS accuracy,
+       avg(pow({p} - home_win, 2)) AS brier,
+       coalesce(sum(ats_win), 0) AS ats_wins, count(ats_win) AS ats_played,
+       coalesce(sum(ou_win), 0) AS ou_wins, count(ou_win) AS ou_played,
+       avg(total_error) AS total_mae, avg(abs(actual_total - market_total)) AS market_total_mae,
+       coalesce(sum(ats_win), 0) / nullif(count(ats_win), 0) AS ats_rate,
+       coalesce(sum(ou_win), 0) / nullif(count(ou_win), 0) AS ou_rate
+FROM {table} GROUP BY {group}"""
+
+_PW = "PARTITION BY player_id ORDER BY season, week, game_id, team, opponent_team"
+_PLAYER = {"passing_yards": "form_pass_yards", "attempts": "form_attempts", "rushing_yards": "form_rush_yards",
+           "carries": "form_carries", "receiving_yards": "form_rec_yards", "targets": "form_targets"}
+
+
+def ratio(top: str, bottom: str, bounds) -> str:
+    r = f"coalesce(CASE WHEN {bottom} >= {K.MIN_RATE_VOLUME} THEN {top} / {bottom} END, 0)"
+    return f"least(greatest({r}, {bounds[0]}), {bounds[1]})"
+
+
+SHARED_SQL.update({
+    "passer_raw": ("player_weeks", """
+SELECT player_id, game_id, season, week, team, attempts + sacks_suffered AS dropbacks, passing_cpoe AS cpoe,
+       passing_epa / (attempts + sacks_suffered) AS epa
+FROM player_weeks WHERE attempts + sacks_suffered >= 1"""),
+    "passer_base": ("passer_raw", baseline("passer_raw", ["cpoe", "epa"])),
+    "passer_centered": ("passer_raw passer_base", f"""
+SELECT r.player_id, r.game_id, r.season, r.week, r.team, r.dropbacks, r.season * 100 + r.week AS period,
+       (r.cpoe - b.cpoe) / {K.PASSER_CPOE_SCALE} AS cpoe, (r.epa - b.epa) / CAST({K.PASSER_EPA_SCALE} AS DOUBLE) AS epa
+FROM passer_raw r JOIN passer_base b USING (season)"""),
+    "passer_lists": ("passer_centered", """
+SELECT *, sum(dropbacks) OVER (w ROWS UNBOUNDED PRECEDING) AS seen_post,
+       list(cpoe) FILTER (WHERE cpoe IS NOT NULL) OVER (w ROWS UNBOUNDED PRECEDING) AS lc,
+       list(epa) FILTER (WHERE epa IS NOT NULL) OVER (w ROWS UNBOUNDED PRECEDING) AS le
+FROM passer_centered WINDOW w AS (PARTITION BY player_id ORDER BY season, week, game_id, team)"""),
+    "passer_states": ("passer_lists", f"""
+SELECT *, CASE WHEN sc IS NULL THEN se WHEN se IS NULL THEN sc ELSE (sc + se) / 2.0 END
+          * (seen_post / (seen_post + {K.PASSER_SHRINK_DROPBACKS})) AS qb_rating_post
+FROM (SELECT player_id, game_id, season, week, team, period, dropbacks, seen_post,
+             CASE WHEN len(lc) > 0 THEN list_reduce(lc, lambda s, v: s + {K.PASSER_ALPHA} * (v - s)) END AS sc,
+             CASE WHEN len(le) > 0 THEN list_reduce(le, lambda s, v: s + {K.PASSER_ALPHA} * (v - s)) END AS se
+      FROM passer_lists)"""),
+    "passer_ratings": ("passer_states", """
+SELECT *, lag(qb_rating_post) OVER (PARTITION BY player_id ORDER BY season, week, game_id, team) AS qb_rating_pre,
+       seen_post - dropbacks AS qb_dropbacks_pre FROM passer_states"""),
+    "passer_timeline": ("passer_ratings", """
+SELECT player_id, period, qb_rating_post FROM passer_ratings
+QUALIFY row_number() OVER (PARTITION BY player_id, period ORDER BY game_id DESC, team DESC) = 1"""),
+    "listed": ("games", """
+SELECT game_id, season, week, kickoff, home_team AS team, home_qb_id AS player_id, TRUE AS is_home, season * 100 + week AS period FROM games
+UNION ALL
+SELECT game_id, season, week, kickoff, away_team, away_qb_id, FALSE, season * 100 + week FROM games"""),
+    "starters": ("listed passer_timeline", """
+SELECT l.*, t.qb_rating_post AS qb_rating_pre FROM listed l ASOF LEFT JOIN passer_timeline t
+  ON t.player_id = l.player_id AND l.period > t.period"""),
+    "starter_base": ("starters", f"""
+SELECT *, {ewma_prior('qb_rating_pre', K.PASSER_TEAM_ALPHA, 'PARTITION BY team ORDER BY season, week, kickoff, game_id, is_home')} AS team_qb_baseline
+FROM starters"""),
+    "passer_terms": ("starter_base", """
+SELECT game_id, sum(CASE WHEN is_home THEN 1.0 ELSE -1.0 END * coalesce(qb_rating_pre - team_qb_baseline, 0)) AS qb_delta,
+       sum(CASE WHEN is_home THEN 1.0 ELSE -1.0 END * coalesce(qb_rating_pre, 0)) AS qb_edge
+FROM starter_base GROUP BY game_id"""),
+    "availability_terms": ("games absence", """
+SELECT g.game_id, CASE WHEN g.season IN (SELECT season FROM injuries)
+       THEN coalesce(a.cost, 0) - coalesce(h.cost, 0) ELSE 0 END AS availability_edge
+FROM games g
+LEFT JOIN absence h ON h.season = g.season AND h.week = g.week AND h.team = g.home_team
+LEFT JOIN absence a ON a.season = g.season AND a.week = g.week AND a.team = g.away_team"""),
+    "player_rolled": ("player_weeks", f"""
+SELECT *, CAST(row_number() OVER ({_PW}) - 1 AS DOUBLE) AS form_games,
+       {', '.join(mean_prior(c, K.PLAYER_ALPHA, _PW) + f' AS {f}' for c, f in _PLAYER.items())}
+FROM player_weeks"""),
+    "player_rates": ("player_rolled", f"""
+SELECT *, {ratio('form_pass_yards', 'form_attempts', K.RATE_BOUNDS['form_pass_ypa'])} AS form_pass_ypa,
+       {ratio('form_rush_yards', 'form_carries', K.RATE_BOUNDS['form_rush_ypc'])} AS form_rush_ypc,
+       {ratio('form_rec_yards', 'form_targets', K.RATE_BOUNDS['form_rec_ypt'])} AS form_rec_ypt
+FROM player_rolled"""),
+    "allowed": ("player_weeks", """
+SELECT opponent_team AS team, season, week, coalesce(sum(passing_yards), 0) AS pass_yards_allowed,
+       coalesce(sum(rushing_yards), 0) AS rush_yards_allowed FROM player_weeks GROUP BY opponent_team, season, week"""),
+    "allowed_form": ("allowed", f"""
+SELECT team, season, week,
+       {', '.join(mean_prior(c, K.PLAYER_ALPHA, 'PARTITION BY team ORDER BY season, week') + f' AS opp_{c}'
+                  for c in ('pass_yards_allowed', 'rush_yards_allowed'))} FROM allowed"""),
+    "one_listing": ("report", """
+SELECT season, week, gsis_id AS player_id, report_status, availability FROM report
+QUALIFY row_number() OVER (PARTITION BY season, week, gsis_id ORDER BY team, coalesce(trim(report_status), '')) = 1"""),
+    "hfa": ("games", f"""
+SELECT s.league, s.season, CASE WHEN s.season IN (SELECT unnest({list(K.HFA_OVERRIDES)})) THEN {K.HFA_OVERRIDES[2020]}
+       WHEN sum(p.n) >= {K.HFA_MIN_GAMES} AND sum(CASE WHEN p.season <> 2020 THEN p.n END) >= {K.HFA_MIN_GAMES}
+       THEN least(greatest(sum(CASE WHEN p.season <> 2020 THEN p.t END) / sum(CASE WHEN p.season <> 2020 THEN p.n END), {K.HFA_MIN}), {K.HFA_MAX})
+       ELSE {K.HFA_DEFAULT} END AS hfa
+FROM (SELECT DISTINCT league, season FROM games) s
+LEFT JOIN (SELECT league, season, count(*) AS n, sum(margin) AS t FROM games
+           WHERE completed AND NOT neutral AND NOT is_playoff GROUP BY league, season) p
+  ON p.league = s.league AND p.season < s.season AND p.season >= s.season - {K.HFA_SEASONS}
+GROUP BY s.league, s.season"""),
+    "team_table": ("sides_long", f"""
+SELECT team, league, count(*) AS games, avg(points_for) AS points_for, avg(points_against) AS points_against
+FROM (SELECT * FROM sides_long WHERE points_for IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY team ORDER BY season DESC, week DESC, kickoff DESC, game_id DESC) <= {K.TEAM_TABLE_GAMES})
+GROUP BY team, league"""),
+    # a rating with an exact SQL form, standing in for the sequential one
+    "stand_in_elo": ("sides_long", """
+SELECT team, 1500 + 10 * avg(points_for - points_against) AS elo,
+       10 * avg(points_for - points_against) / 25.0 AS spread_vs_average
+FROM sides_long WHERE points_for IS NOT NULL GROUP BY team"""),
+    "halves_fit": ("scored", """
+SELECT count(*) AS n_train, count(*) >= 200 AS fitted_from_history,
+       CASE WHEN count(*) >= 200 THEN regr_slope(first_half_total, pred_total) ELSE 0.504 END AS total_slope,
+       CASE WHEN count(*) >= 200 THEN regr_intercept(first_half_total, pred_total) ELSE 0 END AS total_intercept,
+       CASE WHEN count(*) >= 200 THEN regr_slope(first_half_margin, pred_margin) ELSE 0.554 END AS margin_slope,
+       CASE WHEN count(*) >= 200 THEN regr_intercept(first_half_margin, pred_margin) ELSE 0 END AS margin_intercept
+FROM scored WHERE first_half_total IS NOT NULL"""),
+    "halved": ("scored halves_fit", """
+SELECT *, total_slope * pred_total + total_intercept AS first_half_total_pred,
+       margin_slope * pred_margin + margin_intercept AS first_half_margin_pred,
+       (pred_total + pred_margin) / 2.0 AS home_team_total, (pred_total - pred_margin) / 2.0 AS away_team_total
+FROM scored, halves_fit"""),
+})
+
+
+def conviction_sql(edge: str) -> str:
+    return label(f"abs({edge})", K.CONVICTION_TIERS)
+
+
+def band_case(value: str, bands, index: int) -> str:
+    return "CASE " + " ".join(f"WHEN {value} >= {b[0]} THEN {b[index]}" for b in bands) + f" ELSE {bands[-1][index]} END"
+
+
+def edge_prob(edge: str, fit) -> str:
+    return f"least(1.0 / (1.0 + exp(-(CAST({fit[0]} AS DOUBLE) + {fit[1]} * abs({edge})))), CAST({K.BREAKEVEN} AS DOUBLE))"
+
+
+_READABLE = tuple((b, "COIN FLIP" if t == "COINFLIP" else t) for b, t in K.CONFIDENCE_TIERS)
+_FLAT = payout("-110.0")
+
+SHARED_SQL["picks"] = ("edges", f"""
+SELECT *, row_number() OVER (PARTITION BY season, week, market ORDER BY strength DESC, game_id) AS rank FROM (
+SELECT game_id, season, week, away_team || ' @ ' || home_team AS game, 'Moneyline' AS market, pick_prob AS strength, pick,
+       CAST(NULL AS DOUBLE) AS model, CAST(NULL AS DOUBLE) AS line, CAST(NULL AS DOUBLE) AS edge, pick_prob AS win_prob,
+       {label('pick_prob', _READABLE)} AS rating, {band_case('pick_prob', K.CALIBRATION_BANDS, 1)} AS band_games,
+       {band_case('pick_prob', K.CALIBRATION_BANDS, 2)} AS band_rate,
+       pick_prob * {payout('pick_odds')} - (1.0 - pick_prob) AS ev FROM edges
+UNION ALL
+SELECT game_id, season, week, away_team || ' @ ' || home_team, 'Spread', abs(e),
+       CASE WHEN e > 0 THEN home_team ELSE away_team END || ' ' || printf('%+.1f', CASE WHEN e > 0 THEN -market_spread ELSE market_spread END),
+       model_margin, market_spread, e, {edge_prob('e', K.ATS_EDGE_FIT)}, {conviction_sql('e')},
+       {band_case('abs(e)', K.ATS_BANDS, 1)}, {band_case('abs(e)', K.ATS_BANDS, 2)},
+       {edge_prob('e', K.ATS_EDGE_FIT)} * {_FLAT} - (1.0 - {edge_prob('e', K.ATS_EDGE_FIT)})
+FROM (SELECT *, model_margin - market_spread AS e FROM edges) WHERE e IS NOT NULL
+UNION ALL
+SELECT game_id, season, week, away_team || ' @ ' || home_team, 'Total', abs(e),
+       CASE WHEN e > 0 THEN 'Over ' ELSE 'Under ' END || printf('%.1f', market_total),
+       model_total, market_total, e, {edge_prob('e', K.OU_EDGE_FIT)}, {conviction_sql('e')},
+       {band_case('abs(e)', K.OU_BANDS, 1)}, {band_case('abs(e)', K.OU_BANDS, 2)},
+       {edge_prob('e', K.OU_EDGE_FIT)} * {_FLAT} - (1.0 - {edge_prob('e', K.OU_EDGE_FIT)})
+FROM (SELECT *, model_total - market_total AS e FROM edges) WHERE e IS NOT NULL)""")

@@ -52,7 +52,7 @@ def running_sum() -> Recurrence:
     return Recurrence(1.0, 1.0, False)
 
 
-def _fold_blocks(keys: int, restart: int, rules: Sequence[Recurrence]):
+def _fold_blocks(keys: int, restart: int, rules: Sequence[Recurrence], states: Sequence[str]):
     """Fold block summaries in order; keeps one small state per open entity.
 
     The input is sorted by entity then block and streamed batch by batch, so
@@ -72,7 +72,8 @@ def _fold_blocks(keys: int, restart: int, rules: Sequence[Recurrence]):
             names = batch.columns
             lead = len(names) - 3 * stats
             entity = list(batch[names[:keys]].itertuples(index=False, name=None))
-            season = list(batch[names[keys:keys + restart]].itertuples(index=False, name=None))
+            season = list(batch[names[keys:keys + restart]].itertuples(index=False, name=None)) if (
+                restart) else [()] * len(batch)
             body = batch[names[lead:]].to_numpy(dtype=float)
             m, d, first = body[:, :stats], body[:, stats:2 * stats], body[:, 2 * stats:]
             out = np.empty((len(batch), 3 * stats))
@@ -94,7 +95,7 @@ def _fold_blocks(keys: int, restart: int, rules: Sequence[Recurrence]):
                 state, count = step(state), count + m[i]
                 running = step(running) if restart else state
             head = batch[names[:lead]].reset_index(drop=True)
-            yield pd.concat([head, pd.DataFrame(out)], axis=1)
+            yield pd.concat([head, pd.DataFrame(out, columns=list(states))], axis=1)
 
     return fold
 
@@ -156,7 +157,7 @@ def decayed_scan(
     carried = (
         summary.repartition(*entity)
         .sortWithinPartitions(*lead)
-        .mapInPandas(_fold_blocks(len(entity), restart, list(rules.values())), schema)
+        .mapInPandas(_fold_blocks(len(entity), restart, list(rules.values()), states), schema)
     )
 
     local = rows.withColumns({

@@ -10,6 +10,7 @@ from ..operators.reshape import listed_starters
 from ..operators.scans import (
     asof_backward, center, decayed_scan, ewma, latest_per_clock, running_sum, state_after, week_block,
 )
+from ..sources.store import materialize
 
 
 def passer_ratings(player_weeks: DataFrame, min_dropbacks: float = K.PASSER_MIN_DROPBACKS) -> DataFrame:
@@ -72,8 +73,9 @@ def team_passer_baseline(starters: DataFrame) -> DataFrame:
 def passer_features(games: DataFrame, player_weeks: DataFrame,
                     min_dropbacks: float = K.PASSER_MIN_DROPBACKS) -> DataFrame:
     """``qb_delta`` and ``qb_edge`` per contest, home minus away, missing as 0."""
-    ratings = passer_ratings(player_weeks, min_dropbacks)
-    starters = team_passer_baseline(starter_ratings(games, ratings))
+    ratings = materialize(passer_ratings(player_weeks, min_dropbacks), "passer-ratings")
+    listed = materialize(starter_ratings(games, ratings), "starters")
+    starters = team_passer_baseline(listed)
     change = F.coalesce(F.col("qb_rating_pre") - F.col("team_qb_baseline"), F.lit(0.0))
     level = F.coalesce(F.col("qb_rating_pre"), F.lit(0.0))
     sign = F.when(F.col("is_home"), 1.0).otherwise(-1.0)
@@ -108,6 +110,7 @@ def absence_cost(usage: DataFrame, injuries: DataFrame) -> DataFrame:
 
     Report rows are not de-duplicated here; every listing counts.
     """
+    usage = materialize(usage, "usage")
     players = latest_per_clock(usage, ["player_id"], "period", ["game_id", "team"], ["usage_post"])
     teams = usage.groupBy("team", "period").agg(F.sum("usage_post").alias("team_usage"))
     report = injuries.where(F.col("gsis_id").isNotNull()).select(
@@ -128,6 +131,7 @@ def availability_features(games: DataFrame, player_weeks: DataFrame, injuries: D
     Zero in seasons without any report.
     """
     cost = absence_cost(player_usage(player_weeks), injuries).select("season", "week", "team", "cost")
+    cost = materialize(cost, "absence-cost")
     covered = injuries.select("season").distinct().withColumn("covered", F.lit(True))
     out = games.select("game_id", "season", "week", "home_team", "away_team")
     for side in ("home", "away"):

@@ -1,17 +1,18 @@
 """The domain tables stood up on the TPC-H-like tables (see FIXTURES.md).
 
-The heavy views are persisted once per session and folder; everything else is
-lazy.  Sizes are never assumed: joins carry no hints, so Spark broadcasts a
-side only when its own size statistics allow it.
+The heavy views are written once per session and folder as derived tables;
+everything else is lazy.  Sizes are never assumed: joins carry no hints, so
+Spark broadcasts a side only when its own size statistics allow it.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from .store import materialize
+
 LAST_PLAYED = "2001-07-01"
 
 
@@ -25,10 +26,6 @@ class Fixture:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    @staticmethod
-    def _keep(df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-
     @cached_property
     def lines(self) -> DataFrame:
         """One row per (order, line number); repeats are folded map-side first."""
@@ -105,7 +102,7 @@ class Fixture:
         season looks at the latest kickoff of its earlier seasons instead, so
         no single task holds a team's whole history.
         """
-        contests = self._keep(self.contests)
+        contests = materialize(self.contests, "contests")
         side = contests.select(
             "game_id", "season", "kickoff",
             F.explode(F.array(
@@ -134,7 +131,7 @@ class Fixture:
         gid, line = F.col("game_id"), F.col("spread_line")
         reading = (gid % 4 != 0) & (gid % 9 != 0)
         margin = F.col("home_score") - F.col("away_score")
-        return self._keep(
+        return materialize(
             contests.join(rest, "game_id").withColumns({
                 "completed": F.col("home_score").isNotNull(),
                 "margin": margin,
@@ -145,7 +142,7 @@ class Fixture:
                 "temp": F.when(reading, (gid % 130 - 15).cast("double")),
                 "home_moneyline": F.when(line >= 0, -110 - 5 * line).otherwise(100 - 5 * line),
                 "away_moneyline": F.when(line >= 0, 100 + 5 * line).otherwise(-110 + 5 * line),
-            })
+            }), "games",
         )
 
     @cached_property
@@ -154,7 +151,7 @@ class Fixture:
             "game_id", "league", "season", "week", "home_team", "away_team"
         )
         odd = F.col("l_linenumber") % 2 == 1
-        return self._keep(
+        return materialize(
             k.join(self.lines, F.col("game_id") == F.col("l_orderkey")).select(
                 "game_id", "league", "season", "week",
                 F.when(odd, F.col("home_team")).otherwise(F.col("away_team")).alias("posteam"),
@@ -170,7 +167,7 @@ class Fixture:
                 F.col("l_linenumber").alias("seq"),
                 F.when(F.col("l_linenumber") <= 4, 1).otherwise(3).alias("qtr"),
                 (F.col("l_partkey") % 200).alias("player_id"),
-            )
+            ), "plays",
         )
 
     @cached_property
@@ -180,7 +177,7 @@ class Fixture:
         def total(column, of):
             return F.sum(F.when(kind == of, column).otherwise(0.0))
 
-        return self._keep(
+        return materialize(
             self.plays.groupBy(
                 "player_id", "league", "season", "week", "game_id",
                 F.col("posteam").alias("team"), F.col("defteam").alias("opponent_team"),
@@ -196,7 +193,7 @@ class Fixture:
                 total(F.col("yards_gained"), "run").alias("rushing_yards"),
                 total(F.lit(1.0), "punt").alias("targets"),
                 total(F.col("yards_gained"), "punt").alias("receiving_yards"),
-            )
+            ), "player_weeks",
         )
 
     @cached_property

@@ -43,6 +43,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a derived table to the shared folder and read it back.
+
+    Used where several plans read one result.  Unlike a cache it keeps plans
+    small, gives the optimizer real sizes, lets later scans prune columns and
+    does not depend on any executor staying alive.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # --- per-season derived tables --------------------------------------------
 
 

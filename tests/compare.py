@@ -28,7 +28,7 @@ def session() -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
 
 
@@ -83,7 +83,8 @@ def main() -> None:
         try:
             problem = compare(query, spark, con, folder)
         except Exception as error:  # noqa: BLE001 - report and go on
-            problem = f"{type(error).__name__}: {str(error)[:1500]}"
+            lines = [x for x in str(error).splitlines() if x.strip() and not x.strip().startswith("at ")]
+            problem = f"{type(error).__name__}: " + " | ".join([lines[0][:300], *lines[1:][-4:]])[:900]
         kind = "sql " if query.sql else "rows"
         failed += problem is not None
         print(f"{'ok  ' if problem is None else 'FAIL'} {kind} {time.time() - start:6.2f}s {key}"
