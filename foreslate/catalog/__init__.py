@@ -1,6 +1,11 @@
 """Every query by name; importing this module fills the registry."""
 
-from . import aggregate_queries, window_queries  # noqa: F401
+from . import (  # noqa: F401
+    aggregate_queries,
+    projection_queries,
+    scalar_queries,
+    window_queries,
+)
 from .registry import REGISTRY, Query
 
 __all__ = ["REGISTRY", "Query"]

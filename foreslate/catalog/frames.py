@@ -6,6 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, functions as F
 
+from .. import constants as K
 from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import grading as G
@@ -137,3 +138,30 @@ def features(fx: Fixture) -> DataFrame:
     """The full feature table of the fixture."""
     return kept(FT.build_features(
         fx.games, team_games(fx), player_weeks(fx), injuries(fx), halves(fx), min_dropbacks=1))
+
+
+@shared
+def raw_log(fx: Fixture) -> DataFrame:
+    """The contests as a landed text log, with unreadable days, times and rests."""
+    gid = F.col("game_id")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    return fx.games.select(
+        gid.cast("string").alias("game_id"), "season", "week",
+        F.when(F.col("is_playoff"), "POST").otherwise("REG").alias("game_type"),
+        F.when(gid % 50 != 7, F.date_format("kickoff", "yyyy-MM-dd")).otherwise("unknown").alias("gameday"),
+        F.when(gid % 6 != 0, F.concat(two(gid % 24), F.lit(":"), two(gid * 7 % 60))).alias("gametime"),
+        "home_team", "away_team", "home_score", "away_score", F.col("margin").alias("result"),
+        F.when(gid % 13 == 0, "bad").otherwise(F.col("home_rest").cast("string")).alias("home_rest"),
+        "away_rest", "home_moneyline", "away_moneyline", "spread_line", "total_line",
+        F.col("div_game").cast("int").alias("div_game"), "temp", "wind", "roof",
+        F.when(F.col("neutral"), "Neutral").otherwise("Home").alias("location"),
+        F.col("home_qb_id").cast("string").alias("home_qb_id"),
+        F.col("away_qb_id").cast("string").alias("away_qb_id"),
+    )
+
+
+@shared
+def paired(fx: Fixture) -> DataFrame:
+    """Contests with both sides' form beside them."""
+    sides = FT.sides_to_game(form(fx), [*K.ROLLED_STATS, "form_games"])
+    return fx.games.join(sides, "game_id", "left")
