@@ -2,7 +2,10 @@
 
 from . import (  # noqa: F401
     aggregate_queries,
+    join_queries,
     projection_queries,
+    report_queries,
+    reshape_queries,
     scalar_queries,
     window_queries,
 )

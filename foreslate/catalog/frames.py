@@ -13,6 +13,7 @@ from ..operators import grading as G
 from ..operators import reshape as U
 from ..plans import features as FT
 from ..plans import models as M
+from ..plans import passers as P
 from ..sources.fixtures import Fixture
 from ..sources.store import materialize
 from ..sources.readers import derive_player_columns, derive_report_columns
@@ -165,3 +166,21 @@ def paired(fx: Fixture) -> DataFrame:
     """Contests with both sides' form beside them."""
     sides = FT.sides_to_game(form(fx), [*K.ROLLED_STATS, "form_games"])
     return fx.games.join(sides, "game_id", "left")
+
+
+@shared
+def absence(fx: Fixture) -> DataFrame:
+    return kept(P.absence_cost(P.player_usage(player_weeks(fx)), injuries(fx)))
+
+
+@shared
+def with_team_totals(fx: Fixture) -> DataFrame:
+    home, away = S.team_totals(F.col("pred_total"), F.col("pred_margin"))
+    return scored(fx).withColumns({"home_team_total": home, "away_team_total": away})
+
+
+@shared
+def team_data(fx: Fixture) -> DataFrame:
+    """Trailing scoring and the stand-in rating of every team, with its league."""
+    table = U.trailing_team_table(fx.games).join(elo(fx), "team", "left")
+    return table.withColumn("league", F.split("team", "/")[0])
