@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     report_queries,
     reshape_queries,
     scalar_queries,
+    source_queries,
     window_queries,
 )
 from .registry import REGISTRY, Query

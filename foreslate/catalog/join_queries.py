@@ -8,7 +8,9 @@ from .. import constants as K
 from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import reshape as U
-from ..operators.scans import asof_backward, expanding_join, prefix_totals
+from ..operators.scans import (
+    asof_backward, expanding_join, latest_per_clock, prefix_totals, prior_baseline,
+)
 from ..plans import features as FT
 from ..plans import passers as P
 from ..plans import players as PL
@@ -49,8 +51,6 @@ def _(fx):
 @query("j4_baseline_lookup", floats="baseline", ints="game_id season", views="observed baselines",
        sql="SELECT o.game_id, o.team, o.season, b.points_for AS baseline FROM observed o LEFT JOIN baselines b USING (season)")
 def _(fx):
-    from ..operators.scans import prior_baseline
-
     base = prior_baseline(R.observed(fx), ["points_for"]).withColumnRenamed("points_for", "baseline")
     return R.observed(fx).select("game_id", "team", "season").join(base, "season", "left")
 
@@ -104,8 +104,6 @@ def _(fx):
 @query("j9_asof_report_usage", floats="availability usage_post", ints="season week gsis_id", views="listed_usage",
        sql="SELECT season, week, team, gsis_id, availability, usage_post FROM listed_usage")
 def _(fx):
-    from ..operators.scans import latest_per_clock
-
     usage = P.player_usage(R.player_weeks(fx))
     timeline = latest_per_clock(usage, ["player_id"], "period", ["game_id", "team"], ["usage_post"])
     report = R.injuries(fx).select(
@@ -121,8 +119,8 @@ FROM (SELECT season, min(season * 100 + week) AS cutoff FROM games GROUP BY seas
 JOIN games g ON g.season * 100 + g.week < c.cutoff WHERE g.completed GROUP BY c.cutoff""")
 def _(fx):
     clocked = fx.games.withColumn("period", S.period(F.col("season"), F.col("week")))
-    cutoffs = clocked.groupBy("season").agg(F.min("period").alias("cutoff")).select("cutoff")
-    history = expanding_join(clocked.where("completed"), cutoffs, "period", "cutoff")
+    cutoffs = [r[0] for r in clocked.groupBy("season").agg(F.min("period")).select(F.col("min(period)")).collect()]
+    history = expanding_join(clocked.where("completed"), cutoffs, "period")
     return history.groupBy("cutoff").agg(F.count("*").alias("history"), F.sum("margin").alias("margin_sum"))
 
 
@@ -236,28 +234,29 @@ def _(fx):
 PAIR_SQL = f"""
 SELECT *, 1.0 - home_prob AS away_prob, {fair('home_prob')} AS home_fair, {fair('(1.0 - home_prob)')} AS away_fair
 FROM (SELECT *, {phi('(spread / 13.2)')} AS home_prob, (total + spread) / 2.0 AS home_total, (total - spread) / 2.0 AS away_total
-FROM (SELECT h.league, h.team AS home_team, a.team AS away_team,
-             (he.elo - ae.elo) / 25.0 + 1.95 AS spread,
+FROM (SELECT p.home_team, p.away_team, p.neutral, (he.elo - ae.elo) / 25.0 + CASE WHEN p.neutral THEN 0 ELSE 1.95 END AS spread,
              (h.points_for + a.points_against) / 2.0 + (a.points_for + h.points_against) / 2.0 AS total
-      FROM team_table h JOIN team_table a ON h.league = a.league AND h.team <> a.team
-      JOIN stand_in_elo he ON he.team = h.team JOIN stand_in_elo ae ON ae.team = a.team))"""
+      FROM (SELECT DISTINCT home_team, away_team, neutral FROM games) p
+      LEFT JOIN team_table h ON h.team = p.home_team LEFT JOIN team_table a ON a.team = p.away_team
+      LEFT JOIN stand_in_elo he ON he.team = p.home_team LEFT JOIN stand_in_elo ae ON ae.team = p.away_team))"""
 PAIR_FLOATS = "spread total home_prob away_prob home_fair away_fair home_total away_total"
 
 
-@query("j20_pair_projection", floats=PAIR_FLOATS, views="team_table stand_in_elo",
-       sql=f"SELECT league, home_team, away_team, {PAIR_FLOATS.replace(' ', ', ')} FROM ({PAIR_SQL})")
+@query("j20_pair_projection", floats=PAIR_FLOATS, views="games team_table stand_in_elo",
+       sql=f"SELECT home_team, away_team, neutral, {PAIR_FLOATS.replace(' ', ', ')} FROM ({PAIR_SQL})")
 def _(fx):
-    return RP.pair_projection(R.team_data(fx), F.lit(K.HFA_DEFAULT)).select(
-        "league", "home_team", "away_team", *PAIR_FLOATS.split())
+    pairs = fx.games.select("home_team", "away_team", "neutral").distinct()
+    return RP.pair_projection(pairs, R.team_data(fx)).select("home_team", "away_team", "neutral", *PAIR_FLOATS.split())
 
 
-@query("j21_pair_on_slate", floats="spread pred_margin prob_home pred_total", views="team_table stand_in_elo scored", sql=f"""
-SELECT p.home_team, p.away_team, p.spread, s.pred_margin, s.prob_home, s.pred_total,
+@query("j21_pair_on_slate", floats="spread pred_margin prob_home pred_total", ints="season week", views="games team_table stand_in_elo scored", sql=f"""
+SELECT p.home_team, p.away_team, p.neutral, p.spread, s.season, s.week, s.pred_margin, s.prob_home, s.pred_total,
        CASE WHEN s.game_id IS NULL THEN 'not on this slate' ELSE 'on this slate' END AS status
-FROM ({PAIR_SQL}) p LEFT JOIN (SELECT * FROM scored WHERE season = 2000 AND week = 20) s
+FROM ({PAIR_SQL}) p LEFT JOIN (SELECT * FROM scored WHERE NOT completed) s
   ON s.home_team = p.home_team AND s.away_team = p.away_team""")
 def _(fx):
-    pairs = RP.pair_projection(R.team_data(fx), F.lit(K.HFA_DEFAULT))
-    slate = R.scored(fx).where("season = 2000 AND week = 20")
-    return RP.pair_slate_lookup(pairs, slate).select(
-        "home_team", "away_team", "spread", "pred_margin", "prob_home", "pred_total", "status")
+    pairs = fx.games.select("home_team", "away_team", "neutral").distinct()
+    projected = RP.pair_projection(pairs, R.team_data(fx))
+    return RP.pair_slate_lookup(projected, R.scored(fx).where("NOT completed")).select(
+        "home_team", "away_team", "neutral", "spread", "season", "week", "pred_margin", "prob_home",
+        "pred_total", "status")

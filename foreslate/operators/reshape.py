@@ -121,26 +121,22 @@ def target_slate(games: DataFrame, season: int | None = None, week: int | None =
                 F.lit(int(season)).alias("season"), F.lit(int(week)).alias("week"))
         return games.agg(F.max("season").alias("season")).select("season", F.lit(int(week)).alias("week"))
     if season:
-        slates_in = slates.where(F.col("season") == season)
-        if slates_in.isEmpty():
+        slates = slates.where(F.col("season") == season)
+        if slates.isEmpty():
             raise ValueError(f"no games on record for {season}")
-        pending = slates_in.where(F.col("played") < 1)
-    else:
-        pending = slates.where(F.col("played") < 1)
     clock = period(F.col("season"), F.col("week"))
-    order = W.orderBy("season", "week")
-    two = pending.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2)
-    chosen = two.agg(
-        F.min(F.when(F.col("rank") == 1, clock)).alias("first"),
-        F.min(F.when(F.col("rank") == 1, F.col("played"))).alias("played"),
-        F.min(F.when(F.col("rank") == 2, clock)).alias("next"),
+    pending = F.when(F.col("played") < 1, clock)
+    following = F.min(pending).over(W.orderBy("season", "week").rowsBetween(1, W.unboundedFollowing))
+    facts = slates.select(
+        "season", "week", "played", clock.alias("clock"), pending.alias("pending"), following.alias("following")
+    ).agg(
+        F.min("pending").alias("first"),
+        F.min_by(F.struct("played", "following"), "pending").alias("at_first"),
+        F.max(F.when(F.col("played") > 0, F.col("clock"))).alias("last"),
     )
-    last = slates.where(F.col("played") > 0).agg(F.max(clock).alias("last"))
-    pick = F.coalesce(
-        F.when((F.col("played") >= 0.5) & F.col("next").isNotNull(), F.col("next")).otherwise(F.col("first")),
-        F.col("last"),
-    )
-    return chosen.join(last).select(
+    rolls = (F.col("at_first.played") >= 0.5) & F.col("at_first.following").isNotNull()
+    pick = F.coalesce(F.when(rolls, F.col("at_first.following")).otherwise(F.col("first")), F.col("last"))
+    return facts.select(
         F.floor(pick / 100).cast("int").alias("season"), (pick % 100).cast("int").alias("week")
     )
 
@@ -156,15 +152,14 @@ def slate_grid(games: DataFrame, start: int, end: int | None = None) -> DataFram
 def training_history(games: DataFrame, season: int, week: int) -> DataFrame:
     """Completed games before the slate's first kickoff.
 
-    Without a kickoff on record, completed games of earlier periods.
+    Without a kickoff on record, completed games of earlier periods.  The
+    cutoff is one value, read first so that it reaches the scan as a filter.
     """
     on_slate = (F.col("season") == season) & (F.col("week") == week)
-    cut = games.where(on_slate).agg(F.min("kickoff").alias("__cut"))
+    cut = games.where(on_slate).agg(F.min("kickoff")).first()[0]
     clock = period(F.col("season"), F.col("week"))
-    earlier = F.when(F.col("__cut").isNull(), clock < season * 100 + week).otherwise(
-        F.col("kickoff") < F.col("__cut")
-    )
-    return games.where("completed").join(cut).where(earlier).drop("__cut")
+    earlier = clock < season * 100 + week if cut is None else F.col("kickoff") < F.lit(cut)
+    return games.where("completed").where(earlier)
 
 
 def top_per_category(

@@ -301,14 +301,15 @@ def latest_per_clock(df: DataFrame, key: Sequence[str], clock: str, order: Seque
 # --------------------------------------------------------------------------
 
 
-def expanding_join(rows: DataFrame, cutoffs: DataFrame, clock: str, cutoff: str) -> DataFrame:
-    """Every row with ``clock`` earlier than the cutoff, for every cutoff.
+def expanding_join(rows: DataFrame, cutoffs: Sequence[int], clock: str, name: str = "cutoff") -> DataFrame:
+    """Every row once per cutoff later than its clock.
 
-    The output has one copy of a row per later cutoff, so it is meant for the
-    few season cutoffs of a refit; additive statistics over many cutoffs use
-    :func:`prefix_totals` instead, which never repeats a row.
+    Cutoffs are refit points (one per season), so each row carries its own
+    short list of later ones: no join and no shuffle.  Additive statistics
+    over many cutoffs use :func:`prefix_totals`, which repeats no row.
     """
-    return rows.join(cutoffs, rows[clock] < cutoffs[cutoff])
+    later = F.filter(F.array(*[F.lit(int(c)) for c in sorted(cutoffs)]), lambda c: c > F.col(clock))
+    return rows.withColumn(name, F.explode(later))
 
 
 def prefix_totals(rows: DataFrame, clock: str, aggs: dict[str, Column]) -> DataFrame:

@@ -351,15 +351,19 @@ def fit_halves(frame: DataFrame, minimum: int = K.HALF_MIN_GAMES) -> DataFrame:
 
 
 def predict_halves(frame: DataFrame, fit: DataFrame) -> DataFrame:
-    """Team totals and half lines; the second half is what the first leaves over."""
+    """Team totals and half lines; the second half is what the first leaves over.
+
+    ``fit`` is the single row of :func:`fit_halves`; its four numbers become
+    literals of the projection.
+    """
+    line = fit.first()
     total, margin = F.col("pred_total"), F.col("pred_margin")
     home, away = S.team_totals(total, margin)
-    names = ["total_slope", "total_intercept", "margin_slope", "margin_intercept"]
-    out = frame.join(fit.select(*names)).withColumns({
+    out = frame.withColumns({
         "home_team_total": home, "away_team_total": away,
-        "first_half_total_pred": F.col("total_slope") * total + F.col("total_intercept"),
-        "first_half_margin_pred": F.col("margin_slope") * margin + F.col("margin_intercept"),
-    }).drop(*names)
+        "first_half_total_pred": line["total_slope"] * total + line["total_intercept"],
+        "first_half_margin_pred": line["margin_slope"] * margin + line["margin_intercept"],
+    })
     half_total, half_margin = F.col("first_half_total_pred"), F.col("first_half_margin_pred")
     fh_home, fh_away = S.team_totals(half_total, half_margin)
     return out.withColumns({

@@ -272,18 +272,18 @@ def team_data(table: DataFrame, ratings: DataFrame | None = None) -> DataFrame:
     return table if ratings is None else table.join(ratings, "team", "left")
 
 
-def pair_projection(teams: DataFrame, hfa: Column, league: str | None = "league") -> DataFrame:
-    """Any team at home against any other: spread, chances, prices, totals.
+def pair_projection(pairs: DataFrame, teams: DataFrame, hfa: float = K.HFA_DEFAULT) -> DataFrame:
+    """Asked-for pairs (home_team, away_team, neutral): spread, chances, prices, totals.
 
-    A join on the league, not a cross product; rows are the ordered pairs the
-    question asks for.
+    Two key joins onto the team table; any two teams may be asked for.
     """
-    columns = ("team", "elo", "points_for", "points_against")
-    home = teams.select(*([league] if league else []), *[F.col(c).alias(f"home_{c}") for c in columns])
-    away = teams.select(*([league] if league else []), *[F.col(c).alias(f"away_{c}") for c in columns])
-    pairs = home.join(away, league) if league else home.join(away)
-    pairs = pairs.where(F.col("home_team") != F.col("away_team"))
-    spread = (F.col("home_elo") - F.col("away_elo")) / K.ELO_PER_POINT + hfa
+    columns = ("elo", "points_for", "points_against")
+    for side in ("home", "away"):
+        pairs = pairs.join(teams.select(
+            F.col("team").alias(f"{side}_team"), *[F.col(c).alias(f"{side}_{c}") for c in columns]
+        ), f"{side}_team", "left")
+    edge = F.when(F.col("neutral"), F.lit(0.0)).otherwise(F.lit(float(hfa)))
+    spread = (F.col("home_elo") - F.col("away_elo")) / K.ELO_PER_POINT + edge
     total = (F.col("home_points_for") + F.col("away_points_against")) / 2.0 + (
         F.col("away_points_for") + F.col("home_points_against")) / 2.0
     out = pairs.withColumns({"spread": spread, "total": total})
@@ -299,6 +299,7 @@ def pair_projection(teams: DataFrame, hfa: Column, league: str | None = "league"
 
 def pair_slate_lookup(pairs: DataFrame, slate: DataFrame) -> DataFrame:
     """The slate's own forecast beside a pair, or a note that it is not on it."""
-    on = slate.select("away_team", "home_team", "pred_margin", "prob_home", "pred_total", F.lit(True).alias("on"))
+    on = slate.select("away_team", "home_team", *SLATE, "pred_margin", "prob_home", "pred_total",
+                      F.lit(True).alias("on"))
     status = F.when(F.col("on"), "on this slate").otherwise("not on this slate")
     return pairs.join(on, ["away_team", "home_team"], "left").withColumn("status", status).drop("on")
