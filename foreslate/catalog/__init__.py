@@ -3,6 +3,7 @@
 from . import (  # noqa: F401
     aggregate_queries,
     join_queries,
+    model_queries,
     projection_queries,
     report_queries,
     reshape_queries,

@@ -184,3 +184,9 @@ def team_data(fx: Fixture) -> DataFrame:
     """Trailing scoring and the stand-in rating of every team, with its league."""
     table = U.trailing_team_table(fx.games).join(elo(fx), "team", "left")
     return table.withColumn("league", F.split("team", "/")[0])
+
+
+@shared
+def target(fx: Fixture):
+    """Season and week of the slate to predict (one row)."""
+    return U.target_slate(fx.games).first()
