@@ -121,6 +121,137 @@ def fixed_score(features: Sequence[str], intercept: float, beta: Sequence[float]
     return out
 
 
+# --------------------------------------------------------------------------
+# linear fits at many cutoffs, a fixed number of passes for all of them
+# --------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class LinearFit:
+    n_train: int
+    intercept: float
+    beta: list[float]
+    sigma: float | None = None
+
+
+def ridge_at(rows: DataFrame, features: Sequence[str], target: str, clock: str, cutoffs: Sequence,
+             alpha: float = K.RIDGE_ALPHA) -> dict:
+    """Ridge fits on the rows before each cutoff, from one aggregation.
+
+    Rows are summed per gap between cutoffs; what reaches the driver is one
+    small matrix per refit.
+    """
+    cutoffs = sorted(cutoffs)
+    size = len(features) + 2
+    passed = F.size(F.filter(F.array(*[F.lit(c) for c in cutoffs]), lambda c: c <= F.col(clock)))
+    known = rows.where(F.col(target).isNotNull() & (F.col(clock) < F.lit(cutoffs[-1])))
+    gaps = cross_products(known.withColumn("__gap", passed), features, target, ["__gap"]).collect()
+    parts = {r["__gap"]: r for r in gaps}
+    gram, out = np.zeros((size, size)), {}
+    for index, cutoff in enumerate(cutoffs):
+        if index in parts:
+            for i, j in _pairs(size):
+                gram[i, j] += parts[index][f"g{i}_{j}"]
+                gram[j, i] = gram[i, j]
+        if gram[0, 0] > 0:
+            intercept, beta, sigma = solve_ridge(gram, alpha)
+            out[cutoff] = LinearFit(int(gram[0, 0]), intercept, beta.tolist(), sigma)
+    return out
+
+
+def _newton_sums(cutoffs: np.ndarray, betas: np.ndarray, live: np.ndarray):
+    """Per task: loss, gradient and curvature sums of every open cutoff."""
+    size = betas.shape[1]
+    upper = np.triu_indices(size)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((len(cutoffs), 2 + size + len(upper[0])))
+        for batch in batches:
+            body = batch.to_numpy(dtype=float)
+            clock, y = body[:, 0], body[:, 1]
+            x = np.column_stack([np.ones(len(body)), body[:, 2:]])
+            for k in np.flatnonzero(live):
+                mine = clock < cutoffs[k]
+                xs, ys = x[mine], y[mine]
+                z = xs @ betas[k]
+                p = 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
+                loss = np.logaddexp(0.0, z).sum() - ys @ z
+                curve = (xs * (p * (1 - p))[:, None]).T @ xs
+                sums[k] += np.concatenate([[len(ys), loss], xs.T @ (ys - p), curve[upper]])
+        index = np.flatnonzero(live)
+        width = sums.shape[1]
+        yield pd.DataFrame({
+            "k": np.repeat(index, width), "pos": np.tile(np.arange(width), len(index)),
+            "v": sums[index].ravel(),
+        })
+
+    return run
+
+
+def logistic_at(rows: DataFrame, features: Sequence[str], label: Column, clock: str, cutoffs: Sequence,
+                c: float, standardize: bool = True, minimum: int = 1, steps: int = 60) -> dict:
+    """L2 logistic fits on the rows before each cutoff, all by Newton together.
+
+    One pass per step serves every cutoff still moving, so the number of jobs
+    does not grow with the number of refits.  Tasks send sums, never rows.  A
+    step that does not lower the penalised loss is halved.
+    """
+    cutoffs = sorted(cutoffs)
+    features = list(features)
+    size, count = len(features) + 1, len(cutoffs)
+    slim = rows.where(F.col(clock) < F.lit(cutoffs[-1])).select(
+        F.col(clock).cast("double").alias("clock"), label.cast("double").alias("y"),
+        *[F.col(f).cast("double") for f in features])
+
+    # spread of each feature before each cutoff, which scales the penalty
+    later = F.filter(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(float(v)).alias("c")) for i, v in enumerate(cutoffs)]),
+                     lambda s: s["c"] > F.col("clock"))
+    passed = F.lit(count) - F.size(later)
+    gaps = slim.groupBy(passed.alias("gap")).agg(
+        F.count("*").alias("n"), *[F.sum(f).alias(f"s_{f}") for f in features],
+        *[F.sum(F.col(f) * F.col(f)).alias(f"q_{f}") for f in features]).collect()
+    n, s, q = np.zeros(count), np.zeros((count, size - 1)), np.zeros((count, size - 1))
+    for row in gaps:
+        g = row["gap"]
+        n[g:] += row["n"]
+        s[g:] += [row[f"s_{f}"] for f in features]
+        q[g:] += [row[f"q_{f}"] for f in features]
+    spread = np.clip(q / np.maximum(n, 1)[:, None] - (s / np.maximum(n, 1)[:, None]) ** 2, 0, None)
+    ridge = (spread if standardize else np.ones_like(spread)) / c
+    penalty = np.column_stack([np.zeros(count), np.where(ridge > 0, ridge, 1.0)])
+
+    upper = np.triu_indices(size)
+    best, best_loss = np.zeros((count, size)), np.full(count, np.inf)
+    trial, live = best.copy(), n >= minimum
+    points = np.array([float(v) for v in cutoffs])
+    for _ in range(steps):
+        if not live.any():
+            break
+        sent = slim.mapInPandas(_newton_sums(points, trial, live), "k long, pos long, v double")
+        table = np.zeros((count, 2 + size + len(upper[0])))
+        for row in sent.groupBy("k", "pos").agg(F.sum("v").alias("v")).collect():
+            table[row["k"], row["pos"]] = row["v"]
+        for k in np.flatnonzero(live):
+            loss = table[k, 1] + 0.5 * (penalty[k] * trial[k] ** 2).sum()
+            if loss > best_loss[k]:
+                trial[k] = (best[k] + trial[k]) / 2.0
+                live[k] = loss - best_loss[k] > 1e-7 * max(1.0, best_loss[k])
+                continue
+            best[k], best_loss[k] = trial[k], loss
+            curve = np.zeros((size, size))
+            curve[upper] = table[k, 2 + size:]
+            curve = curve + np.triu(curve, 1).T + np.diag(penalty[k])
+            slope = table[k, 2:2 + size] - penalty[k] * best[k]
+            scale = 1.0 / np.sqrt(np.maximum(np.diag(curve), 1e-300))
+            step = scale * np.linalg.lstsq(curve * np.outer(scale, scale), scale * slope, rcond=None)[0]
+            trial[k] = best[k] + step
+            live[k] = slope @ step > 1e-9 * max(1.0, loss)
+    return {
+        cutoff: LinearFit(int(n[k]), float(best[k, 0]), best[k, 1:].tolist())
+        for k, cutoff in enumerate(cutoffs) if n[k] >= minimum
+    }
+
+
 # --------------------------------------------------------------------------
 # Spark ML fits
 # --------------------------------------------------------------------------
@@ -155,6 +286,25 @@ def logistic_curve(rows: DataFrame, features: Sequence[str], label: Column, c: f
     return float(model.intercept), [float(v) for v in model.coefficients]
 
 
+def boost_classifier(train: DataFrame, features: Sequence[str], label: Column, boost: Boost):
+    data = _assembled(train.withColumn("__y", label.cast("double")), features).select("__x", "__y")
+    return GBTClassifier(featuresCol="__x", labelCol="__y", **boost.settings()).fit(data)
+
+
+def boost_regressor(train: DataFrame, features: Sequence[str], target: Column, boost: Boost):
+    data = _assembled(train.withColumn("__y", target), features).select("__x", "__y")
+    return GBTRegressor(featuresCol="__x", labelCol="__y", **boost.settings()).fit(data)
+
+
+def add_boost(frame: DataFrame, model, features: Sequence[str], name: str, classify: bool) -> DataFrame:
+    """Tree score as one column; NULL where there is no fitted tree."""
+    if model is None:
+        return frame.withColumn(name, F.lit(None).cast("double"))
+    scored = model.transform(_assembled(frame, features))
+    value = vector_to_array("probability")[1] if classify else F.col("prediction")
+    return scored.withColumn(name, value).drop("__x", "rawPrediction", "probability", "prediction")
+
+
 @dataclass
 class WinnerModel:
     """Outright winner: logistic, margin ridge and boosted trees in log-odds."""
@@ -171,9 +321,7 @@ class WinnerModel:
     def predict(self, frame: DataFrame, use_market: bool = True, blend: float = K.MARKET_BLEND) -> DataFrame:
         base = frame
         if self.boost is not None:
-            base = self.boost.transform(_assembled(frame, self.features)).withColumn(
-                "__boost", vector_to_array("probability")[1]
-            ).drop("__x", "rawPrediction", "probability", "prediction")
+            base = add_boost(frame, self.boost, self.features, "__boost", classify=True)
         margin = fixed_score(self.features, *self.margin)
         parts = {
             "logistic": S.expit(fixed_score(self.features, *self.logistic)),
@@ -186,11 +334,11 @@ class WinnerModel:
 
 
 def ensemble_probability(parts: dict[str, Column]) -> Column:
-    """Weighted mean in log-odds over the parts that are present."""
-    weight = sum(K.WINNER_WEIGHTS[k] for k in parts)
-    total = F.lit(0.0)
+    """Weighted mean in log-odds over the parts that are present in the row."""
+    weight = total = F.lit(0.0)
     for k, p in parts.items():
-        total = total + K.WINNER_WEIGHTS[k] * S.safe_logit(p)
+        weight = weight + F.when(p.isNotNull(), K.WINNER_WEIGHTS[k]).otherwise(0.0)
+        total = total + F.coalesce(K.WINNER_WEIGHTS[k] * S.safe_logit(p), F.lit(0.0))
     return S.expit(total / weight)
 
 
@@ -240,8 +388,7 @@ def fit_winner(history: DataFrame, features: Sequence[str] = K.WINNER_FEATURES +
     ridge = ridge_fit(train, features, "margin").first()
     trees = None
     if boost.rounds and facts["n"] >= min_boost:
-        data = _assembled(train.withColumn("__y", won.cast("double")), features).select("__x", "__y")
-        trees = GBTClassifier(featuresCol="__x", labelCol="__y", **boost.settings()).fit(data)
+        trees = boost_classifier(train, features, won, boost)
     market = None
     if facts["priced"] >= min_priced:
         market = logistic_curve(train.where(F.col("market_spread").isNotNull()), ["market_spread"],
@@ -309,8 +456,7 @@ def fit_total(history: DataFrame, features: Sequence[str] = K.TOTAL_FEATURES, bo
         raise ValueError("no completed games with a final score to train on")
     model = TotalModel(features, (ridge["intercept"], list(ridge["beta"])), None, n_train=ridge["n_train"])
     if boost.rounds and ridge["n_train"] >= min_boost:
-        data = _assembled(train.withColumn("__y", F.col("actual_total")), features).select("__x", "__y")
-        model.boost = GBTRegressor(featuresCol="__x", labelCol="__y", **boost.settings()).fit(data)
+        model.boost = boost_regressor(train, features, F.col("actual_total"), boost)
     facts = fit_facts(model.score(train), F.col("model_total"), F.col("actual_total")).first()
     model.sigma = min(max(facts["sigma"], K.TOTAL_SIGMA_BOUNDS[0]), K.TOTAL_SIGMA_BOUNDS[1])
     model.train_mae = facts["train_mae"]
@@ -443,10 +589,7 @@ def fit_players(history: DataFrame, features: Sequence[str] = K.PLAYER_FEATURES,
     trees = {}
     for target, row in fits.items():
         if boost.rounds and row["n_train"] >= min_boost:
-            data = _assembled(
-                involved(history, target).withColumn("__y", F.col(target)), features
-            ).select("__x", "__y")
-            trees[target] = GBTRegressor(featuresCol="__x", labelCol="__y", **boost.settings()).fit(data)
+            trees[target] = boost_regressor(involved(history, target), features, F.col(target), boost)
     return PlayerModel(
         features, {t: (r["intercept"], list(r["beta"])) for t, r in fits.items()}, trees,
         {t: r["n_train"] for t, r in fits.items()},
