@@ -2,8 +2,8 @@
 
 Doubles are rounded to six decimals and whole numbers widened on both sides,
 so results compare by value.  Averages of short decimals often sit exactly on
-a rounding tie; the same small nudge on both sides keeps the last bit of a sum
-from deciding which way such a value goes.
+a rounding tie; the same small nudge on both sides (no short decimal itself)
+keeps the last bit of a sum from deciding which way such a value goes.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from ..sources.fixtures import VIEW_SQL, Fixture, fixture
 from .shared_sql import SHARED_SQL
 
 ALL_SQL = {**VIEW_SQL, **SHARED_SQL}
-NUDGE = 1e-8
+NUDGE = 2.718281828e-9
 
 
 def with_views(views: str, body: str) -> str:
