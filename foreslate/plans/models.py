@@ -200,12 +200,12 @@ def logistic_at(rows: DataFrame, features: Sequence[str], label: Column, clock:
     features = list(features)
     size, count = len(features) + 1, len(cutoffs)
     slim = rows.where(F.col(clock) < F.lit(cutoffs[-1])).select(
-        F.col(clock).cast("double").alias("clock"), label.cast("double").alias("y"),
+        F.col(clock).cast("double").alias("__clock"), label.cast("double").alias("__y"),
         *[F.col(f).cast("double") for f in features])
 
     # spread of each feature before each cutoff, which scales the penalty
     later = F.filter(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(float(v)).alias("c")) for i, v in enumerate(cutoffs)]),
-                     lambda s: s["c"] > F.col("clock"))
+                     lambda s: s["c"] > F.col("__clock"))
     passed = F.lit(count) - F.size(later)
     gaps = slim.groupBy(passed.alias("gap")).agg(
         F.count("*").alias("n"), *[F.sum(f).alias(f"s_{f}") for f in features],
