@@ -205,8 +205,8 @@ SELECT season, week, count(*) AS games, count(*) FILTER (WHERE pick_prob < 0.575
        max(CASE WHEN rb = 1 THEN pick || ' over ' || CASE WHEN pick = home_team THEN away_team ELSE home_team END END) AS best_pick,
        max(pick_prob) AS pick_prob,
        max(CASE WHEN rt = 1 THEN away_team || ' @ ' || home_team END) AS highest_total, max(pred_total) AS pred_total
-FROM (SELECT *, row_number() OVER (PARTITION BY season, week ORDER BY pick_prob DESC, game_id) AS rb,
-             row_number() OVER (PARTITION BY season, week ORDER BY pred_total DESC, game_id) AS rt FROM edges)
+FROM (SELECT *, row_number() OVER (PARTITION BY season, week ORDER BY round(pick_prob, 9) DESC, game_id) AS rb,
+             row_number() OVER (PARTITION BY season, week ORDER BY round(pred_total, 9) DESC, game_id) AS rt FROM edges)
 GROUP BY season, week""")
 def _(fx):
     return RP.slate_headline(R.priced(fx))

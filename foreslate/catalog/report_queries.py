@@ -125,7 +125,7 @@ def _(fx):
 @query("r11_player_table", floats="value availability", ints="player_id rank", views="player_rolled one_listing", sql="UNION ALL ".join(
     f"""SELECT player_id, team, availability, category, value, rank,
         CASE WHEN availability >= 0.999 THEN 'available' ELSE 'listed (' || printf('%.0f', availability * 100) || '%)' END AS status
-        FROM (SELECT *, row_number() OVER (ORDER BY value DESC, player_id, team) AS rank FROM (
+        FROM (SELECT *, row_number() OVER (ORDER BY round(value, 9) DESC, player_id, team) AS rank FROM (
           SELECT p.player_id, p.team, coalesce(max(r.availability), 1) AS availability, 'proj_{t}' AS category, max({f}) AS value
           FROM player_rolled p LEFT JOIN one_listing r ON r.season = p.season AND r.week = p.week AND r.player_id = p.player_id
           GROUP BY p.player_id, p.team) WHERE value > 0) WHERE rank <= 20 """

@@ -23,12 +23,12 @@ def _(fx):
 
 
 @query("t2_slate_orders", ints="game_id season week by_confidence by_total by_margin", views="edges", sql="""
-SELECT game_id, season, week, row_number() OVER (PARTITION BY season, week ORDER BY pick_prob DESC, game_id) AS by_confidence,
-       row_number() OVER (PARTITION BY season, week ORDER BY pred_total DESC, game_id) AS by_total,
-       row_number() OVER (PARTITION BY season, week ORDER BY pred_margin DESC, game_id) AS by_margin FROM edges""")
+SELECT game_id, season, week, row_number() OVER (PARTITION BY season, week ORDER BY round(pick_prob, 9) DESC, game_id) AS by_confidence,
+       row_number() OVER (PARTITION BY season, week ORDER BY round(pred_total, 9) DESC, game_id) AS by_total,
+       row_number() OVER (PARTITION BY season, week ORDER BY round(pred_margin, 9) DESC, game_id) AS by_margin FROM edges""")
 def _(fx):
     def place(column):
-        return F.row_number().over(W.partitionBy("season", "week").orderBy(F.desc(column), "game_id"))
+        return F.row_number().over(W.partitionBy("season", "week").orderBy(F.desc(F.round(column, 9)), "game_id"))
 
     return R.priced(fx).select(
         "game_id", "season", "week", place("pick_prob").alias("by_confidence"),
@@ -37,7 +37,7 @@ def _(fx):
 
 @query("t3_top_players", floats="value", ints="player_id game_id rank", views="player_weeks", sql="UNION ALL ".join(
     f"""SELECT player_id, game_id, team, category, value, rank FROM (SELECT player_id, game_id, team, '{t}' AS category, {t} AS value,
-        row_number() OVER (ORDER BY {t} DESC, player_id, game_id, team) AS rank FROM player_weeks WHERE {t} > 0) WHERE rank <= 12 """
+        row_number() OVER (ORDER BY round({t}, 9) DESC, player_id, game_id, team) AS rank FROM player_weeks WHERE {t} > 0) WHERE rank <= 12 """
     for t in K.PLAYER_TARGETS))
 def _(fx):
     return U.top_per_category(R.player_weeks(fx), list(K.PLAYER_TARGETS), 12,

@@ -444,7 +444,7 @@ _READABLE = tuple((b, "COIN FLIP" if t == "COINFLIP" else t) for b, t in K.CONFI
 _FLAT = payout("-110.0")
 
 SHARED_SQL["picks"] = ("edges", f"""
-SELECT *, row_number() OVER (PARTITION BY season, week, market ORDER BY strength DESC, game_id) AS rank FROM (
+SELECT *, row_number() OVER (PARTITION BY season, week, market ORDER BY round(strength, 9) DESC, game_id) AS rank FROM (
 SELECT game_id, season, week, away_team || ' @ ' || home_team AS game, 'Moneyline' AS market, pick_prob AS strength, pick,
        CAST(NULL AS DOUBLE) AS model, CAST(NULL AS DOUBLE) AS line, CAST(NULL AS DOUBLE) AS edge, pick_prob AS win_prob,
        {label('pick_prob', _READABLE)} AS rating, {band_case('pick_prob', K.CALIBRATION_BANDS, 1)} AS band_games,

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from .. import constants as K
 from ..functions.scalars import clip, elo_to_spread, rest_points
-from ..sources.store import cut_lineage
+from ..sources.store import cut_lineage, materialize
 
 MAX_ROWS_PER_TASK = 2_000_000
 
@@ -162,7 +162,8 @@ def _stream(options: RatingOptions):
 def _prepare(games: DataFrame, team_games: DataFrame | None, options: RatingOptions) -> DataFrame:
     """Slim contest rows with the home and rest points already worked out."""
     if options.hfa_override is None:
-        base = games.join(home_advantage(games), ["league", "season"], "left")
+        hfa = materialize(home_advantage(games), "home-advantage")
+        base = games.join(hfa, ["league", "season"], "left")
     else:
         base = games.withColumn("hfa", F.lit(float(options.hfa_override)))
     rest = rest_points(F.col("home_rest"), F.col("away_rest")) if options.use_rest else F.lit(0.0)

@@ -167,7 +167,7 @@ def top_per_category(
 ) -> DataFrame:
     """Top rows per value column, positives only; ranking is limited map-side."""
     long = rows.unpivot(list(identity), list(categories), "category", "value").where(F.col("value") > 0)
-    order = W.partitionBy("category").orderBy(F.desc("value"), *tie)
+    order = W.partitionBy("category").orderBy(F.desc(F.round("value", 9)), *tie)
     return long.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 

@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from ..sources.store import materialize
+
 BLOCK_WEEKS = 8
 CHUNK_ROWS = 1000
 
@@ -230,9 +232,13 @@ def prior_baseline(
 def center(
     df: DataFrame, stats: Sequence[str], season: str = "season", by: Sequence[str] = (), scale=None
 ) -> DataFrame:
-    """Subtract the prior-only baseline (and divide by a fixed scale)."""
+    """Subtract the prior-only baseline (and divide by a fixed scale).
+
+    The baseline is written first, so the join is planned on its real size
+    (a row per season broadcasts by itself) and rows never shuffle by season.
+    """
     keys = [*by, season]
-    base = prior_baseline(df, stats, season, by)
+    base = materialize(prior_baseline(df, stats, season, by), "baseline")
     base = base.select(*keys, *[F.col(s).alias(f"{s}__b") for s in stats])
     scale = scale or {}
     return df.join(base, keys, "left").withColumns({

@@ -132,7 +132,7 @@ def availability_features(games: DataFrame, player_weeks: DataFrame, injuries: D
     """
     cost = absence_cost(player_usage(player_weeks), injuries).select("season", "week", "team", "cost")
     cost = materialize(cost, "absence-cost")
-    covered = injuries.select("season").distinct().withColumn("covered", F.lit(True))
+    covered = materialize(injuries.select("season").distinct(), "covered").withColumn("covered", F.lit(True))
     out = games.select("game_id", "season", "week", "home_team", "away_team")
     for side in ("home", "away"):
         out = out.join(

@@ -35,9 +35,9 @@ def slate_headline(slate: DataFrame) -> DataFrame:
     return slate.groupBy(*SLATE).agg(
         F.count("*").alias("games"),
         F.count_if(F.col("pick_prob") < K.COINFLIP_BELOW).alias("coinflips"),
-        F.max_by(F.concat("pick", F.lit(" over "), loser), F.struct("pick_prob", first)).alias("best_pick"),
+        F.max_by(F.concat("pick", F.lit(" over "), loser), F.struct(F.round("pick_prob", 9), first)).alias("best_pick"),
         F.max("pick_prob").alias("pick_prob"),
-        F.max_by(matchup(), F.struct("pred_total", first)).alias("highest_total"),
+        F.max_by(matchup(), F.struct(F.round("pred_total", 9), first)).alias("highest_total"),
         F.max("pred_total").alias("pred_total"),
     )
 
@@ -246,7 +246,8 @@ def ranked_picks(slate: DataFrame) -> DataFrame:
         "game_id", *SLATE, matchup().alias("game"),
         F.explode(F.array_compact(F.array(money, sided, over))).alias("m"),
     ).select("game_id", *SLATE, "game", "m.*")
-    order = W.partitionBy(*SLATE, "market").orderBy(F.desc("strength"), "game_id")
+    # strengths equal but for the last bits of a logarithm are ties
+    order = W.partitionBy(*SLATE, "market").orderBy(F.desc(F.round("strength", 9)), "game_id")
     return picks.withColumn("rank", F.row_number().over(order))
 
 
