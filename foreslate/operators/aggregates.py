@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as K
 from ..functions.scalars import as_number, clip
@@ -69,12 +69,18 @@ def offence_summary(plays: DataFrame) -> DataFrame:
 
 
 def mirror_defence(offence: DataFrame) -> DataFrame:
-    """A team's defence is its opponent's offence in the same game."""
-    other = offence.select(
-        "game_id", F.col("team").alias("opponent"),
-        *[F.col(f"off_{s}").alias(f"def_{s}") for s in SUMMARY_STATS],
+    """A team's defence is its opponent's offence in the same game.
+
+    A game has its two summary rows, so they are put side by side in one
+    shuffle on the game instead of joining the summary to itself.
+    """
+    row = F.struct("team", *[F.col(f"off_{s}").alias(f"def_{s}") for s in SUMMARY_STATS])
+    sides = F.collect_list(row).over(W.partitionBy("game_id"))
+    other = F.get(F.filter("__sides", lambda r: r["team"] == F.col("opponent")), F.lit(0))
+    return (
+        offence.withColumn("__sides", sides).withColumn("__other", other)
+        .select(*offence.columns, *[F.col(f"__other.def_{s}").alias(f"def_{s}") for s in SUMMARY_STATS])
     )
-    return offence.join(other, ["game_id", "opponent"], "left")
 
 
 def team_games(plays: DataFrame, min_plays: int = K.FORM_MIN_PLAYS) -> DataFrame:
@@ -96,8 +102,6 @@ def half_scores(plays: DataFrame) -> DataFrame:
 
 def running_scores(plays: DataFrame) -> DataFrame:
     """Cumulative score per play, where a source lacks it (points = yards)."""
-    from pyspark.sql import Window as W
-
     upto = W.partitionBy("game_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     return plays.withColumns({
         "total_home_score": F.sum(F.when(F.col("posteam") == F.col("home_team"), F.col("yards_gained")).otherwise(0.0)).over(upto),

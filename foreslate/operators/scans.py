@@ -26,6 +26,10 @@ def week_block(week: Column, weeks: int = BLOCK_WEEKS) -> Column:
     return F.floor((week - 1) / weeks).cast("int")
 
 
+def _names(columns: Sequence[str]) -> str:
+    return ", ".join(f"`{c}`" for c in columns)
+
+
 # --------------------------------------------------------------------------
 # decayed scan
 # --------------------------------------------------------------------------
@@ -127,34 +131,32 @@ def decayed_scan(
     keys = [*entity, *block]
     slim = df.select(*keys, *order, *rules)
 
+    # SQL text keeps the driver's share small: one call per expression.
     # Powers of 1/decay stay finite because a chunk has at most CHUNK_ROWS
     # rows.  The chunk windows reuse the (entity, block) exchange.
-    position = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    rows = slim.withColumn("__c", F.floor((position - 1) / CHUNK_ROWS).cast("int"))
-    chunk = W.partitionBy(*keys, "__c").orderBy(*order)
-    upto = chunk.rowsBetween(W.unboundedPreceding, 0)
-    before = chunk.rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumns({f"{v}__j": F.count(v).over(upto) for v in rules})
+    by, sort = _names(keys), _names(order)
+    chunk = f"PARTITION BY {by}, `__c` ORDER BY {sort} ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    position = f"row_number() OVER (PARTITION BY {by} ORDER BY {sort})"
+    rows = slim.selectExpr("*", f"CAST(floor(({position} - 1) / {CHUNK_ROWS}) AS INT) AS `__c`")
+    rows = rows.selectExpr("*", *[f"count(`{v}`) OVER ({chunk} CURRENT ROW) AS `{v}__j`" for v in rules])
 
-    def fade(rule: Recurrence, n: Column) -> Column:
-        return F.lit(1.0) if rule.decay == 1.0 else F.pow(F.lit(rule.decay), n)
+    def fade(decay: float, n: str) -> str:
+        return "1.0D" if decay == 1.0 else f"pow({decay!r}D, {n})"
 
-    def term(v: str) -> Column:
-        rule = rules[v]
-        return F.col(v) * fade(Recurrence(1.0 / rule.decay, 1.0, False), F.col(f"{v}__j"))
+    def term(v: str) -> str:
+        return f"`{v}` * {fade(1.0 / rules[v].decay, f'`{v}__j`')}"
 
-    zero = F.lit(0.0)
     summary = rows.groupBy(*keys, "__c").agg(
-        *[F.count(v).cast("double").alias(f"{v}__m") for v in rules],
-        *[(F.coalesce(F.sum(term(v)), zero) * fade(r, F.count(v))).alias(f"{v}__d")
+        *[F.expr(f"CAST(count(`{v}`) AS DOUBLE) AS `{v}__m`") for v in rules],
+        *[F.expr(f"coalesce(sum({term(v)}), 0.0D) * {fade(r.decay, f'count(`{v}`)')} AS `{v}__d`")
           for v, r in rules.items()],
-        *[(F.min_by(F.col(v), F.when(F.col(v).isNotNull(), F.col(f"{v}__j"))).cast("double")
-           if r.seeded else zero).alias(f"{v}__f") for v, r in rules.items()],
+        *[F.expr(f"CAST(min_by(`{v}`, CASE WHEN `{v}` IS NOT NULL THEN `{v}__j` END) AS DOUBLE) AS `{v}__f`"
+                 if r.seeded else f"0.0D AS `{v}__f`") for v, r in rules.items()],
     )
     lead = [*keys, "__c"]
     states = [f"{v}__{k}0" for k in "sne" for v in rules]
     schema = T.StructType(
-        [summary.schema[c] for c in lead] + [T.StructField(s, T.DoubleType()) for s in states]
+        [rows.schema[c] for c in lead] + [T.StructField(s, T.DoubleType()) for s in states]
     )
     carried = (
         summary.repartition(*entity)
@@ -162,31 +164,30 @@ def decayed_scan(
         .mapInPandas(_fold_blocks(len(entity), restart, list(rules.values()), states), schema)
     )
 
-    local = rows.withColumns({
-        **{f"{v}__l": F.sum(term(v)).over(before) for v in rules},
-        **{f"{v}__f": F.first(v, ignorenulls=True).over(before)
-           for v, r in rules.items() if r.seeded},
-    })
+    local = rows.selectExpr(
+        "*",
+        *[f"sum({term(v)}) OVER ({chunk} 1 PRECEDING) AS `{v}__l`" for v in rules],
+        *[f"first(`{v}`, true) OVER ({chunk} 1 PRECEDING) AS `{v}__f`" for v, r in rules.items() if r.seeded],
+    )
     joined = local.join(carried, lead, "left")
 
-    def number(name: str) -> Column:
-        return F.nanvl(F.col(name), F.lit(None).cast("double"))
-
-    def pieces(v: str, rule: Recurrence) -> list[Column]:
-        n = F.col(f"{v}__j") - F.when(F.col(v).isNotNull(), 1).otherwise(0)
-        carry = number(f"{v}__s0")
-        seed = F.coalesce(carry, F.col(f"{v}__f")) if rule.seeded else F.coalesce(carry, zero)
-        size = fade(rule, n)
-        state = F.when(n == 0, carry if rule.seeded else seed).otherwise(
-            size * seed + F.coalesce(F.col(f"{v}__l"), zero) * size * rule.gain
-        )
-        out = [state.alias(f"{v}__s"), (F.col(f"{v}__n0") + n).alias(f"{v}__n")]
+    def pieces(v: str, rule: Recurrence) -> list[str]:
+        n = f"(`{v}__j` - CASE WHEN `{v}` IS NOT NULL THEN 1 ELSE 0 END)"
+        carry = f"nanvl(`{v}__s0`, CAST(NULL AS DOUBLE))"
+        seed = f"coalesce({carry}, `{v}__f`)" if rule.seeded else f"coalesce({carry}, 0.0D)"
+        size = fade(rule.decay, n)
+        out = [
+            f"CASE WHEN {n} = 0 THEN {carry if rule.seeded else seed} ELSE {size} * {seed} "
+            f"+ coalesce(`{v}__l`, 0.0D) * {size} * {rule.gain!r}D END AS `{v}__s`",
+            f"`{v}__n0` + {n} AS `{v}__n`",
+        ]
         if restart:
-            out.append(number(f"{v}__e0").alias(f"{v}__e"))
+            out.append(f"nanvl(`{v}__e0`, CAST(NULL AS DOUBLE)) AS `{v}__e`")
         return out
 
-    return joined.select(
-        *keys, *order, *rules, *[p for v, r in rules.items() for p in pieces(v, r)]
+    return joined.selectExpr(
+        *[f"`{c}`" for c in (*keys, *order, *rules)],
+        *[p for v, r in rules.items() for p in pieces(v, r)],
     )
 
 
@@ -216,17 +217,15 @@ def prior_baseline(
     window runs over the season-level aggregate only.
     """
     totals = df.groupBy(*by, season).agg(
-        *[F.sum(s).alias(f"{s}__t") for s in stats], *[F.count(s).alias(f"{s}__n") for s in stats]
+        *[F.expr(f"sum(`{s}`) AS `{s}__t`") for s in stats], *[F.expr(f"count(`{s}`) AS `{s}__n`") for s in stats]
     )
-    past = W.partitionBy(*by).orderBy(season).rowsBetween(W.unboundedPreceding, -1)
-
-    def baseline(s: str) -> Column:
-        n = F.coalesce(F.sum(f"{s}__n").over(past), F.lit(0))
-        t = F.coalesce(F.sum(f"{s}__t").over(past), F.lit(0.0))
-        own = F.when(F.col(f"{s}__n") > 0, F.col(f"{s}__t") / F.col(f"{s}__n"))
-        return F.when(n > 0, t / n).otherwise(own).alias(s)
-
-    return totals.select(*by, season, *[baseline(s) for s in stats])
+    part = f"PARTITION BY {_names(by)} " if by else ""
+    past = f"OVER ({part}ORDER BY `{season}` ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return totals.selectExpr(*[f"`{c}`" for c in (*by, season)], *[
+        f"CASE WHEN coalesce(sum(`{s}__n`) {past}, 0) > 0 "
+        f"THEN coalesce(sum(`{s}__t`) {past}, 0.0D) / sum(`{s}__n`) {past} "
+        f"WHEN `{s}__n` > 0 THEN `{s}__t` / `{s}__n` END AS `{s}`" for s in stats
+    ])
 
 
 def center(
@@ -239,11 +238,12 @@ def center(
     """
     keys = [*by, season]
     base = materialize(prior_baseline(df, stats, season, by), "baseline")
-    base = base.select(*keys, *[F.col(s).alias(f"{s}__b") for s in stats])
+    base = base.selectExpr(*[f"`{k}`" for k in keys], *[f"`{s}` AS `{s}__b`" for s in stats])
     scale = scale or {}
-    return df.join(base, keys, "left").withColumns({
-        s: (F.col(s) - F.col(f"{s}__b")) / F.lit(scale.get(s, 1.0)) for s in stats
-    }).drop(*[f"{s}__b" for s in stats])
+    return df.join(base, keys, "left").selectExpr(
+        *[f"`{c}`" for c in df.columns if c not in stats],
+        *[f"(`{s}` - `{s}__b`) / {float(scale.get(s, 1.0))!r}D AS `{s}`" for s in stats],
+    )
 
 
 # --------------------------------------------------------------------------
