@@ -4,7 +4,7 @@ from importlib import import_module
 
 #: Modules that register queries; each has QUERIES and, where SQL can express it, ORACLE_SQL.
 MODULES = (
-    "decontaminate", "secrets", "language_id", "chat_format", "exact_dedup",
+    "decontaminate", "bpe", "secrets", "language_id", "chat_format", "exact_dedup",
 )
 
 
