@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from ..sources.store import scratch_path
+from ..sources.store import materialize, scratch_path
 from .common import documents, text_or_empty
 
 
@@ -136,7 +136,11 @@ class Ledger:
         return run
 
     def report(self, run: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """Findings of one run, joined back to every path: path_id and an array of spans."""
+        """Findings of one run, joined back to every path: path_id and an array of spans.
+
+        The spans are stored per blob first, so that both sides of the join
+        are plain shuffles and Spark can split a blob that a third of all paths hold.
+        """
         rank = F.create_map(*[x for r in rules for x in (F.lit(r.key), F.lit(r.rank))])
         kind = F.create_map(*[x for r in rules for x in (F.lit(r.key), F.lit(r.kind))])
         spans = (
@@ -144,6 +148,7 @@ class Ledger:
             .groupBy("blob").agg(F.sort_array(F.collect_list(F.struct(
                 "start", rank[F.col("rule")].alias("rank"), "stop", kind[F.col("rule")].alias("kind")))).alias("spans"))
         )
+        spans = materialize(spans, "spans")
         paths = self.versions.where(F.col("run") == run).select("path_id", "blob")
         return paths.join(spans, "blob", "left").select(
             "path_id", F.coalesce("spans", F.array().cast(
