@@ -160,17 +160,11 @@ def fit(labelled: DataFrame) -> Model:
     return Model(langs, [tuple(r) for r in top], [tuple(r) for r in grams.select("size", "gram", "lang", "n").collect()])
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` added (replacing columns of these names).
-
-    Null texts and texts without a letter are ``und`` with score 0, and so is
-    everything when nothing was learned.  Ties go to the first language by
-    name.  Repeated rows get equal answers; no rows give no rows.
-    """
+def _told(docs: DataFrame, model: Model, names: list[str], text_col: str) -> DataFrame:
+    """(row: the named columns, lang_pred, score)."""
     spark = docs.sparkSession
     python_ready(spark)
     shared = spark.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = packed.schema["row"].dataType.simpleString()
 
@@ -181,7 +175,24 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 batch["row"], pa.array([x for x, _ in told], pa.string()), pa.array([s for _, s in told], pa.float64())],
                 names=["row", "lang_pred", "score"])
 
-    return packed.mapInArrow(predict, f"row {kind}, lang_pred string, score double").select("row.*", "lang_pred", "score")
+    return packed.mapInArrow(predict, f"row {kind}, lang_pred string, score double")
+
+
+def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` added (replacing columns of these names).
+
+    Null texts and texts without a letter are ``und`` with score 0, and so is
+    everything when nothing was learned.  Ties go to the first language by
+    name.  Repeated rows get equal answers; no rows give no rows.
+    """
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return _told(docs, model, names, text_col).select("row.*", "lang_pred", "score")
+
+
+def identified(docs: DataFrame, model: Model, least_score: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns untouched, whose text is in one of the model's languages."""
+    told = _told(docs, model, docs.columns, text_col)
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")
 
 
 def learnable(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
