@@ -24,7 +24,6 @@ BLOCK_BYTES = 16 << 20
 #: Bits of the table that is asked before the hash set itself.
 GATE_BITS = 22
 
-WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Lower-cases A-Z and turns everything that is not a word byte into a space.
 _TO_WORDS = bytes(
     32 if b <= 0x2F or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F
@@ -74,7 +73,7 @@ class Block:
         for seed in range(100):
             rng = np.random.default_rng(seed)
             self.value = rng.integers(0, 1 << 64, len(self.ids) + 1, np.uint64)
-            self.factor = np.uint64(rng.integers(1, 1 << 63) * 2 + 1)
+            self.factor = np.uint64(int(rng.integers(1, 1 << 62)) * 2 + 1)
             if self._fill(coded):
                 return
         raise ValueError("no seed keeps the windows' hashes apart")
@@ -201,7 +200,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def _cut_text(text: bytes, hits: list[int]) -> bytes:
-    places = [m.span() for m in WORD.finditer(text)]
+    places = [m.span() for m in re.finditer(rb"[^ ]+", text.translate(_TO_WORDS))]
     kept, last = [], 0
     for start, stop in zip(hits[::2], hits[1::2]):
         kept.append(text[last:places[start][0]])
