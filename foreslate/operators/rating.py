@@ -1,34 +1,27 @@
 """Pairwise rating pass: sequential state over time-ordered contests.
 
 Every update needs both sides' latest ratings, so a league is one dependency
-chain.  The pass streams each league's contests in order through
-``mapInPandas`` holding only the rating table (one number per team), never
-the games.  A league too large for one task is cut into time chunks of a
-bounded row count; the state rows of a chunk are checkpointed and fed to the
-next one, so a lost executor repeats a chunk, not the history.
+chain, whatever its size.  The pass streams each league's contests in order
+through ``mapInArrow`` and holds only the ratings (a few numbers per team and
+passer) and one batch; the sort before it spills.  Within a season of a batch,
+contests whose sides have no earlier contest left are updated together as
+arrays.  A lost executor repeats its leagues' pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import log
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from .. import constants as K
 from ..functions.scalars import clip, elo_to_spread, rest_points
-from ..sources.store import cut_lineage, materialize
+from ..sources.store import materialize
 
-MAX_ROWS_PER_TASK = 2_000_000
-
-GAME_FIELDS = (
-    "league string, row_kind int, season int, week int, kickoff timestamp_ntz, game_id string, "
-    "home_team string, away_team string, points double, margin double, "
-    "home_qb string, away_qb string, home_epa double, away_epa double, "
-    "name string, entry string, value double, games double"
-)
 OUT_FIELDS = (
     "league string, row_kind int, season int, game_id string, elo_home_pre double, "
     "elo_away_pre double, elo_diff double, elo_qb_points double, "
@@ -67,94 +60,128 @@ def home_advantage(games: DataFrame, by=("league",)) -> DataFrame:
     return season.select(*by, "season", value.alias("hfa"))
 
 
-def _passer_points(team, passer, ratings, baselines) -> float:
-    if not passer or team not in baselines:
-        return 0.0
-    usual = baselines[team]
-    known = ratings.get(passer)
-    level = usual - K.RATING_PASSER_UNKNOWN if known is None else known[0]
-    gap = (level - usual) * K.RATING_PASSER_POINTS
-    return max(-K.RATING_PASSER_CAP, min(K.RATING_PASSER_CAP, gap))
-
-
-def _learn_passer(team, passer, seen, ratings, baselines) -> None:
-    if not passer or seen != seen:
-        return
-    level, starts = ratings.get(passer, (0.0, 0.0))
-    trust = starts / (starts + K.RATING_PASSER_SHRINK) if starts else 1.0 / K.RATING_PASSER_SHRINK
-    level += max(K.RATING_PASSER_ALPHA * trust, K.RATING_PASSER_MIN_WEIGHT) * (seen - level)
-    ratings[passer] = (level, starts + 1.0)
-    usual = baselines.get(team, level)
-    baselines[team] = usual + K.RATING_PASSER_ALPHA * (level - usual)
-
-
 def _stream(options: RatingOptions):
-    """The sequential helper: one sorted stream of state rows and contests."""
-    out_names = [f.split()[0] for f in OUT_FIELDS.split(", ")]
-
-    def close(league, season, elo, passers, usual):
-        rows = [(league, 1, season, None, None, None, None, None, t, "team", v, None)
-                for t, v in elo.items()]
-        rows += [(league, 1, season, None, None, None, None, None, p, "passer", v, n)
-                 for p, (v, n) in passers.items()]
-        rows += [(league, 1, season, None, None, None, None, None, t, "usual", v, None)
-                 for t, v in usual.items()]
-        return rows
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        league, season = None, None
-        elo: dict = {}
-        passers: dict = {}
-        usual: dict = {}
-        for batch in batches:
-            out = []
-            columns = [batch[c].tolist() for c in (
-                "league", "row_kind", "season", "game_id", "home_team", "away_team", "points",
-                "margin", "home_qb", "away_qb", "home_epa", "away_epa", "name", "entry",
-                "value", "games")]
-            for (lg, kind, yr, gid, home, away, points, margin, hq, aq, he, ae,
-                 name, entry, value, n) in zip(*columns):
-                if lg != league:
+    """The sequential helper.  It takes nothing of this package to the workers but numbers."""
+    k, carry, with_passer = options.k, options.season_carry, options.use_passer
+    start, per_point, divisor, mov = K.ELO_INIT, K.ELO_PER_POINT, K.ELO_DIVISOR, K.ELO_MOV_B
+    step_down, worth, most = K.RATING_PASSER_UNKNOWN, K.RATING_PASSER_POINTS, K.RATING_PASSER_CAP
+    pace, shrink, slowest = K.RATING_PASSER_ALPHA, K.RATING_PASSER_SHRINK, K.RATING_PASSER_MIN_WEIGHT
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+    out_schema = pa.schema([(n, kinds[k]) for n, k in (f.split() for f in OUT_FIELDS.split(", "))])
+
+    class Table:
+        """Numbers by name: a value, and how many contests taught it."""
+
+        def __init__(self, first: float):
+            self.code: dict = {}
+            self.first, self.value, self.taught = first, np.zeros(0), np.zeros(0)
+
+        def codes(self, names: list) -> np.ndarray:
+            """Places of the names; -1 for none.  New names get the first value."""
+            found = np.array([self.code.setdefault(n, len(self.code)) if n else -1 for n in names], np.int64)
+            new = len(self.code) - len(self.value)
+            self.value = np.append(self.value, np.full(new, self.first))
+            self.taught = np.append(self.taught, np.zeros(new))
+            return found
+
+    def rounds(sides: list[np.ndarray]) -> list[np.ndarray]:
+        """Contests in groups, each contest after all earlier ones that share a side with it."""
+        last: dict[int, int] = {}
+        level = []
+        for places in zip(*(s.tolist() for s in sides)):
+            own = [p for p in places if p >= 0]
+            level.append(1 + max((last.get(p, 0) for p in own), default=0))
+            last.update(dict.fromkeys(own, level[-1]))
+        order = np.argsort(level, kind="stable")
+        return np.split(order, np.flatnonzero(np.diff(np.array(level)[order])) + 1)
+
+    class League:
+        def __init__(self) -> None:
+            self.season = None
+            self.elo, self.passer, self.usual = Table(start), Table(0.0), Table(np.nan)
+
+        def edge(self, team: np.ndarray, passer: np.ndarray) -> np.ndarray:
+            """Points a starter is worth beside the team's usual level; a new one counts a step below it."""
+            usual = self.usual.value[team]
+            level = np.where(self.passer.taught[passer] > 0, self.passer.value[passer], usual - step_down)
+            told = np.clip((level - usual) * worth, -most, most)
+            return np.where((passer < 0) | np.isnan(usual), 0.0, told)
+
+        def teach(self, team: np.ndarray, passer: np.ndarray, seen: np.ndarray) -> None:
+            """(level, starts, usual) after one more start with result ``seen``."""
+            known = (passer >= 0) & ~np.isnan(seen)
+            team, passer, seen = team[known], passer[known], seen[known]
+            starts, level = self.passer.taught[passer], self.passer.value[passer]
+            weight = np.maximum(pace * np.where(starts > 0, starts / (starts + shrink), 1 / shrink), slowest)
+            level = level + weight * (seen - level)
+            self.passer.value[passer], self.passer.taught[passer] = level, starts + 1
+            usual = self.usual.value[team]
+            self.usual.value[team] = np.where(np.isnan(usual), level, usual + pace * (level - usual))
+
+        def play(self, rows: pd.DataFrame) -> pa.RecordBatch:
+            """Pregame ratings of a run of contests of one season, in order; then what they teach."""
+            season = rows["season"].iloc[0]
+            if not pd.isna(season):
+                if self.season is not None:
+                    self.elo.value = start + carry ** (season - self.season) * (self.elo.value - start)
+                self.season = int(season)
+            home, away = (self.elo.codes(rows[c].tolist()) for c in ("home_team", "away_team"))
+            sides = [2 * home, 2 * away]
+            if with_passer:
+                home_usual, away_usual = (self.usual.codes(rows[c].tolist()) for c in ("home_team", "away_team"))
+                passers = [self.passer.codes(rows[c].tolist()) for c in ("home_qb", "away_qb")]
+                sides += [np.where(p < 0, -1, 2 * p + 1) for p in passers]
+            points, margin = (rows[c].to_numpy(float) for c in ("points", "margin"))
+            before = np.zeros((4, len(rows)))
+            for own in rounds(sides):
+                h, a = self.elo.value[home[own]], self.elo.value[away[own]]
+                extra = np.zeros(len(own))
+                if with_passer:
+                    extra = self.edge(home_usual[own], passers[0][own]) - self.edge(away_usual[own], passers[1][own])
+                diff = h - a + (points[own] + extra) * per_point
+                before[:, own] = h, a, diff, extra
+                own, diff = own[(played := ~np.isnan(margin[own]))], diff[played]
+                won, lead = np.sign(margin[own]), np.sign(margin[own]) * diff
+                size = np.where(won == 0, 1.0, np.log1p(np.abs(margin[own])) * mov / (lead * 0.001 + mov))
+                shift = k * size * ((won + 1) / 2 - 1 / (1 + 10 ** (-diff / divisor)))
+                self.elo.value[home[own]] += shift
+                self.elo.value[away[own]] -= shift
+                if with_passer:
+                    self.teach(home_usual[own], passers[0][own], rows["home_epa"].to_numpy(float)[own])
+                    self.teach(away_usual[own], passers[1][own], rows["away_epa"].to_numpy(float)[own])
+            told = dict(zip(("elo_home_pre", "elo_away_pre", "elo_diff", "elo_qb_points"), before))
+            return packed(len(rows), row_kind=[0] * len(rows), **{c: rows[c].tolist() for c in ("league", "season", "game_id")}, **told)
+
+        def state(self, league) -> pa.RecordBatch:
+            rows = [
+                (name, entry, table.value[at], table.taught[at] if entry == "passer" else None)
+                for entry, table in (("team", self.elo), ("passer", self.passer), ("usual", self.usual))
+                for name, at in table.code.items()
+                if entry == "team" or (table.taught[at] > 0 if entry == "passer" else table.value[at] == table.value[at])
+            ]
+            n = len(rows)
+            return packed(n, league=[league] * n, row_kind=[1] * n, season=[self.season] * n,
+                          **dict(zip(("name", "entry", "value", "games"), zip(*rows))))
+
+    def packed(n: int, **columns) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(columns.get(f.name, [None] * n), f.type, from_pandas=True) for f in out_schema], schema=out_schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, league = None, None
+        for batch in (b.to_pandas() for b in batches if b.num_rows):
+            # runs of one league and one season; the sort has put them together
+            same = (batch["league"].eq(batch["league"].shift()) | batch["league"].isna() & batch["league"].shift().isna()) & (
+                batch["season"].eq(batch["season"].shift()) | batch["season"].isna() & batch["season"].shift().isna())
+            same.iloc[0] = False
+            for _, rows in batch.groupby((~same).cumsum(), sort=False):
+                own = rows["league"].iloc[0]
+                if league is None or own != name:
                     if league is not None:
-                        out += close(league, season, elo, passers, usual)
-                    league, season, elo, passers, usual = lg, None, {}, {}, {}
-                if kind == 0:
-                    season = yr
-                    if entry == "team":
-                        elo[name] = value
-                    elif entry == "passer":
-                        passers[name] = (value, n)
-                    else:
-                        usual[name] = value
-                    continue
-                if season is not None and yr != season:
-                    fade = options.season_carry ** (yr - season)
-                    elo = {t: K.ELO_INIT + fade * (v - K.ELO_INIT) for t, v in elo.items()}
-                season = yr
-                h, a = elo.get(home, K.ELO_INIT), elo.get(away, K.ELO_INIT)
-                q = 0.0
-                if options.use_passer:
-                    q = _passer_points(home, hq, passers, usual) - _passer_points(
-                        away, aq, passers, usual)
-                diff = h - a + (points + q) * K.ELO_PER_POINT
-                out.append((lg, 0, yr, gid, h, a, diff, q, None, None, None, None))
-                if margin != margin:
-                    continue
-                expected = 1.0 / (1.0 + 10.0 ** (-diff / K.ELO_DIVISOR))
-                if margin == 0:
-                    shift = options.k * (0.5 - expected)
-                else:
-                    lead = diff if margin > 0 else -diff
-                    size = log(abs(margin) + 1.0) * K.ELO_MOV_B / (lead * 0.001 + K.ELO_MOV_B)
-                    shift = options.k * size * ((1.0 if margin > 0 else 0.0) - expected)
-                elo[home] = h + shift
-                elo[away] = elo.get(away, K.ELO_INIT) - shift
-                if options.use_passer:
-                    _learn_passer(home, hq, he, passers, usual)
-                    _learn_passer(away, aq, ae, passers, usual)
-            yield pd.DataFrame(out, columns=out_names)
+                        yield league.state(name)
+                    name, league = own, League()
+                yield league.play(rows)
         if league is not None:
-            yield pd.DataFrame(close(league, season, elo, passers, usual), columns=out_names)
+            yield league.state(name)
 
     return run
 
@@ -194,27 +221,18 @@ def _text_key(df: DataFrame) -> Column:
 
 
 def _stream_rows(base: DataFrame) -> DataFrame:
-    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    text = F.lit(None).cast("string")
     passer: dict[str, Column] = {
         f"{s}_qb": F.col(f"{s}_qb_id").cast("string") if f"{s}_qb_id" in base.columns else text
         for s in ("home", "away")
     }
     return base.select(
-        "league", F.lit(1).alias("row_kind"), "season", "week", "kickoff",
+        "league", "season", "week", "kickoff",
         _text_key(base).alias("game_id"),
         "home_team", "away_team", (F.col("hfa") + F.col("rest_pts")).alias("points"),
         F.when(F.col("completed"), F.col("margin")).cast("double").alias("margin"),
         passer["home_qb"].alias("home_qb"), passer["away_qb"].alias("away_qb"),
         "home_epa", "away_epa",
-        text.alias("name"), text.alias("entry"), number.alias("value"), number.alias("games"),
-    )
-
-
-def _one_pass(rows: DataFrame, options: RatingOptions) -> DataFrame:
-    return (
-        rows.repartition("league")
-        .sortWithinPartitions("league", "row_kind", "season", "week", "kickoff", "game_id")
-        .mapInPandas(_stream(options), OUT_FIELDS)
     )
 
 
@@ -222,46 +240,19 @@ def rating_pass(
     games: DataFrame,
     team_games: DataFrame | None = None,
     options: RatingOptions = RatingOptions(),
-    max_rows: int = MAX_ROWS_PER_TASK,
 ) -> tuple[DataFrame, DataFrame]:
     """Pregame ratings per contest, and the final state rows.
 
     Returns ``(pregame, state)``.  Unplayed contests are rated but teach
-    nothing.  ``state`` has league, name, entry (team, passer, usual), value,
-    games and the season it stands at.
+    nothing; null seasons and weeks come first in their order.  ``state`` has league, name, entry
+    (team, passer, usual), value, games and the season it stands at.
     """
     base = _prepare(games, team_games, options)
-    rows = _stream_rows(base)
-
-    # Where to cut: cumulative rows per league over (season, week) counts.
-    counts = games.groupBy("league", "season", "week").agg(F.count("*").alias("rows"))
-    before = W.partitionBy("league").orderBy("season", "week").rowsBetween(W.unboundedPreceding, 0)
-    cuts = counts.withColumn(
-        "chunk", F.floor((F.sum("rows").over(before) - F.col("rows")) / max_rows).cast("int")
-    )
-    chunks = cuts.agg(F.max("chunk")).first()[0]
-    if not chunks:
-        passed = _one_pass(rows, options)
-        state = passed.where("row_kind = 1")
-    else:
-        cut_rows = rows.join(cuts.select("league", "season", "week", "chunk"),
-                             ["league", "season", "week"])
-        names = rows.columns
-        finished, state = [], None
-        for chunk in range(chunks + 1):
-            part = cut_rows.where(F.col("chunk") == chunk).select(*names)
-            if state is not None:
-                part = part.unionByName(
-                    state.select("league", F.lit(0).alias("row_kind"), "season", "name",
-                                 "entry", "value", "games"),
-                    allowMissingColumns=True,
-                )
-            done = cut_lineage(_one_pass(part, options))
-            finished.append(done.where("row_kind = 0"))
-            state = done.where("row_kind = 1")
-        passed = finished[0]
-        for more in finished[1:]:
-            passed = passed.unionByName(more)
+    passed = materialize(
+        _stream_rows(base).repartition("league")
+        .sortWithinPartitions("league", "season", "week", "kickoff", "game_id")
+        .mapInArrow(_stream(options), OUT_FIELDS), "ratings")
+    state = passed.where("row_kind = 1")
     pregame = passed.where("row_kind = 0").select(
         F.col("game_id").alias("__key"), "elo_home_pre", "elo_away_pre", "elo_diff", "elo_qb_points",
     )

@@ -41,9 +41,14 @@ def reference(fx):
     return expected(games, hfa)
 
 
-@pytest.mark.parametrize("max_rows", [RT.MAX_ROWS_PER_TASK, 60])
-def test_pass_matches_loop_whole_and_in_chunks(fx, reference, max_rows):
-    pregame, state = RT.rating_pass(fx.games, max_rows=max_rows)
+@pytest.mark.parametrize("batch", ["10000", "37"])
+def test_pass_matches_loop_whatever_the_batches(spark, fx, reference, batch):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        pregame, state = RT.rating_pass(fx.games)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     want, final = reference
     rows = pregame.collect()
     assert len(rows) == len(want)
@@ -54,6 +59,13 @@ def test_pass_matches_loop_whole_and_in_chunks(fx, reference, max_rows):
     assert got == {k: pytest.approx(v, abs=1e-8) for k, v in final.items()}
 
 
+def test_rows_without_week_or_season_stay(fx):
+    week = F.when(F.col("game_id") % 31 != 0, F.col("week"))
+    season = F.when(F.col("game_id") % 97 != 0, F.col("season"))
+    pregame, _ = RT.rating_pass(fx.games.withColumns({"week": week, "season": season}))
+    assert pregame.count() == fx.games.count()
+
+
 def test_updates_are_zero_sum_and_unplayed_games_teach_nothing(fx):
     _, state = RT.rating_pass(fx.games)
     means = RT.current_ratings(state).groupBy("league").agg(F.avg("elo").alias("m")).collect()
