@@ -5,9 +5,12 @@ overlap enough are found by their rarest n-grams: two sets with Jaccard of at
 least ``p/q`` share one among the first ``n - ceil(n p/q) + 1`` of each, in any
 fixed order of n-grams.  The order here is by the counts of a fixed-size
 sketch over all documents, so passages that many documents hold come last; the
-sketch decides speed alone, never the result.  Rows connected that way are
-multiplied block by block: overlaps are accumulated over the n-gram columns,
-and a pair is kept if its overlap reaches the bound that its two sizes give.
+sketch decides speed alone, never the result.  Of the rows that share such an
+n-gram, pairs are discarded whose bitmaps (a bit per n-gram hash, flipped by
+each of its n-grams) differ in more places than the two sizes allow.  The rows
+that stay connected are multiplied block by block: overlaps are accumulated over
+the n-gram columns, and a pair is kept if its overlap reaches the bound that
+its two sizes give.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from .components import connected_components
 from .shingles import mix, shingle_sets
 
 #: Counters of the sketch, its slices, rows of a block, and columns from which a dense product is used.
-SKETCH_BITS, SLICES, BLOCK_ROWS, DENSE = 22, 64, 768, 48
+SKETCH_BITS, SLICES, BLOCK_ROWS, DENSE = 22, 64, 384, 48
 
 
 @dataclass(frozen=True)
@@ -41,6 +44,10 @@ class Measure:
         """Smallest overlap of sets whose sizes sum to ``sizes``: (p + q) i >= p (s1 + s2)."""
         return -(-self.p * sizes // (self.p + self.q))
 
+    def most_different(self, sizes):
+        """Most elements that are in one alone of two sets that link."""
+        return sizes - 2 * self.least_overlap(sizes)
+
     def prefix(self, n: int) -> int:
         return n - -(-self.p * n // self.q) + 1
 
@@ -66,11 +73,20 @@ def _digest(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
 
 
+def bitmap(own: np.ndarray) -> bytes:
+    """Parities of the hashes in twice to four times as many places as there are n-grams."""
+    places = 64
+    while places < 2 * len(own):
+        places *= 2
+    at = (mix(own ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(places - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=places) & 1).astype(bool)).tobytes()
+
+
 def describe_sets(docs: DataFrame, measure: Measure) -> DataFrame:
-    """Rows (id, node, n, check) of every document, and rows (slice, counts) of the tasks' sketches."""
+    """Rows (id, node, n, check, bitmap) of every document, and rows (slice, counts) of the tasks' sketches."""
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint8)
-        names = ["id", "node", "n", "check", "slice", "counts"]
+        names = ["id", "node", "n", "check", "bitmap", "slice", "counts"]
         for batch in _steps(batches):
             sets = shingle_sets(_texts(batch), measure.words)
             nodes = [_digest(s) for s in sets]
@@ -82,13 +98,13 @@ def describe_sets(docs: DataFrame, measure: Measure) -> DataFrame:
             yield pa.record_batch([
                 batch["id"], pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+                pa.array([bitmap(s) for s in sets], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         yield pa.record_batch([
             pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()),
-            pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()),
+            pa.nulls(SLICES, pa.binary()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()),
             pa.array([x.tobytes() for x in np.split(counts, SLICES)], pa.binary())], names=names)
 
-    return docs.mapInArrow(describe, "id bigint, node bigint, n bigint, check binary, slice int, counts binary")
+    return docs.mapInArrow(describe, "id bigint, node bigint, n bigint, check binary, bitmap binary, slice int, counts binary")
 
 
 def merge_sketches(slices: DataFrame) -> np.ndarray:
@@ -113,8 +129,8 @@ def merge_sketches(slices: DataFrame) -> np.ndarray:
     return np.minimum(np.log2(whole + 1.0) * 6, 255).astype(np.uint8)
 
 
-def candidate_edges(docs: DataFrame, measure: Measure, sketch: np.ndarray) -> DataFrame:
-    """(a, b) of nodes that share a rare n-gram and whose sizes allow a link, as chains in size order."""
+def shared_grams(docs: DataFrame, measure: Measure, sketch: np.ndarray) -> DataFrame:
+    """(cluster, id, n): nodes that share a rare n-gram with another of a size that allows a link."""
     spark = docs.sparkSession
     shared, parts = spark.sparkContext.broadcast(sketch), buckets(spark)
 
@@ -147,19 +163,92 @@ def candidate_edges(docs: DataFrame, measure: Measure, sketch: np.ndarray) -> Da
                 *[pa.array([x[by[cuts[b]:cuts[b + 1]]].tobytes() for b in full], pa.binary()) for x in (gram, node, size)]],
                 names=["part", "gram", "node", "size"])
 
-    def chains(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[bytes, bytes, bytes]] = []
         for batch in batches:
             held += zip(*(batch[c].to_pylist() for c in ("gram", "node", "size")))
         gram, node, size = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held) if held else ([],) * 3, (np.uint64, np.int64, np.uint32)))
         by = np.lexsort((node, size, gram))
         gram, node, size = gram[by], node[by], size[by].astype(np.int64)
-        near = (gram[1:] == gram[:-1]) & (node[1:] != node[:-1]) & (size[:-1] * measure.q >= size[1:] * measure.p)
-        pairs = np.unique(np.stack([node[:-1][near], node[1:][near]]), axis=1)
-        yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        once = np.concatenate([[True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])])[:len(gram)]
+        gram, node, size = gram[once], node[once], size[once]
+        # sizes are in order, so a row that can't link to its neighbours can't link to any
+        near = (gram[1:] == gram[:-1]) & (size[:-1] * measure.q >= size[1:] * measure.p)
+        some = np.concatenate([near, [False]])[:len(gram)] | np.concatenate([[False], near])[:len(gram)]
+        yield pa.record_batch([pa.array(gram[some].view(np.int64)), pa.array(node[some]), pa.array(size[some])],
+                              names=["cluster", "id", "n"])
 
     packed = docs.select("text").mapInArrow(prefixes, "part int, gram binary, node binary, size binary")
-    return packed.repartition(parts, "part").mapInArrow(chains, "a bigint, b bigint")
+    return packed.repartition(parts, "part").mapInArrow(meet, "cluster bigint, id bigint, n bigint")
+
+
+def _spans(count: int, pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of the pairs of 0..count-1, as many as join all that they join."""
+    parent, out = list(range(count)), []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, j in pairs:
+        a, b = root(i), root(j)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
+
+
+def near_pairs(maps: list[bytes], sizes: np.ndarray, sides: np.ndarray, measure: Measure) -> Iterator[tuple[int, int]]:
+    """Pairs whose bitmaps leave a link possible: each n-gram of one set alone flips one place."""
+    level = np.array([len(m).bit_length() for m in maps])
+    across = sides.any()
+    for low in np.unique(level):
+        small = np.flatnonzero(level == low)
+        a = np.frombuffer(b"".join(maps[i] for i in small), np.uint64).reshape(len(small), -1)
+        for high in np.unique(level[level >= low]):
+            big = np.flatnonzero(level == high)
+            if sizes[small].max() * measure.q < sizes[big].min() * measure.p:
+                continue
+            # a larger map is folded: its parts' parities add up to those of the smaller
+            b = np.bitwise_xor.reduce(
+                np.frombuffer(b"".join(maps[i] for i in big), np.uint64).reshape(len(big), -1, a.shape[1]), axis=1)
+            step = max(1, 1_000_000 // max(1, b.size))
+            for at in range(0, len(small), step):
+                own = small[at:at + step]
+                differ = np.bitwise_count(a[at:at + step, None, :] ^ b[None]).sum(axis=2, dtype=np.int64)
+                total = sizes[own][:, None] + sizes[big][None]
+                ok = differ <= measure.most_different(total)
+                ok &= np.minimum(sizes[own][:, None], sizes[big][None]) * measure.q >= np.maximum(
+                    sizes[own][:, None], sizes[big][None]) * measure.p
+                ok &= own[:, None] != big[None]
+                if across:
+                    ok &= sides[own][:, None] != sides[big][None]
+                yield from zip(own[np.nonzero(ok)[0]].tolist(), big[np.nonzero(ok)[1]].tolist())
+
+
+def candidate_edges(rows: DataFrame, measure: Measure) -> DataFrame:
+    """(a, b): pairs that join, in each block of each n-gram's rows, all that can link.
+
+    ``rows`` are (cluster, block, side, id, n, bitmap); a task holds its blocks, each of bounded size.
+    """
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[tuple]] = {}
+        for batch in batches:
+            for cluster, block, *row in zip(*(batch[c].to_pylist() for c in ("cluster", "block", "side", "id", "n", "bitmap"))):
+                held.setdefault((cluster, block), []).append(row)
+        edges = set()
+        for own in held.values():
+            if len(own) > 1:
+                sides, ids, sizes, maps = zip(*own)
+                pairs = near_pairs(list(maps), np.array(sizes), np.array(sides), measure)
+                edges.update((min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in _spans(len(own), pairs))
+        a, b = zip(*edges) if edges else ((), ())
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    parts = buckets(rows.sparkSession)
+    return rows.repartition(parts, "cluster", "block").mapInArrow(compare, "a bigint, b bigint")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -201,20 +290,8 @@ def multiply_blocks(rows: DataFrame, measure: Measure) -> DataFrame:
         np.fill_diagonal(linked, False)
         if sides.max() > 0:  # two blocks: pairs across, as each block is multiplied by itself elsewhere
             linked &= sides[:, None] != sides[None, :]
-        parent = list(range(len(keys)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        spans = []
-        for i, j in zip(*np.nonzero(np.triu(linked))):
-            a, b = root(int(i)), root(int(j))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                spans.append((int(ids[i]), int(ids[j])))
+        pairs = ((int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(linked))))
+        spans = [(int(ids[i]), int(ids[j])) for i, j in _spans(len(keys), pairs)]
         n = linked @ copies
         some = np.flatnonzero(n)
         return pa.table({
@@ -226,7 +303,7 @@ def multiply_blocks(rows: DataFrame, measure: Measure) -> DataFrame:
 
 
 def _blocks(members: DataFrame, measure: Measure) -> DataFrame:
-    """(id, copies, cluster, block, side): which products each row takes part in.
+    """``members`` (cluster, id, n, ...) with block and side: which products each row takes part in.
 
     A cluster that fits is one block.  A larger one is cut by size class, and
     a class by the id's hash; a block is multiplied by itself and by the
@@ -252,8 +329,8 @@ def _blocks(members: DataFrame, measure: Measure) -> DataFrame:
         F.concat(F.least(own, o), F.lit("|"), F.greatest(own, o)).alias("block"),
         F.when(own > o, 1).otherwise(0).alias("side")))
     alone = F.array(F.struct(F.lit("all").alias("block"), F.lit(0).alias("side")))
-    return placed.select("id", "copies", "cluster", F.explode(
-        F.when(F.col("total") <= BLOCK_ROWS, alone).otherwise(other)).alias("in")).select("id", "copies", "cluster", "in.*")
+    return placed.select(*members.columns, F.explode(
+        F.when(F.col("total") <= BLOCK_ROWS, alone).otherwise(other)).alias("in")).select(*members.columns, "in.*")
 
 
 def jaccard_components(docs: DataFrame, measure: Measure = Measure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,14 +349,14 @@ def jaccard_components(docs: DataFrame, measure: Measure = Measure(), id_col: st
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     told = materialize(describe_sets(source, measure), "sets")
     sketch = merge_sketches(told.where("slice is not null").select("slice", "counts"))
-    named = told.where("slice is null").select("id", "node", "n", "check")
+    named = told.where("slice is null").select("id", "node", "n", "check", "bitmap")
     same = F.when(F.min("check") != F.max("check"), F.raise_error(F.lit("two sets share a digest"))).otherwise(F.min("id"))
     nodes = materialize(
-        named.where("n > 0 and id is not null").groupBy("node", "n").agg(same.alias("id"), F.count(F.lit(1)).alias("copies")), "nodes")
-    edges = candidate_edges(source.where("id is not null"), measure, sketch).distinct()
-    by_node = nodes.select("node", "id")
-    edges = edges.join(by_node.select(F.col("node").alias("a"), F.col("id").alias("x")), "a").join(
-        by_node.select(F.col("node").alias("b"), F.col("id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        named.where("n > 0 and id is not null").groupBy("node", "n").agg(
+            same.alias("id"), F.count(F.lit(1)).alias("copies"), F.first("bitmap").alias("bitmap")), "nodes")
+    meeting = materialize(shared_grams(source.where("id is not null"), measure, sketch), "meeting")
+    blocks = _blocks(meeting, measure).withColumnRenamed("id", "node").join(nodes.select("node", "id", "bitmap"), "node")
+    edges = candidate_edges(blocks, measure).distinct()
     clusters = connected_components(edges)
     members = materialize(nodes.join(clusters, "id").select("id", "n", "copies", "node", F.col("component").alias("cluster")), "members")
 
