@@ -27,11 +27,8 @@ _OFF = [f"off_{s}" for s in SUMMARY]
        sql="SELECT game_id, team, opponent, off_plays FROM offence")
 def _(fx):
     plays = A.scrimmage_plays(R.flagged_plays(fx))
-    lines = plays.groupBy("game_id", F.col("posteam").alias("team")).agg(
-        F.count("*").cast("double").alias("off_plays"))
-    first = plays.groupBy("game_id", F.col("posteam").alias("team")).agg(
-        F.min_by("defteam", "seq").alias("opponent"))
-    return lines.join(first, ["game_id", "team"], "left")
+    return plays.groupBy("game_id", F.col("posteam").alias("team")).agg(
+        F.count("*").cast("double").alias("off_plays"), F.min_by("defteam", "seq").alias("opponent"))
 
 
 @query("j2_mirrored_defence", floats=" ".join(_OFF + _DEF), ints="game_id season week", views="team_games",
@@ -182,14 +179,13 @@ def _(fx):
 
 @query("j16_projected_points", floats="team_proj_points opp_proj_points", ints="player_id game_id",
        views="player_weeks scored", sql="""
-WITH pts AS (SELECT game_id, home_team AS team, (pred_total + pred_margin) / 2.0 AS pts FROM scored WHERE game_id % 3 <> 0
-             UNION ALL SELECT game_id, away_team, (pred_total - pred_margin) / 2.0 FROM scored WHERE game_id % 3 <> 0)
+WITH pts AS (SELECT game_id, home_team AS team, (pred_total + pred_margin) / 2.0 AS pts FROM scored
+             UNION ALL SELECT game_id, away_team, (pred_total - pred_margin) / 2.0 FROM scored)
 SELECT p.player_id, p.game_id, p.team, coalesce(a.pts, 22.5) AS team_proj_points, coalesce(b.pts, 22.5) AS opp_proj_points
 FROM player_weeks p LEFT JOIN pts a ON a.game_id = p.game_id AND a.team = p.team
 LEFT JOIN pts b ON b.game_id = p.game_id AND b.team = p.opponent_team""")
 def _(fx):
-    # every third contest has no projection, to reach the default
-    points = U.projected_points(R.with_team_totals(fx).where("game_id % 3 <> 0"))
+    points = U.projected_points(R.with_team_totals(fx))
     return PL.attach_points(R.player_weeks(fx), points).select(
         "player_id", "game_id", "team", "team_proj_points", "opp_proj_points")
 

@@ -10,6 +10,7 @@ from ..operators import aggregates as A
 from ..operators import reshape as U
 from ..plans import features as FT
 from ..plans import models as M
+from ..plans import players as PL
 from ..plans import walkforward as WF
 from ..sources import readers as RD
 from . import frames as R
@@ -228,8 +229,7 @@ def _(fx):
 
 
 @query("p24_player_history_window", ints="player_id game_id", views="player_weeks", sql="""
-SELECT player_id, game_id, team FROM player_weeks WHERE season * 100 + week < 200010 AND season >= 2000 - 3""")
+SELECT player_id, game_id, team FROM player_weeks WHERE season * 100 + week < 200010 AND season >= 2000 - 10""")
 def _(fx):
-    clock = S.period(F.col("season"), F.col("week"))
-    return R.player_weeks(fx).where((clock < 200010) & (F.col("season") >= 2000 - 3)).select(
+    return PL.history_window(R.player_weeks(fx), 2000, 10).select(
         "player_id", "game_id", "team")

@@ -59,10 +59,10 @@ def _(fx):
        views="player_weeks", sql=f"""
 SELECT player_id, game_id, season, {_mapped('team')} AS team, {_mapped('opponent_team')} AS opponent_team, attempts,
        attempts + sacks_suffered AS dropbacks, passing_epa / nullif(attempts + sacks_suffered, 0) AS passing_epa_per_dropback,
-       NULL AS completions FROM player_weeks WHERE season IN (1996, 1998, 2000)""")
+       NULL AS completions FROM player_weeks""")
 def _(fx):
     path = _landed(fx, fx.player_weeks, "players")
-    rows = RD.load_player_weeks(fx.spark, path, [1996, 1998, 2000, 1989], 1990, MAPPING)
+    rows = RD.load_player_weeks(fx.spark, path, None, 1990, MAPPING)
     return rows.select("player_id", "game_id", "season", "team", "opponent_team", "attempts", "dropbacks",
                        "passing_epa_per_dropback", "completions")
 
@@ -169,8 +169,10 @@ def _(fx):
 SELECT completed_games, last_game_id, end_season, substring(sha256(
   '{{"version":{ST.RUN_VERSION},"completed_games":' || completed_games || ',"last_game_id":"' || last_game_id
   || '","start_season":{K.BACKTEST_START},"end_season":' || end_season || ',"use_market":true,"market_blend":0.1,"total_blend":0.1,'
-  || '"use_passers":true,"refit":"season"}}'), 1, 16) AS run_id
+  || '"use_passers":true,"refit":"season","scores":' || scores || ',"settings":""}}'), 1, 16) AS run_id
 FROM (SELECT count(*) FILTER (WHERE completed) AS completed_games, max(season) AS end_season,
+             (sum(('0x' || substring(md5(CAST(game_id AS VARCHAR) || ':' || CAST(round(margin * 1000) AS BIGINT)), 1, 8))::BIGINT)
+              FILTER (WHERE completed))::BIGINT AS scores,
              (SELECT CAST(game_id AS VARCHAR) FROM games WHERE completed ORDER BY season DESC, week DESC, kickoff DESC, game_id DESC LIMIT 1) AS last_game_id
       FROM games)""")
 def _(fx):

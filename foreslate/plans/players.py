@@ -116,6 +116,12 @@ def build_player_features(
     return frame.withColumns({c: clean_feature(F.col(c)) for c in K.PLAYER_FEATURES})
 
 
+def history_window(player_weeks: DataFrame, season: int, week: int, seasons: int = K.PLAYER_TRAIN_SEASONS) -> DataFrame:
+    """Rows played before a slate, at most ``seasons`` seasons back."""
+    before = period(F.col("season"), F.col("week")) < season * 100 + week
+    return player_weeks.where(before & (F.col("season") >= season - seasons))
+
+
 def player_frames(
     player_weeks: DataFrame, games: DataFrame, season: int, week: int,
     injuries: DataFrame | None = None, points: DataFrame | None = None,
@@ -123,10 +129,7 @@ def player_frames(
 ) -> tuple[DataFrame, DataFrame]:
     """Training rows and slate rows from a single rolling pass."""
     slate = games.where((F.col("season") == season) & (F.col("week") == week))
-    clock = period(F.col("season"), F.col("week"))
-    played = player_weeks.where(
-        (clock < season * 100 + week) & (F.col("season") >= season - train_seasons)
-    )
+    played = history_window(player_weeks, season, week, train_seasons)
     roster = roster_before(played, season, week, team_universe(slate))
     combined = append_slate_rows(played, slate_player_rows(roster, slate))
     built = build_player_features(combined, games, injuries, points)

@@ -59,6 +59,7 @@ def derive_game_columns(games: DataFrame, mapping=None) -> DataFrame:
             "home_win": outcome_value(F.col("result")),
             "neutral": F.coalesce(F.col("location") == "Neutral", F.lit(False)),
             "is_playoff": F.coalesce(F.col("game_type") != "REG", F.lit(True)),
+            "league": F.coalesce("league", F.lit(S.ONE_LEAGUE)) if "league" in games.columns else F.lit(S.ONE_LEAGUE),
         })
     )
 
@@ -67,8 +68,10 @@ def load_games(spark: SparkSession, path: str, mapping=None) -> DataFrame:
     return derive_game_columns(read_table(spark, path, S.GAME_LOG), mapping)
 
 
-def load_plays(spark: SparkSession, path: str, seasons=None, first=K.FIRST_PLAY_SEASON) -> DataFrame:
-    return keep_seasons(read_table(spark, path, S.PLAYS), seasons, first)
+def load_plays(spark: SparkSession, path: str, seasons=None, first=K.FIRST_PLAY_SEASON, mapping=None) -> DataFrame:
+    """Plays with normalised teams; ``seq`` is the order of play within a game."""
+    plays = keep_seasons(read_table(spark, path, S.PLAYS), seasons, first)
+    return plays.withColumns({c: normalize_team(F.col(c), mapping) for c in ("posteam", "defteam")})
 
 
 def load_half_plays(spark: SparkSession, path: str, seasons=None, first=K.FIRST_PLAY_SEASON) -> DataFrame:

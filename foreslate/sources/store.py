@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import constants as K
 
@@ -17,21 +18,35 @@ _LOCAL_FOLDERS: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a fresh local
-    folder is created for the application.
+    Where that setting is absent, a single process (``local[...]``, as in tests) gets a
+    fresh folder of its own; on a cluster its absence is an error, as
+    executors would each write to their own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _LOCAL_FOLDERS[app]
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_FOLDERS[context.applicationId]
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/run-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete what this application has kept in the shared folder; call it when its results are read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -137,11 +152,19 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "csv") -> DataFrame:
 
 # --- scored runs -----------------------------------------------------------
 
-RUN_VERSION = 1
+RUN_VERSION = 2
+
+
+def _score_digest() -> Column:
+    """A number for a contest's id and margin, the same on any engine."""
+    told = F.concat_ws(":", F.col("game_id").cast("string"), F.round(F.col("margin") * 1000).cast("long"))
+    return F.conv(F.substring(F.md5(told), 1, 8), 16, 10).cast("long")
 
 
 def run_fingerprint(games: DataFrame, **options) -> DataFrame:
-    """One row naming a run by its inputs: data extent and settings.
+    """One row naming a run by its inputs: data extent, completed scores and settings.
+
+    ``settings`` is a text of all other options that change the rows.
 
     The last completed game is found by ``max_by`` over the order tuple, so
     the aggregate is partial on the map side and no sort is needed.
@@ -153,6 +176,8 @@ def run_fingerprint(games: DataFrame, **options) -> DataFrame:
         F.coalesce(
             F.max_by(F.col("game_id").cast("string"), F.when(done, order)), F.lit("")
         ).alias("last_game_id"),
+        # a corrected score changes neither the count nor the last id
+        F.coalesce(F.sum(F.when(done, _score_digest())), F.lit(0)).alias("scores"),
         F.max("season").cast("int").alias("last_season"),
     )
     named = facts.select(
@@ -166,6 +191,8 @@ def run_fingerprint(games: DataFrame, **options) -> DataFrame:
         F.lit(round(float(options.get("total_blend", K.TOTAL_BLEND)), 4)).alias("total_blend"),
         F.lit(bool(options.get("use_passers", True))).alias("use_passers"),
         F.lit(str(options.get("refit", "season"))).alias("refit"),
+        "scores",
+        F.lit(str(options.get("settings", ""))).alias("settings"),
     )
     digest = F.sha2(F.to_json(F.struct(*named.columns)), 256)
     return named.withColumn("run_id", F.substring(digest, 1, 16))

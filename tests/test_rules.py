@@ -124,3 +124,26 @@ def test_store_builds_only_what_is_missing(spark, tmp_path):
 def test_empty_inputs_give_zero_terms(fx):
     none = FT.build_features(fx.games).select("qb_delta", "qb_edge", "availability_edge").distinct().collect()
     assert [tuple(r) for r in none] == [(0.0, 0.0, 0.0)]
+
+
+def test_run_key_changes_with_every_option_and_score(fx):
+    from foreslate.plans import models as M
+    from foreslate.plans.walkforward import ReplayOptions
+    from foreslate.sources.store import run_fingerprint
+
+    key = lambda games, **kw: run_fingerprint(games, **kw).first()["run_id"]
+    plain = key(fx.games, settings=repr(ReplayOptions()))
+    assert plain == key(fx.games, settings=repr(ReplayOptions()))
+    assert plain != key(fx.games, settings=repr(ReplayOptions(boost=M.Boost(rounds=0))))
+    assert plain != key(fx.games, settings=repr(ReplayOptions(minimum=1)))
+    one = fx.games.where("completed").agg(F.min("game_id")).first()[0]
+    corrected = fx.games.withColumn("margin", F.when(F.col("game_id") == one, F.col("margin") + 1).otherwise(F.col("margin")))
+    assert plain != key(corrected, settings=repr(ReplayOptions()))
+
+
+def test_scratch_is_cleared(spark):
+    from foreslate.sources import store
+
+    kept = store.materialize(spark.range(3), "kept")
+    assert kept.count() == 3 and store.clear_scratch(spark)
+    assert not store.clear_scratch(spark)
