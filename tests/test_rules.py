@@ -141,9 +141,10 @@ def test_run_key_changes_with_every_option_and_score(fx):
     assert plain != key(corrected, settings=repr(ReplayOptions()))
 
 
-def test_scratch_is_cleared(spark):
+def test_scratch_is_cleared(spark, tmp_path, monkeypatch):
     from foreslate.sources import store
 
+    monkeypatch.setattr(store, "run_folder", lambda _: f"file://{tmp_path}/run")
     kept = store.materialize(spark.range(3), "kept")
     assert kept.count() == 3 and store.clear_scratch(spark)
     assert not store.clear_scratch(spark)
