@@ -33,8 +33,9 @@ def with_views(views: str, body: str) -> str:
 
     for v in views.split():
         need(v)
-    ctes = ",\n".join(f"{n} AS ({ALL_SQL[n][1].strip()})" for n in order)
-    return f"WITH {ctes}\n{body}" if ctes else body
+    # a recursive view names its columns and key in a third part
+    ctes = ",\n".join(f"{n}{''.join(ALL_SQL[n][2:])} AS ({ALL_SQL[n][1].strip()})" for n in order)
+    return f"WITH RECURSIVE {ctes}\n{body}" if ctes else body
 
 
 @dataclass(frozen=True)

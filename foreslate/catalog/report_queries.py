@@ -170,7 +170,8 @@ def _(fx):
     return RP.last_week_table(R.graded(fx))
 
 
-@query("r15_ratings_table", floats="elo spread_vs_average", ints="rank")
+@query("r15_ratings_table", floats="elo spread_vs_average", ints="rank", views="final_ratings",
+       sql="SELECT *, row_number() OVER (PARTITION BY league ORDER BY elo DESC, team) AS rank FROM final_ratings")
 def _(fx):
     return RP.ratings_table(RT.current_ratings(RT.rating_pass(fx.games)[1]))
 

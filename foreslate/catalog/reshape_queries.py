@@ -44,7 +44,8 @@ def _(fx):
                               ["player_id", "game_id", "team"], ["player_id", "game_id", "team"])
 
 
-@query("t4_head_ratings", floats="elo spread_vs_average")
+@query("t4_head_ratings", floats="elo spread_vs_average", views="final_ratings",
+       sql="SELECT * FROM final_ratings ORDER BY elo DESC, team LIMIT 10")
 def _(fx):
     return RT.current_ratings(RT.rating_pass(fx.games)[1]).orderBy(F.desc("elo"), "team").limit(10)
 

@@ -96,7 +96,7 @@ _FORM = ", ".join(
     f"+ (1.0 - least(form_games / {K.FORM_FULL_GAMES}, 1.0)) * {K.FORM_CARRY} * p.last_{s} END AS {s}"
     for s in _ROLL)
 
-SHARED_SQL: dict[str, tuple[str, str]] = {
+SHARED_SQL: dict[str, tuple[str, ...]] = {
     "scrimmage": ("plays", """
 SELECT game_id, season, week, posteam, defteam, epa, success, sack, drive, seq,
        CAST(play_type = 'pass' AS INT) AS is_pass, CAST(play_type = 'run' AS INT) AS is_run,
@@ -403,6 +403,45 @@ LEFT JOIN (SELECT league, season, count(*) AS n, sum(margin) AS t FROM games
            WHERE completed AND NOT neutral AND NOT is_playoff GROUP BY league, season) p
   ON p.league = s.league AND p.season < s.season AND p.season >= s.season - {K.HFA_SEASONS}
 GROUP BY s.league, s.season"""),
+    "rating_order": ("games hfa", f"""
+SELECT g.league, g.season, g.game_id, g.home_team, g.away_team, CASE WHEN g.neutral THEN 0.0 ELSE h.hfa END AS hfa,
+       CASE WHEN g.home_rest - g.away_rest IS NULL THEN 0.0
+            ELSE least(greatest(g.home_rest - g.away_rest, -{K.REST_CAP_DAYS}), {K.REST_CAP_DAYS}) END * {K.REST_POINTS_PER_DAY} AS rest,
+       CASE WHEN g.completed THEN g.margin END AS margin,
+       row_number() OVER (PARTITION BY g.league ORDER BY g.season, g.week, g.kickoff, g.game_id) AS n
+FROM games g LEFT JOIN hfa h ON h.league = g.league AND h.season = g.season"""),
+    "rating_walk": ("rating_order", f"""
+SELECT league, 'team', team, 0::BIGINT, {K.ELO_INIT}::DOUBLE, min(season), NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE
+FROM (SELECT league, home_team AS team, season FROM rating_order UNION ALL SELECT league, away_team, season FROM rating_order)
+GROUP BY league, team
+UNION
+(WITH now AS (
+  SELECT o.*, {K.ELO_INIT} + pow({K.ELO_SEASON_CARRY}, o.season - h.season) * (h.elo - {K.ELO_INIT}) AS he,
+         {K.ELO_INIT} + pow({K.ELO_SEASON_CARRY}, o.season - a.season) * (a.elo - {K.ELO_INIT}) AS ae
+  FROM (SELECT DISTINCT league, n + 1 AS n FROM rating_walk) w
+  JOIN rating_order o ON o.league = w.league AND o.n = w.n
+  JOIN recurring.rating_walk h ON h.league = o.league AND h.kind = 'team' AND h.id = o.home_team
+  JOIN recurring.rating_walk a ON a.league = o.league AND a.kind = 'team' AND a.id = o.away_team
+), told AS (SELECT *, he - ae + (hfa + rest) * {K.ELO_PER_POINT} AS diff FROM now),
+taught AS (
+  SELECT *, CASE WHEN margin IS NULL THEN 0.0 ELSE {K.ELO_K}
+    * CASE WHEN margin = 0 THEN 1.0 ELSE ln(abs(margin) + 1) * {K.ELO_MOV_B} / (sign(margin) * diff * 0.001 + {K.ELO_MOV_B}) END
+    * ((sign(margin) + 1) / 2.0 - 1.0 / (1.0 + pow(10.0, -diff / {K.ELO_DIVISOR}))) END AS shift FROM told
+)
+SELECT league, 'team', home_team, n, he + shift, season, NULL, NULL, NULL FROM taught
+UNION ALL SELECT league, 'team', away_team, n, ae - shift, season, NULL, NULL, NULL FROM taught
+UNION ALL SELECT league, 'game', CAST(game_id AS VARCHAR), n, NULL, season, he, ae, diff FROM taught)""",
+        "(league, kind, id, n, elo, season, elo_home_pre, elo_away_pre, elo_diff) USING KEY (league, kind, id)"),
+    "rated": ("rating_walk rating_order", f"""
+SELECT o.game_id, w.elo_home_pre, w.elo_away_pre, w.elo_diff, w.elo_home_pre - w.elo_away_pre AS elo_raw_diff,
+       o.hfa AS elo_hfa_points, o.rest AS elo_rest_points, 0.0 AS elo_qb_points,
+       1.0 / (1.0 + pow(10.0, -w.elo_diff / {K.ELO_DIVISOR})) AS elo_prob_home, w.elo_diff / {K.ELO_PER_POINT} AS elo_spread
+FROM rating_order o JOIN rating_walk w ON w.league = o.league AND w.kind = 'game' AND w.id = CAST(o.game_id AS VARCHAR)"""),
+    "final_ratings": ("rating_walk rating_order", f"""
+SELECT w.league, w.id AS team, e.elo, (e.elo - {K.ELO_INIT}) / {K.ELO_PER_POINT} AS spread_vs_average
+FROM rating_walk w JOIN (SELECT league, max(season) AS season FROM rating_order GROUP BY league) s USING (league),
+     LATERAL (SELECT {K.ELO_INIT} + pow({K.ELO_SEASON_CARRY}, s.season - w.season) * (w.elo - {K.ELO_INIT}) AS elo) e
+WHERE w.kind = 'team'"""),
     "team_table": ("sides_long", f"""
 SELECT team, league, count(*) AS games, avg(points_for) AS points_for, avg(points_against) AS points_against
 FROM (SELECT * FROM sides_long WHERE points_for IS NOT NULL

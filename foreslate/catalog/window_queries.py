@@ -69,7 +69,7 @@ def _(fx):
 
 
 @query("w6_rating_pass", ints="game_id", floats="elo_home_pre elo_away_pre elo_diff elo_raw_diff elo_hfa_points "
-       "elo_rest_points elo_qb_points elo_prob_home elo_spread")
+       "elo_rest_points elo_qb_points elo_prob_home elo_spread", views="rated", sql="SELECT * FROM rated")
 def _(fx):
     return RT.rating_pass(fx.games)[0]
 
@@ -92,7 +92,7 @@ def _(fx):
     return RT.rating_pass(fx.games, R.team_games(fx), RT.RatingOptions(use_passer=True))[0]
 
 
-@query("w10_current_ratings", floats="elo spread_vs_average")
+@query("w10_current_ratings", floats="elo spread_vs_average", views="final_ratings", sql="SELECT * FROM final_ratings")
 def _(fx):
     return RT.current_ratings(RT.rating_pass(fx.games)[1])
 
