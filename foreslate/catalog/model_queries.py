@@ -12,12 +12,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
 from ..functions import scalars as S
+from ..operators import aggregates as A
 from ..operators import grading as G
+from ..plans import features as FT
 from ..plans import models as M
 from ..plans import walkforward as WF
-from ..sources.store import materialize
+from ..sources import readers as RD
+from ..sources.store import materialize, scratch_path
 from . import frames as R
-from .registry import query
+from . import projection_queries  # noqa: F401 - registers the parts of the feature table
+from .registry import REGISTRY, query
 from .shared_sql import implied, logit, phi
 
 BOOST = M.Boost(rounds=8)
@@ -54,12 +58,44 @@ def replay(fx) -> DataFrame:
     return materialize(WF.walk_forward(R.features(fx), 1997, refit="season", options=OPTIONS), "replay")
 
 
-@query("feature_table", ints="game_id", floats=" ".join(dict.fromkeys(
-    K.WINNER_FEATURES[1:] + K.PASSER_FEATURES + K.TOTAL_FEATURES)),
-    views="paired passer_terms availability_terms", sql=None)
+FEATURES = list(dict.fromkeys(K.WINNER_FEATURES + K.PASSER_FEATURES + K.TOTAL_FEATURES))
+FEATURE_SQL = f"""
+SELECT g.game_id, {', '.join(f'coalesce({f}, 0) AS {f}' for f in FEATURES)}
+FROM games AS g LEFT JOIN (SELECT game_id, elo_diff FROM rated) AS rated ON rated.game_id = g.game_id
+""".replace("FROM games AS g", "FROM (SELECT game_id FROM games) AS g") + "".join(
+    f"LEFT JOIN ({part}) AS part_{i} ON part_{i}.game_id = g.game_id\n" for i, part in enumerate((
+        REGISTRY["p13_matchup_edges"].sql, REGISTRY["p14_situation"].sql, REGISTRY["p15_pair_sums"].sql,
+        REGISTRY["p16_weather"].sql, "SELECT * FROM passer_terms", "SELECT * FROM availability_terms")))
+FEATURE_VIEWS = "games rated paired passer_terms availability_terms"
+
+
+@query("feature_table", ints="game_id", floats=" ".join(FEATURES), views=FEATURE_VIEWS, sql=FEATURE_SQL)
+def _(fx):
+    return R.features(fx).select("game_id", *FEATURES)
+
+
+@query("feature_table_from_files", ints="game_id", floats=" ".join(FEATURES), views=FEATURE_VIEWS, sql=FEATURE_SQL)
 def _(fx):
-    return R.features(fx).select("game_id", *dict.fromkeys(
-        K.WINNER_FEATURES[1:] + K.PASSER_FEATURES + K.TOTAL_FEATURES))
+    """Landed text files, through the readers, to the feature table."""
+    text = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")  # noqa: E731 - sorts as the number does
+
+    def landed(df: DataFrame, name: str) -> str:
+        path = scratch_path(fx.spark, name) + ".csv"
+        df.withColumn("game_id", text("game_id")).write.option("header", True).csv(path)
+        return path
+
+    log = fx.games.withColumns({
+        "game_type": F.when(F.col("is_playoff"), "POST").otherwise("REG"),
+        "gameday": F.date_format("kickoff", "yyyy-MM-dd"), "gametime": F.date_format("kickoff", "HH:mm"),
+        "result": F.when(F.col("completed"), F.col("margin")), "location": F.when(F.col("neutral"), "Neutral").otherwise("Home"),
+        "div_game": F.col("div_game").cast("int"),
+    })
+    games = RD.load_games(fx.spark, landed(log, "games"), {})
+    plays = RD.load_plays(fx.spark, landed(R.flagged_plays(fx), "plays"), first=0, mapping={})
+    players = RD.load_player_weeks(fx.spark, landed(fx.player_weeks, "players"), first=0, mapping={})
+    reports = RD.load_injuries(fx.spark, landed(fx.injuries.withColumn("game_id", F.lit(0)), "reports"), first=0, mapping={})
+    team_games = materialize(A.team_games(plays, min_plays=1), "team-games")
+    return FT.build_features(games, team_games, players, reports, min_dropbacks=1).select("game_id", *FEATURES)
 
 
 @query("m1_winner_logistic", floats="coefficient")
