@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import aggregates as A
 from ..operators import grading as G
+from ..plans import features as FT
 from ..plans import passers as P
+from ..plans import players as PL
 from ..plans import reports as RP
 from . import frames as R
 from .registry import query
@@ -236,13 +238,28 @@ def _(fx):
     return fx.games.agg(F.count("*").alias("games"), F.count_if("completed").alias("completed"))
 
 
-@query("a27_naive_baselines", floats="model_mae mean_mae", ints="season games", views="scored",
-       sql="""
-WITH s AS (SELECT season, sum(actual_total) AS t, count(actual_total) AS n FROM scored WHERE completed GROUP BY season),
+_NAIVE = """
+WITH r AS ({rows}), s AS (SELECT season, sum(actual) AS t, count(actual) AS n FROM r GROUP BY season),
 b AS (SELECT season, coalesce(sum(t) OVER w / sum(n) OVER w, t / n) AS mean FROM s
       WINDOW w AS (ORDER BY season ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT season, count(*) AS games, avg(abs(actual_total - model_total)) AS model_mae,
-       avg(abs(actual_total - mean)) AS mean_mae
-FROM scored JOIN b USING (season) WHERE completed GROUP BY season""")
+SELECT season, count(*) AS games, avg(abs(actual - model)) AS model_mae, avg(abs(actual - mean)) AS mean_mae,
+       avg(abs(actual - own)) AS own_mae
+FROM r JOIN b USING (season) GROUP BY season"""
+
+
+@query("a27_naive_baselines", floats="model_mae mean_mae own_mae", ints="season games", views="scored paired", sql=_NAIVE.format(rows="""
+  SELECT s.season, s.actual_total AS actual, s.model_total AS model,
+         (coalesce(p.home_points_for, 0) + coalesce(p.away_points_for, 0)
+          + coalesce(p.home_points_against, 0) + coalesce(p.away_points_against, 0)) / 2.0 AS own
+  FROM scored s JOIN paired p USING (game_id) WHERE s.completed"""))
+def _(fx):
+    own = R.paired(fx).select("game_id", FT.pair_sums()["scoring_sum"].alias("own"))
+    return RP.naive_comparison(R.settled(fx).join(own, "game_id"), "actual_total", "model_total", "own")
+
+
+@query("a27_player_baselines", floats="model_mae mean_mae own_mae", ints="season games", views="player_rolled", sql=_NAIVE.format(rows="""
+  SELECT season, passing_yards AS actual, form_pass_yards * 0.9 AS model, form_pass_yards AS own FROM player_rolled
+  WHERE passing_yards IS NOT NULL"""))
 def _(fx):
-    return RP.naive_comparison(R.settled(fx), "actual_total", "model_total")
+    rows = PL.player_form(R.player_weeks(fx)).where("passing_yards is not null")
+    return RP.naive_comparison(rows.withColumn("model", F.col("form_pass_yards") * 0.9), "passing_yards", "model", "form_pass_yards")

@@ -246,6 +246,8 @@ def logistic_at(rows: DataFrame, features: Sequence[str], label: Column, clock:
             step = scale * np.linalg.lstsq(curve * np.outer(scale, scale), scale * slope, rcond=None)[0]
             trial[k] = best[k] + step
             live[k] = slope @ step > 1e-9 * max(1.0, loss)
+    if live.any():
+        raise RuntimeError(f"{int(live.sum())} of {count} fits had not settled after {steps} steps")
     return {
         cutoff: LinearFit(int(n[k]), float(best[k, 0]), best[k, 1:].tolist())
         for k, cutoff in enumerate(cutoffs) if n[k] >= minimum

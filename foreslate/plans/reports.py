@@ -58,13 +58,18 @@ def last_settled_week(graded: DataFrame) -> DataFrame:
     return graded.join(last, ["season", "week"], "left_semi")
 
 
-def naive_comparison(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """Error of a forecast beside that of the earlier seasons' mean, per season."""
+def naive_comparison(rows: DataFrame, actual: str, predicted: str, own: str | None = None) -> DataFrame:
+    """Error of a forecast beside that of the earlier seasons' mean, per season.
+
+    ``own`` names the entity's own form, if its error is asked for too.
+    """
+    form = {} if own is None else {"own_mae": F.avg(F.abs(F.col(actual) - F.col(own)))}
     base = prior_baseline(rows, [actual]).withColumnRenamed(actual, "__mean")
     return rows.join(base, "season").groupBy("season").agg(
         F.count("*").alias("games"),
         F.avg(F.abs(F.col(actual) - F.col(predicted))).alias("model_mae"),
         F.avg(F.abs(F.col(actual) - F.col("__mean"))).alias("mean_mae"),
+        *[error.alias(name) for name, error in form.items()],
     )
 
 
