@@ -61,45 +61,70 @@ def running_sum() -> Recurrence:
 def _fold_blocks(keys: int, restart: int, rules: Sequence[Recurrence], states: Sequence[str]):
     """Fold block summaries in order; keeps one small state per open entity.
 
-    The input is sorted by entity then block and streamed batch by batch, so
-    memory is one Arrow batch plus one state vector per statistic.
+    The input is sorted by entity then block and streamed batch by batch.  In
+    a batch the first blocks of all entities are folded at once, then the
+    second ones, and so on; memory is one batch and a state per entity in it.
     """
     stats = len(rules)
     decay = np.array([r.decay for r in rules])
     gain = np.array([r.gain for r in rules])
     empty = np.array([np.nan if r.seeded else 0.0 for r in rules])
-    none = np.zeros(stats)
+
+    def changes(batch: pd.DataFrame, names: Sequence[str], before: tuple | None) -> tuple[np.ndarray, tuple]:
+        """Where a row's names differ from the row before it; nulls are equal."""
+        new = np.zeros(len(batch), bool)
+        for i, name in enumerate(names):
+            column = batch[name]
+            past = column.shift()
+            differs = ((column != past) & ~(column.isna() & past.isna())).to_numpy(bool)
+            if before is not None:
+                a, b = column.iloc[0], before[i]
+                differs[0] = not (a == b or (pd.isna(a) and pd.isna(b)))
+            new |= differs
+        if before is None:
+            new[0] = True
+        return new, tuple(batch[n].iloc[-1] for n in names)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner = segment = None
-        state = running = entering = empty
-        count = none
+        owner = segment = open_state = None
         for batch in batches:
-            names = batch.columns
+            if not len(batch):
+                continue
+            names = list(batch.columns)
             lead = len(names) - 3 * stats
-            entity = list(batch[names[:keys]].itertuples(index=False, name=None))
-            season = list(batch[names[keys:keys + restart]].itertuples(index=False, name=None)) if (
-                restart) else [()] * len(batch)
+            begins, owner_after = changes(batch, names[:keys], owner)
+            turns = np.zeros(len(batch), bool)
+            if restart:
+                turns, segment = changes(batch, names[keys:keys + restart], segment)
+            owner = owner_after
             body = batch[names[lead:]].to_numpy(dtype=float)
             m, d, first = body[:, :stats], body[:, stats:2 * stats], body[:, 2 * stats:]
+            goes_on = not begins[0]
+            run = np.cumsum(begins) - (0 if goes_on else 1)
+            runs = int(run[-1]) + 1
+            state, running, entering = (np.tile(empty, (runs, 1)) for _ in range(3))
+            count = np.zeros((runs, stats))
+            if goes_on:
+                state[0], running[0], entering[0], count[0] = open_state
+            starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            place = np.arange(len(batch)) - starts[run]
             out = np.empty((len(batch), 3 * stats))
-            for i in range(len(batch)):
-                if entity[i] != owner:
-                    owner, segment = entity[i], season[i]
-                    state = running = entering = empty
-                    count = none
-                elif restart and season[i] != segment:
-                    segment, entering = season[i], running
-                    state, count = empty, none
-                out[i] = np.concatenate([state, count, entering])
-                has, fade = m[i] > 0, decay ** m[i]
-
-                def step(s):
-                    seed = np.where(np.isnan(s), first[i], s)
-                    return np.where(has, fade * seed + gain * d[i], s)
-
-                state, count = step(state), count + m[i]
-                running = step(running) if restart else state
+            order = np.argsort(place, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+                of = run[own]
+                fresh = turns[own] & ~begins[own]
+                again = of[fresh]
+                entering[again], state[again], count[again] = running[again], empty, 0.0
+                out[own] = np.hstack([state[of], count[of], entering[of]])
+                has, fade = m[own] > 0, decay ** m[own]
+
+                def step(s: np.ndarray) -> np.ndarray:
+                    seed = np.where(np.isnan(s), first[own], s)
+                    return np.where(has, fade * seed + gain * d[own], s)
+
+                state[of], count[of] = step(state[of]), count[of] + m[own]
+                running[of] = step(running[of]) if restart else state[of]
+            open_state = state[-1].copy(), running[-1].copy(), entering[-1].copy(), count[-1].copy()
             head = batch[names[:lead]].reset_index(drop=True)
             yield pd.concat([head, pd.DataFrame(out, columns=list(states))], axis=1)
 
@@ -120,7 +145,8 @@ def decayed_scan(
     ``block`` lists the time columns that split an entity's history, coarse
     first; the first ``restart`` of them also reset the state.  ``order``
     should end in a unique key and carry whatever the caller needs to join
-    back on: both branches below then read the same exchange.
+    back on: the rows then cross one exchange, which all windows, the
+    summary and the join back share.
 
     Output: key and order columns, the raw values, and per value ``v``
     ``v__s`` (state before the row; NULL before any observation when seeded),
@@ -169,7 +195,11 @@ def decayed_scan(
         *[f"sum({term(v)}) OVER ({chunk} 1 PRECEDING) AS `{v}__l`" for v in rules],
         *[f"first(`{v}`, true) OVER ({chunk} 1 PRECEDING) AS `{v}__f`" for v, r in rules.items() if r.seeded],
     )
-    joined = local.join(carried, lead, "left")
+    # one row per (entity, block) with its chunks' states, so the join keeps the rows' one exchange
+    held = carried.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("__c", F.struct(*states)))).alias("__states"))
+    joined = local.join(held, keys, "left").withColumn("__now", F.col("__states")[F.col("__c")]).select(
+        *[F.col(f"`{c}`") for c in local.columns], "__now.*")
 
     def pieces(v: str, rule: Recurrence) -> list[str]:
         n = f"(`{v}__j` - CASE WHEN `{v}` IS NOT NULL THEN 1 ELSE 0 END)"

@@ -121,3 +121,21 @@ def test_baseline_uses_earlier_seasons_only(spark):
         "season int, a double, b double")
     got = {r["season"]: (r["a"], r["b"]) for r in SC.prior_baseline(df, ["a", "b"]).collect()}
     assert got == {2000: (2.0, None), 2001: (2.0, 5.0), 2002: (pytest.approx(14 / 3), 5.0)}
+
+
+def test_rows_of_a_scan_cross_one_exchange(spark):
+    import re
+
+    from foreslate.operators.scans import decayed_scan, ewma
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(200).selectExpr("id % 7 AS e", "id % 5 AS b", "id AS o", "CAST(id AS DOUBLE) AS v", "id * 2 AS extra")
+        out = decayed_scan(df, entity=["e"], block=["b"], order=["o", "extra"], values={"v": ewma(0.3)})
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    wide = set(re.findall(r"Exchange hashpartitioning\(([^)]*)\), ENSURE_REQUIREMENTS", plan))
+    # the windows' exchange by (e, b), and the one that gathers states by the same keys: none by the chunk
+    assert all("__c" not in keys for keys in wide)
