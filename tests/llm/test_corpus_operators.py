@@ -40,6 +40,24 @@ def test_suffix_dedup_of_few_letters(spark, letters, monkeypatch):
     check_repeats(suffix_dedup.suffix_dedup(docs).collect(), list(enumerate(texts)))
 
 
+def test_sampling_in_stretches(monkeypatch):
+    import zstandard
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abc") for _ in range(n)).encode() for n in (700, 10, 50, 0, 333)]
+    packed = zstandard.ZstdCompressor().compress(b"".join(texts))
+
+    def places() -> set:
+        block = suffix_dedup.Block(list(range(len(texts))), [len(t) for t in texts], packed)
+        block.sample()
+        return {(s, int(a), int(h)) for h, a, f, last in zip(block.hash, block.at, block.first, block.last) for s in range(f, last + 1)}
+
+    whole = places()
+    assert len(whole) == sum(max(0, len(t) - 49) for t in texts)
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 61)
+    assert places() == whole
+
+
 def test_suffix_dedup_of_odd_ids(spark):
     text = "once more " * 8
     docs = spark.createDataFrame([(2, text), (2, text), (None, text), (5, text), (7, None)], "doc_id bigint, text string")
