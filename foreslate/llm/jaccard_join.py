@@ -118,15 +118,21 @@ def merge_sketches(slices: DataFrame) -> np.ndarray:
         yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())],
                               names=["slice", "counts"])
 
+    def scale(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in add(batches):
+            sums = [np.frombuffer(c, np.int64) for c in batch["counts"].to_pylist()]
+            told = [np.minimum(np.log2(x + 1.0) * 6, 255).astype(np.uint8).tobytes() for x in sums]
+            yield pa.record_batch([batch["slice"], pa.array(told, pa.binary())], names=["slice", "counts"])
+
     kind = "slice int, counts binary"
     spread = F.pmod(F.xxhash64("counts"), F.lit(32))
     first = slices.repartition(buckets(slices.sparkSession), "slice", spread).mapInArrow(add, kind)
-    merged = first.repartition(min(SLICES, buckets(slices.sparkSession)), "slice").mapInArrow(add, kind).collect()
-    whole = np.zeros(1 << SKETCH_BITS, np.int64)
+    merged = first.repartition(min(SLICES, buckets(slices.sparkSession)), "slice").mapInArrow(scale, kind).collect()
+    whole = np.zeros(1 << SKETCH_BITS, np.uint8)
     step = len(whole) // SLICES
     for row in merged:
-        whole[row["slice"] * step:(row["slice"] + 1) * step] += np.frombuffer(row["counts"], np.int64)
-    return np.minimum(np.log2(whole + 1.0) * 6, 255).astype(np.uint8)
+        whole[row["slice"] * step:(row["slice"] + 1) * step] = np.frombuffer(row["counts"], np.uint8)
+    return whole
 
 
 def shared_grams(docs: DataFrame, measure: Measure, sketch: np.ndarray) -> DataFrame:
