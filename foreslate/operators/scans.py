@@ -293,10 +293,10 @@ def asof_backward(
     """For each left row the latest right row with a strictly earlier clock.
 
     ``right`` must hold one row per (key, clock).  The two sides are stacked
-    and windowed inside (key, block of the clock); the last right row of
+    and windowed inside (key, block of BLOCK_WEEKS of the clock); the last right row of
     earlier blocks is carried in from a per-block summary.
     """
-    block = F.floor(F.col(clock) / 100) if block is None else block
+    block = F.floor(F.col(clock) / BLOCK_WEEKS) if block is None else block
     cols = left.columns
     payload = T.StructType([right.schema[v] for v in values])
     stacked = left.select(
