@@ -46,7 +46,6 @@ RULES = (
     Rule("hex", 1, 2, r"[0-9a-f]{16,}"),
 )
 
-EMPTY_BLOBS = "blob binary"
 SCANS = "blob binary, rule string"
 FINDINGS = "blob binary, rule string, start int, stop int"
 VERSIONS = "path_id bigint, blob binary, run string"
