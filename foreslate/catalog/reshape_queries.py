@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from .. import constants as K
-from ..functions import scalars as S
 from ..operators import rating as RT
 from ..operators import reshape as U
 from ..plans import players as PL

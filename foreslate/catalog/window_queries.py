@@ -11,7 +11,6 @@ from ..operators import reshape as U
 from ..operators.scans import (
     bias_corrected_mean, center, decayed_scan, decayed_sum, ewma, prior_baseline, week_block,
 )
-from ..plans import features as FT
 from ..plans import passers as P
 from ..plans import players as PL
 from ..plans import reports as RP
