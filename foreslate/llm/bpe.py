@@ -22,10 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import documents, python_ready
+from .common import documents, held, python_ready
 
 #: States of the lazy automaton and remembered chunks; beyond these they are dropped and built anew.
-MAX_STATES, MAX_CHUNKS, MAX_PAIRS = 120_000, 400_000, 400_000
+MAX_STATES, MAX_CHUNKS, MAX_PAIRS = 90_000, 250_000, 250_000
 #: Bytes of a piece after which certain tokens are taken out; more than any token's length.
 LOOKAHEAD = 1024
 INFINITE = float("inf")
@@ -325,17 +325,6 @@ class Codec:
         yield stream.finish()
 
 
-_CODECS: dict[tuple, Codec] = {}
-
-
-def codec(key: tuple, ranks: dict[bytes, int], pattern: str) -> Codec:
-    """One codec per worker process and table, kept from task to task."""
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(ranks, pattern)
-    return _CODECS[key]
-
-
 def _mapped(docs: DataFrame, text_col: str, ranks_path: str, pattern: str, schema: str, names: list[str], work) -> DataFrame:
     """All columns of ``docs`` beside what ``work(codec, column)`` makes of one column."""
     spark = docs.sparkSession
@@ -346,7 +335,7 @@ def _mapped(docs: DataFrame, text_col: str, ranks_path: str, pattern: str, schem
     kind = packed.schema["row"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec((ranks_path, pattern), shared.value, pattern)
+        own = held(("bpe", ranks_path, pattern), lambda: Codec(shared.value, pattern))
         for batch in batches:
             yield pa.record_batch([batch["row"], *work(own, batch["__in"])], names=["row", *names])
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.shipping import ship_package
@@ -21,6 +24,24 @@ def python_ready(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_HELD: dict = {}
+
+
+def held(key, build: Callable):
+    """``build()``, kept in a worker process from task to task until something else is held."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Let go of what the worker has kept; work that keeps nothing starts with this, as workers are shared."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

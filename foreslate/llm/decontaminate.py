@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import documents, python_ready
+from .common import documents, python_ready, release
 
 WINDOW = 10
 #: Bytes of window text in one broadcast block.
@@ -122,6 +122,7 @@ def _scan(batches: Iterable[pa.RecordBatch], block: Block, keep_text: bool) -> I
 
     ``hits`` are word ranges, merged, as a flat list start, stop, start, stop, ...
     """
+    release()
     for batch in batches:
         ids, bounds, lookup = [], [0], block.ids.get
         for text in batch["text"]:

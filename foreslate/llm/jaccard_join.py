@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.store import materialize
-from .common import buckets, documents, python_ready
+from .common import buckets, documents, python_ready, release
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
@@ -85,6 +85,7 @@ def bitmap(own: np.ndarray) -> bytes:
 def describe_sets(docs: DataFrame, measure: Measure) -> DataFrame:
     """Rows (id, node, n, check, bitmap) of every document, and rows (slice, counts) of the tasks' sketches."""
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         counts = np.zeros(1 << SKETCH_BITS, np.uint8)
         names = ["id", "node", "n", "check", "bitmap", "slice", "counts"]
         for batch in _steps(batches):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.store import materialize
-from .common import crc_remainder, documents, python_ready
+from .common import crc_remainder, documents, python_ready, release
 
 #: Most words and most n-grams of one length that the model keeps, over all languages together.
 WORDS, GRAMS = 120_000, 40_000
@@ -99,6 +99,7 @@ class Model:
 def count_words(labelled: DataFrame) -> DataFrame:
     """(lang, word, n) over all rows of ``labelled`` (text, lang); combined in the task before the shuffle."""
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             seen: dict[str, Counter] = {}
             for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist()):
@@ -115,6 +116,7 @@ def count_words(labelled: DataFrame) -> DataFrame:
 def count_grams(words: DataFrame) -> DataFrame:
     """(size, gram, lang, n) of all words, each as often as its word."""
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             seen: dict[tuple, int] = {}
             for lang, word, n in zip(*(batch[c].to_pylist() for c in ("lang", "word", "n"))):
@@ -169,6 +171,7 @@ def _told(docs: DataFrame, model: Model, names: list[str], text_col: str) -> Dat
     kind = packed.schema["row"].dataType.simpleString()
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             told = [shared.value.predict(t.as_py()) for t in batch["text"]]
             yield pa.record_batch([

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.store import materialize, scratch_path
 from .bpe import Encoder
-from .common import buckets, documents, python_ready, text_or_empty
+from .common import buckets, documents, held, python_ready, text_or_empty
 
 #: Ids in a sequence, sequences in a record batch, and ids after which a file is closed.
 LENGTH, BATCH_SEQUENCES, FILE_IDS = 1024, 256, 4 << 20
@@ -74,18 +74,6 @@ class LibraryEncoder:
         return [np.frombuffer(b"".join(map(lookup, own)), self.width) for own in chunks]
 
 
-_ENCODERS: dict[int, LibraryEncoder] = {}
-
-
-def encoder(tokenizer_json: str) -> LibraryEncoder:
-    """One encoder per worker process, kept from task to task."""
-    key = hash(tokenizer_json)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = LibraryEncoder(tokenizer_json)
-    return _ENCODERS[key]
-
-
 def pack_file(docs: list[tuple[object, np.ndarray]], start: int, part: int, number: int, length: int = LENGTH) -> bytes:
     """The bytes of one file; ``start`` counts the part's ids before it."""
     sizes = [len(ids) for _, ids in docs]
@@ -159,7 +147,8 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, path: str, end_id: i
     shared = spark.sparkContext.broadcast(tokenizer_json)
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part = encoder(shared.value), TaskContext.get().partitionId()
+        own = held(("tokenizer", hash(shared.value)), lambda: LibraryEncoder(shared.value))
+        part = TaskContext.get().partitionId()
         end = np.array([end_id], own.width)
         held, held_ids, start, number = [], 0, 0, 0
 
