@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import documents, held, python_ready
+from .common import documents, in_worker, python_ready
 
 #: States of the lazy automaton and remembered chunks; beyond these they are dropped and built anew.
 MAX_STATES, MAX_CHUNKS, MAX_PAIRS = 90_000, 250_000, 250_000
@@ -335,7 +335,7 @@ def _mapped(docs: DataFrame, text_col: str, ranks_path: str, pattern: str, schem
     kind = packed.schema["row"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held(("bpe", ranks_path, pattern), lambda: Codec(shared.value, pattern))
+        own = in_worker(("bpe", ranks_path, pattern), lambda: Codec(shared.value, pattern))
         for batch in batches:
             yield pa.record_batch([batch["row"], *work(own, batch["__in"])], names=["row", *names])
 

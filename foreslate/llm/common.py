@@ -27,7 +27,7 @@ def python_ready(spark: SparkSession) -> None:
 _HELD: dict = {}
 
 
-def held(key, build: Callable):
+def in_worker(key, build: Callable):
     """``build()``, kept in a worker process from task to task until something else is held."""
     if key not in _HELD:
         release()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.store import materialize, scratch_path
 from .bpe import Encoder
-from .common import buckets, documents, held, python_ready, text_or_empty
+from .common import buckets, documents, in_worker, python_ready, text_or_empty
 
 #: Ids in a sequence, sequences in a record batch, and ids after which a file is closed.
 LENGTH, BATCH_SEQUENCES, FILE_IDS = 1024, 256, 4 << 20
@@ -147,7 +147,7 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, path: str, end_id: i
     shared = spark.sparkContext.broadcast(tokenizer_json)
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held(("tokenizer", hash(shared.value)), lambda: LibraryEncoder(shared.value))
+        own = in_worker(("tokenizer", hash(shared.value)), lambda: LibraryEncoder(shared.value))
         part = TaskContext.get().partitionId()
         end = np.array([end_id], own.width)
         held, held_ids, start, number = [], 0, 0, 0
