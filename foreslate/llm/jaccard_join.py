@@ -250,7 +250,16 @@ def candidate_edges(rows: DataFrame, measure: Measure) -> DataFrame:
             if len(own) > 1:
                 sides, ids, sizes, maps = zip(*own)
                 pairs = near_pairs(list(maps), np.array(sizes), np.array(sides), measure)
-                edges.update((min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in _spans(len(own), pairs))
+                # to the smallest id of each part, so that the lists of one group give the same edges
+                least = {i: i for i in range(len(own))}
+                parts_of = {i: [i] for i in range(len(own))}
+                for i, j in _spans(len(own), pairs):
+                    a, b = least[i], least[j]
+                    small, large = (a, b) if ids[a] <= ids[b] else (b, a)
+                    for k in parts_of[large]:
+                        least[k] = small
+                    parts_of[small] += parts_of.pop(large)
+                edges.update((ids[k], ids[i]) for i, k in least.items() if k != i)
         a, b = zip(*edges) if edges else ((), ())
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
