@@ -2,8 +2,7 @@
 
 Fits have no SQL form and are checked for rows here and against closed forms
 in the tests; the arithmetic around them is checked exactly on the stand-in
-forecasts.  Boosted parts run few rounds here to keep a full pass short; the
-library default is the published number.
+forecasts.  Fits use the library's own rounds and history minimums.
 """
 
 from __future__ import annotations
@@ -24,9 +23,7 @@ from . import projection_queries  # noqa: F401 - registers the parts of the feat
 from .registry import REGISTRY, query
 from .shared_sql import implied, logit, phi
 
-BOOST = M.Boost(rounds=8)
-LINEAR = M.Boost(rounds=0)
-OPTIONS = WF.ReplayOptions(boost=BOOST)
+OPTIONS = WF.ReplayOptions()
 
 
 def _coefficients(fx, rows) -> DataFrame:
@@ -45,12 +42,12 @@ def next_season(fx) -> DataFrame:
 
 @R.shared
 def winner(fx) -> M.WinnerModel:
-    return M.fit_winner(history(fx), boost=BOOST)
+    return M.fit_winner(history(fx))
 
 
 @R.shared
 def total(fx) -> M.TotalModel:
-    return M.fit_total(history(fx), boost=BOOST)
+    return M.fit_total(history(fx))
 
 
 @R.shared
@@ -241,7 +238,7 @@ def player_history(fx) -> tuple[DataFrame, DataFrame]:
 @query("m12_player_fit", floats="intercept train_mae", ints="n_train")
 def _(fx):
     past, _ = player_history(fx)
-    model = M.fit_players(past, boost=LINEAR, minimum=100)
+    model = M.fit_players(past)
     scored = model.raw(past)
     rows = None
     for t, (b0, _b) in model.ridge.items():
@@ -255,7 +252,7 @@ def _(fx):
 @query("m13_player_projection", floats=" ".join(["availability", *PROJECTIONS]), ints="player_id game_id")
 def _(fx):
     past, rows = player_history(fx)
-    return M.fit_players(past, boost=LINEAR, minimum=100).predict(rows).select(
+    return M.fit_players(past).predict(rows).select(
         "player_id", "game_id", "team", "availability", *PROJECTIONS)
 
 
@@ -292,7 +289,7 @@ CARD = "pick_prob hit ats_win ou_win total_error"
 
 @query("m15_track_season", floats=CARD, ints="game_id week n_train")
 def _(fx):
-    graded = WF.track_season(R.features(fx), 2001, WF.ReplayOptions(boost=LINEAR))
+    graded = WF.track_season(R.features(fx), 2001, OPTIONS)
     return graded.select("game_id", "week", "n_train", "pick", "ou_pick", *CARD.split())
 
 
@@ -309,12 +306,14 @@ def _(fx):
 @query("m17_slate_players", floats=" ".join(["availability", *PROJECTIONS]), ints="player_id game_id")
 def _(fx):
     row = R.target(fx)
-    projected = WF.project_players(R.player_weeks(fx), fx.games, row["season"], row["week"], R.injuries(fx), None,
-                                   LINEAR, minimum=500)
+    projected = WF.project_players(R.player_weeks(fx), fx.games, row["season"], row["week"], R.injuries(fx), None)
+    if projected is None:  # too little history
+        return fx.spark.createDataFrame([], "player_id long, game_id long, team string, availability double, "
+                                        + ", ".join(f"{p} double" for p in PROJECTIONS))
     return projected.select("player_id", "game_id", "team", "availability", *PROJECTIONS)
 
 
 @query("m18_evaluate_season", floats="accuracy brier log_loss mean_prob", ints="n")
 def _(fx):
-    rows = WF.evaluate_season(R.features(fx), 2000, WF.ReplayOptions(boost=LINEAR))
+    rows = WF.evaluate_season(R.features(fx), 2000, OPTIONS)
     return G.probability_metrics(rows)
