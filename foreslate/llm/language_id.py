@@ -42,16 +42,20 @@ def has_letter(text: str) -> bool:
 class Model:
     """Log frequencies: a row per word or n-gram, a column per language."""
 
-    def __init__(self, langs: list[str], words: list[tuple], grams: list[tuple]):
-        """``words``: (word, lang, n); ``grams``: (length, gram, lang, n)."""
+    def __init__(self, langs: list[str], words: list[tuple], grams: list[tuple], sums: dict[int, tuple[int, dict]]):
+        """``words``: (word, lang, n); ``grams``: (length, gram, lang, n), of the kept keys in every language.
+
+        ``sums``, by length and 0 for words: how many different keys there are and how often
+        each language has any, over all keys, kept or not.
+        """
         self.langs = langs
-        self.words, self.word_logs = self._table([(bytes(w), lang, n) for w, lang, n in words])
+        self.words, self.word_logs = self._table([(bytes(w), lang, n) for w, lang, n in words], sums.get(0))
         self.grams = {
-            size: self._table([(g, lang, n) for k, g, lang, n in grams if k == size])
+            size: self._table([(g, lang, n) for k, g, lang, n in grams if k == size], sums.get(size))
             for size in range(1, LONGEST_GRAM + 1)
         }
 
-    def _table(self, rows: list[tuple]) -> tuple[dict, np.ndarray]:
+    def _table(self, rows: list[tuple], sums: tuple[int, dict] | None) -> tuple[dict, np.ndarray]:
         place: dict = {}
         column = {lang: i for i, lang in enumerate(self.langs)}
         for key, _, _ in rows:
@@ -59,7 +63,10 @@ class Model:
         counts = np.full((len(place), len(self.langs)), 0.5)
         for key, lang, n in rows:
             counts[place[key], column[lang]] += n
-        return place, np.log(counts / counts.sum(axis=0)) if len(place) else counts
+        if not place:
+            return place, counts
+        types, totals = sums
+        return place, np.log(counts / np.array([totals.get(lang, 0) + 0.5 * types for lang in self.langs]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.langs or text is None or not has_letter(text):
@@ -155,11 +162,33 @@ def fit(labelled: DataFrame) -> Model:
     """Learn from all rows of ``labelled`` (text, lang), both not null."""
     python_ready(labelled.sparkSession)
     words = materialize(count_words(labelled), "words")
+    grams = materialize(count_grams(words), "grams")
     langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
     share = max(1, len(langs))
-    top = most_frequent(words, ["lang"], WORDS // share).select("word", "lang", "n").collect()
-    grams = most_frequent(count_grams(words), ["size", "lang"], GRAMS // share)
-    return Model(langs, [tuple(r) for r in top], [tuple(r) for r in grams.select("size", "gram", "lang", "n").collect()])
+    top = everywhere(words, most_frequent(words, ["lang"], WORDS // share), ["word"])
+    some = everywhere(grams, most_frequent(grams, ["size", "lang"], GRAMS // share), ["size", "gram"])
+    return Model(langs, _tuples(top.select("word", "lang", "n")), _tuples(some.select("size", "gram", "lang", "n")),
+                 sums_of(words.select(F.lit(0).alias("size"), F.col("word").alias("key"), "lang", "n"))
+                 | sums_of(grams.select("size", F.col("gram").alias("key"), "lang", "n")))
+
+
+def everywhere(counts: DataFrame, kept: DataFrame, key: list[str]) -> DataFrame:
+    """The counts of every key that any language keeps, in all languages."""
+    return counts.join(kept.select(*key).distinct(), key, "left_semi")
+
+
+def sums_of(counts: DataFrame) -> dict[int, tuple[int, dict]]:
+    """For each size: the number of different keys, and each language's sum, of all (size, key, lang, n)."""
+    types = {r["size"]: r["count"] for r in counts.select("size", "key").distinct().groupBy("size").count().collect()}
+    totals: dict[int, dict] = {size: {} for size in types}
+    for r in counts.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect():
+        totals[r["size"]][r["lang"]] = r["n"]
+    return {size: (types[size], totals[size]) for size in types}
+
+
+def _tuples(rows: DataFrame) -> list[tuple]:
+    table = rows.toArrow()  # columns are smaller on the driver than rows
+    return list(zip(*(c.to_pylist() for c in table.columns)))
 
 
 def _told(docs: DataFrame, model: Model, names: list[str], text_col: str) -> DataFrame:
