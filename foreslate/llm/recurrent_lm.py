@@ -1,7 +1,7 @@
 """Scores of a gated recurrent language model with a class-factored softmax.
 
 Every count is over all training texts.  The model knows the most frequent
-words; any other is its word for "rare", times the word's smoothed share of
+words, the more the more tokens there are; any other is its word for "rare", times the word's smoothed share of
 the rare ones.  It is trained by truncated backpropagation in numpy: tasks
 train on their own blocks of texts, their weights are averaged after each
 round.  A text is scored as a whole: its state is carried from window to window.
@@ -22,8 +22,10 @@ from .blocks import NO_ID, pack_blocks, unpack
 from .common import buckets, documents, python_ready
 from .shingles import mix, word_hashes
 
-#: Size of the state, most known words, classes, steps of a window, lanes, rounds of averaging.
+#: Size of the state, fewest known words and classes offered, steps of a window, lanes, rounds of averaging.
 STATE, WORDS, CLASSES, WINDOW, LANES, ROUNDS = 16, 1024, 32, 32, 256, 2
+#: Known words for each root of the number of training tokens.
+WORDS_BY_ROOT = 4
 #: Learning rate, and bytes of text that are brought into lanes at a time.
 RATE, GROUP_BYTES = 0.02, 24 << 20
 #: Beside the size of a mean gradient: weights that hardly any text moves stay where they are.
@@ -71,12 +73,13 @@ class Vocabulary:
         known = np.concatenate([[END_HASH], hashes[order]]).astype(np.uint64)
         number = np.concatenate([[END], np.arange(2, len(order) + 2)])
         by = np.argsort(known)
-        self.known, self.number = known[by], number[by].astype(np.int16)
+        self.known, self.number = known[by], number[by].astype(np.int32)
         self.rare_tokens = max(0, tokens - int(counts.sum()))
         self.rare_types = max(0, types - len(hashes))
         # frequency bins: classes hold about equal sums of the roots of counts
         share = np.cumsum(np.sqrt(self.counts)) / np.sqrt(self.counts).sum()
-        self.class_of = np.minimum((share * CLASSES).astype(np.int64), CLASSES - 1)
+        classes = max(CLASSES, int(np.ceil(np.sqrt(len(self.counts)))))
+        self.class_of = np.minimum((share * classes).astype(np.int64), classes - 1)
         _, self.class_of = np.unique(self.class_of, return_inverse=True)
 
     def __len__(self) -> int:
@@ -84,7 +87,7 @@ class Vocabulary:
 
     def encode(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[at] == hashes, self.number[at], RARE).astype(np.int16)
+        return np.where(self.known[at] == hashes, self.number[at], RARE).astype(np.int32)
 
     def rare_log10(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.rare_tokens + 0.5 * (self.rare_types + 1)))
@@ -115,6 +118,7 @@ class Model:
         }
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.weights.items()}
         self.steps = 0
+        self.moved: dict[str, np.ndarray] = {}  # rows of large tables that the last gradients reach
 
     def run(self, inputs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """States of a window of inputs (steps, lanes); the state is cleared where a text begins.
@@ -165,6 +169,10 @@ class Model:
             grads["class_bias"] += e.sum(axis=0)
         by = np.argsort(classes, kind="stable")
         cuts = np.searchsorted(classes[by], np.arange(len(self.members) + 1))
+        if grads is not None:
+            hit = np.zeros(len(self.members), bool)
+            hit[classes] = True
+            self.moved["word"] = self.moved["word_bias"] = np.flatnonzero(hit[self.class_of])
         for c, members in enumerate(self.members):
             own = by[cuts[c]:cuts[c + 1]]
             if not len(own) or len(members) == 1:
@@ -218,6 +226,7 @@ class Model:
         x = inputs.ravel()
         by = np.argsort(x, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], x[by][1:] != x[by][:-1]]))
+        self.moved["input"] = x[by][first]
         grads["input"][x[by][first]] = np.add.reduceat(via.reshape(-1, 3 * n)[by], first)
         return -float(logs.sum()), grads, after[-1]
 
@@ -227,11 +236,13 @@ class Model:
         self.steps += 1
         scale = rate * min(1.0, count / (WINDOW * LANES)) * np.sqrt(1 - 0.999 ** self.steps) / (1 - 0.9 ** self.steps)
         for k, g in grads.items():
-            g /= count
-            m, v = self.moments[k]
+            rows = self.moved.get(k, slice(None))  # the rest of a table stays, its moments too
+            g = g[rows] / g.dtype.type(count)
+            m, v = (x[rows] for x in self.moments[k])
             m += (g - m) * g.dtype.type(0.1)
             v += (g * g - v) * g.dtype.type(0.001)
-            self.weights[k] -= (m * g.dtype.type(scale) / (np.sqrt(v) + g.dtype.type(SMALL)))
+            self.moments[k][0][rows], self.moments[k][1][rows] = m, v
+            self.weights[k][rows] -= m * g.dtype.type(scale) / (np.sqrt(v) + g.dtype.type(SMALL))
 
     def train(self, texts: list[np.ndarray], rate: float = RATE) -> None:
         for inputs, targets, valid, _, h, keep in windows(texts, self.weights["state"].shape[0], self.weights["state"].dtype):
@@ -284,7 +295,7 @@ def windows(texts: list[np.ndarray], state: int, dtype) -> Iterator[tuple]:
     for at in range(0, lengths[0], WINDOW):
         n = int((lengths > at).sum())
         steps = min(WINDOW, int(lengths[0] - at))
-        x, y, own = np.zeros((steps, n), np.int16), np.zeros((steps, n), np.int16), np.zeros((steps, n), np.int64)
+        x, y, own = np.zeros((steps, n), np.int32), np.zeros((steps, n), np.int32), np.zeros((steps, n), np.int64)
         valid = np.zeros((steps, n), bool)
         for lane in range(n):
             k = min(steps, int(lengths[lane]) - at)
@@ -354,34 +365,57 @@ def _level(counts: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(counts, 1)) * 64).astype(np.int64)
 
 
-def learn_vocabulary(answers: DataFrame, most: int = WORDS) -> Vocabulary:
-    """The most frequent words: all above a count that at most ``most`` words reach."""
-    offers = answers.where("block = -1")
+def known_words(tokens: int) -> int:
+    """How many words the model knows: the table stays small beside the texts, but grows with them."""
+    return max(WORDS, int(WORDS_BY_ROOT * np.sqrt(tokens)))
 
-    def levels(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for counts in batch["counts"].to_pylist():
-                level, n = np.unique(_level(np.frombuffer(counts, np.int64)), return_counts=True)
-                yield pa.record_batch([pa.array(level), pa.array(n.astype(np.int64))], names=["level", "n"])
-
-    steps = offers.select("counts").mapInArrow(levels, "level bigint, n bigint").groupBy("level").agg(F.sum("n").alias("n")).collect()
-    least, total = 1 << 60, 0
-    for level, n in sorted(((r["level"], r["n"]) for r in steps), reverse=True):
-        total += n
-        if total > most:
+
+def _step(words: np.ndarray) -> np.ndarray:
+    """A step of 65,536 by a word's hash, by which equally frequent words are parted."""
+    return (mix(words ^ np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+
+
+def learn_vocabulary(answers: DataFrame, most: int | None = None) -> Vocabulary:
+    """The ``most`` most frequent words; of those that tie at the bound, some by their hash."""
+    offers = answers.where("block = -1")
+    size = offers.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
+    most = known_words(size["tokens"] or 0) if most is None else most
+
+    def counted(key, at: int | None) -> dict[int, int]:
+        """How many offered words there are by ``key`` of words and counts, of all levels or one."""
+        def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for counts, words in zip(batch["counts"].to_pylist(), batch["offered"].to_pylist()):
+                    counts, words = np.frombuffer(counts, np.int64), np.frombuffer(words, np.uint64)
+                    some = slice(None) if at is None else _level(counts) == at
+                    found, n = np.unique(key(words[some], counts[some]), return_counts=True)
+                    yield pa.record_batch([pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], names=["at", "n"])
+
+        rows = offers.select("counts", "offered").mapInArrow(add, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
+        return {r["at"]: r["n"] for r in rows.collect()}
+
+    least, total, cut, below = 1 << 60, 0, -1, 0
+    for level, n in sorted(counted(lambda words, counts: _level(counts), None).items(), reverse=True):
+        if total + n > most:
+            cut = level
             break
-        least = level
+        total, least = total + n, level
+    if cut >= 0:
+        for step, n in sorted(counted(lambda words, counts: _step(words), cut).items()):
+            if total + n > most:
+                break
+            total, below = total + n, step + 1
 
     def chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for counts, words in zip(batch["counts"].to_pylist(), batch["offered"].to_pylist()):
                 counts, words = np.frombuffer(counts, np.int64), np.frombuffer(words, np.uint64)
-                some = _level(counts) >= least
+                level = _level(counts)
+                some = (level >= least) | (level == cut) & (_step(words) < below)
                 yield pa.record_batch([pa.array(words[some].view(np.int64)), pa.array(counts[some])], names=["word", "n"])
 
-    rows = offers.select("counts", "offered").mapInArrow(chosen, "word bigint, n bigint").orderBy(F.desc("n"), "word").collect()
-    size = offers.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
-    return Vocabulary(np.array([r["word"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64),
+    rows = offers.select("counts", "offered").mapInArrow(chosen, "word bigint, n bigint").orderBy(F.desc("n"), "word").toArrow()
+    return Vocabulary(rows["word"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy().astype(np.int64),
                       size["tokens"] or 0, size["types"] or 0)
 
 
@@ -415,7 +449,7 @@ def train_round(blocks: DataFrame, vocabulary, flat, number: int, rounds: int) -
             model.train(texts)
             seen += sum(map(len, texts))
         if seen:
-            parts = np.array_split(model.flat().astype(np.float64) * seen, SLICES)
+            parts = np.array_split(model.flat() * np.float32(seen), SLICES)
             yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([float(seen)] * SLICES),
                                    pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "weight", "values"])
 
@@ -425,9 +459,9 @@ def train_round(blocks: DataFrame, vocabulary, flat, number: int, rounds: int) -
             for s, weight, values in zip(*(batch[c].to_pylist() for c in ("slice", "weight", "values"))):
                 own = sums.setdefault(s, [0.0, 0.0])
                 own[0] += weight
-                own[1] = own[1] + np.frombuffer(values, np.float64)
+                own[1] = own[1] + np.frombuffer(values, np.float32).astype(np.float64)
         yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([w for w, _ in sums.values()], pa.float64()),
-                               pa.array([v.tobytes() for _, v in sums.values()], pa.binary())], names=["slice", "weight", "values"])
+                               pa.array([v.astype(np.float32).tobytes() for _, v in sums.values()], pa.binary())], names=["slice", "weight", "values"])
 
     kind = "slice int, weight double, values binary"
     own = blocks.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == number)
@@ -436,7 +470,7 @@ def train_round(blocks: DataFrame, vocabulary, flat, number: int, rounds: int) -
     merged = sorted(first.repartition(SLICES, "slice").mapInArrow(add, kind).collect(), key=lambda r: r["slice"])
     if not merged:
         return None
-    return np.concatenate([np.frombuffer(r["values"], np.float64) / r["weight"] for r in merged])
+    return np.concatenate([np.frombuffer(r["values"], np.float32) / np.float32(r["weight"]) for r in merged])
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
