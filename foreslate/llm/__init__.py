@@ -5,7 +5,7 @@ from importlib import import_module
 #: Modules that register queries; each has QUERIES and, where SQL can express it, ORACLE_SQL.
 MODULES = (
     "decontaminate", "bpe", "secrets", "token_files", "language_id", "chat_format", "exact_dedup", "jaccard_join",
-    "suffix_dedup", "recurrent_lm",
+    "suffix_dedup", "recurrent_lm", "orchard_clusters", "conversation_repair", "pattern_packing",
 )
 
 
