@@ -94,8 +94,7 @@ def _(fx):
     clicks = fx.events.where((F.col("event_type") == "click") & F.col("value").isNotNull())
     clicks = clicks.groupBy("entity", "ts").agg(F.max_by("value", "event_id").alias("seen"))
     others = fx.events.where(F.col("event_type") != "click").select("entity", "event_id", "ts")
-    return asof_backward(others, clicks, key=["entity"], clock="ts", values=["seen"],
-                         block=F.weekofyear("ts")).drop("ts")
+    return asof_backward(others, clicks, key=["entity"], clock="ts", values=["seen"]).drop("ts")
 
 
 @query("j9_asof_report_usage", floats="availability usage_post", ints="season week gsis_id", views="listed_usage",

@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..operators import rating as RT
 from ..operators import reshape as U
 from ..operators.scans import (
-    bias_corrected_mean, center, decayed_scan, decayed_sum, ewma, prior_baseline, week_block,
+    bias_corrected_mean, center, decayed_scan, decayed_sum, ewma, prior_baseline,
 )
 from ..plans import passers as P
 from ..plans import players as PL
@@ -37,9 +37,8 @@ def _(fx):
        sql=f"SELECT game_id, team, {', '.join(f'now_{s} AS {s}__s' for s in ROLL)} FROM in_season")
 def _(fx):
     rolled = decayed_scan(
-        center(R.observed(fx), ROLL).withColumn("wb", week_block(F.col("week"))),
-        entity=["team"], block=["season", "wb"], order=["week", "kickoff", "game_id", "is_home"],
-        values={s: ewma(K.FORM_ALPHA) for s in ROLL}, restart=1)
+        center(R.observed(fx), ROLL), entity=["team"], restart=["season"], order=["week", "kickoff", "game_id", "is_home"],
+        values={s: ewma(K.FORM_ALPHA) for s in ROLL})
     return rolled.select("game_id", "team", *[f"{s}__s" for s in ROLL])
 
 
@@ -49,8 +48,8 @@ def _(fx):
               count(value) OVER (PARTITION BY entity, season ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
               FROM log""")
 def _(fx):
-    rolled = decayed_scan(fx.events, entity=["entity"], block=["season"], order=["ts", "event_id"],
-                          values={"value": ewma(K.FORM_ALPHA)}, restart=1)
+    rolled = decayed_scan(fx.events, entity=["entity"], restart=["season"], order=["ts", "event_id"],
+                          values={"value": ewma(K.FORM_ALPHA)})
     return rolled.select("entity", "event_id", "value", F.col("value__s").alias("average"),
                          F.col("value__n").alias("seen"))
 
@@ -144,8 +143,8 @@ def _(fx):
               {mean_prior('coalesce(value, 0)', K.PLAYER_ALPHA, 'PARTITION BY entity ORDER BY ts, event_id')} AS mean
               FROM log""")
 def _(fx):
-    rolled = decayed_scan(fx.events.fillna(0.0, ["value"]), entity=["entity"], block=["season"],
-                          order=["ts", "event_id"], values={"value": decayed_sum(K.PLAYER_ALPHA)})
+    rolled = decayed_scan(fx.events.fillna(0.0, ["value"]), entity=["entity"], order=["ts", "event_id"],
+                          values={"value": decayed_sum(K.PLAYER_ALPHA)})
     return rolled.select("entity", "event_id", bias_corrected_mean("value", K.PLAYER_ALPHA).alias("mean"))
 
 

@@ -1,33 +1,53 @@
 """Prior-only windows: decayed scans, prior baselines, strict as-of joins.
 
-All of them follow one shape.  Rows are windowed inside (entity, time block),
-where a block is a season or a part of one; each block leaves a one-row
-summary; the summaries are folded in time order; the fold's result is joined
-back as the block's carry-in.  An entity that owns a third of all rows is
-therefore spread over its time blocks instead of landing in one task.
+Scans and as-of joins follow one shape.  Rows are sorted over all partitions by
+(key, time) and read once as a stream; a partition leaves one boundary row, which says what
+it hands on to the next; boundary rows are folded in order, and what comes in
+from before is added to the rows of the partition's first key.  A key that owns a third
+of all rows therefore spreads over a third of the partitions, at any length of
+history, and no calendar unit bounds or splits anything.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import json
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from ..sources.shipping import ship_package
 from ..sources.store import materialize
 
-BLOCK_WEEKS = 8
-CHUNK_ROWS = 1000
 
+def _names(columns: Sequence[str]) -> str:
+    return ", ".join(f"`{c}`" for c in columns)
 
-def week_block(week: Column, weeks: int = BLOCK_WEEKS) -> Column:
-    return F.floor((week - 1) / weeks).cast("int")
 
+def sorted_ranges(df: DataFrame, columns: Sequence[str], parts: int | None = None) -> DataFrame:
+    """Sorted over all partitions, nulls first; AQE may join small neighbours unless ``parts`` is given."""
+    order = [F.col(f"`{c}`").asc_nulls_first() for c in columns]
+    dealt = df.repartitionByRange(*order) if parts is None else df.repartitionByRange(parts, *order)
+    return dealt.sortWithinPartitions(*order)
 
-def _names(columns: Sequence[str]) -> str:
-    return ", ".join(f"`{c}`" for c in columns)
+
+def _changes(batch: pa.RecordBatch, names: Sequence[str], before: tuple | None) -> tuple[np.ndarray, tuple]:
+    """Where a row's names differ from those of the row before it (nulls are equal), and the last row's."""
+    new = np.zeros(batch.num_rows, bool)
+    if before is None:
+        new[0] = True
+    for i, name in enumerate(names):
+        column = batch[name]
+        a, b = column.slice(0, len(column) - 1), column.slice(1)
+        differs = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        new[1:] |= differs.to_numpy(zero_copy_only=False).astype(bool)
+        if before is not None:
+            new[0] |= column[0].as_py() != before[i]
+    return new, tuple(batch[n][batch.num_rows - 1].as_py() for n in names)
 
 
 # --------------------------------------------------------------------------
@@ -58,167 +78,215 @@ def running_sum() -> Recurrence:
     return Recurrence(1.0, 1.0, False)
 
 
-def _fold_blocks(keys: int, restart: int, rules: Sequence[Recurrence], states: Sequence[str]):
-    """Fold block summaries in order; keeps one small state per open entity.
+class _Stream:
+    """The scan of one partition's sorted rows.
 
-    The input is sorted by entity then block and streamed batch by batch.  In
-    a batch the first blocks of all entities are folded at once, then the
-    second ones, and so on; memory is one batch and a state per entity in it.
+    A run is the rows of one entity; a segment the part of a run in which no restart
+    column changes.  The first steps of all runs of a batch are done at once, then the second ones, and so
+    on; what is held is one batch and the open run's states.
     """
-    stats = len(rules)
-    decay = np.array([r.decay for r in rules])
-    gain = np.array([r.gain for r in rules])
-    empty = np.array([np.nan if r.seeded else 0.0 for r in rules])
-
-    def changes(batch: pd.DataFrame, names: Sequence[str], before: tuple | None) -> tuple[np.ndarray, tuple]:
-        """Where a row's names differ from the row before it; nulls are equal."""
-        new = np.zeros(len(batch), bool)
-        for i, name in enumerate(names):
-            column = batch[name]
-            past = column.shift()
-            differs = ((column != past) & ~(column.isna() & past.isna())).to_numpy(bool)
-            if before is not None:
-                a, b = column.iloc[0], before[i]
-                differs[0] = not (a == b or (pd.isna(a) and pd.isna(b)))
-            new |= differs
-        if before is None:
-            new[0] = True
-        return new, tuple(batch[n].iloc[-1] for n in names)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner = segment = open_state = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            names = list(batch.columns)
-            lead = len(names) - 3 * stats
-            begins, owner_after = changes(batch, names[:keys], owner)
-            turns = np.zeros(len(batch), bool)
-            if restart:
-                turns, segment = changes(batch, names[keys:keys + restart], segment)
-            owner = owner_after
-            body = batch[names[lead:]].to_numpy(dtype=float)
-            m, d, first = body[:, :stats], body[:, stats:2 * stats], body[:, 2 * stats:]
-            goes_on = not begins[0]
-            run = np.cumsum(begins) - (0 if goes_on else 1)
-            runs = int(run[-1]) + 1
-            state, running, entering = (np.tile(empty, (runs, 1)) for _ in range(3))
-            count = np.zeros((runs, stats))
-            if goes_on:
-                state[0], running[0], entering[0], count[0] = open_state
-            starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-            place = np.arange(len(batch)) - starts[run]
-            out = np.empty((len(batch), 3 * stats))
-            order = np.argsort(place, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
-                of = run[own]
-                fresh = turns[own] & ~begins[own]
-                again = of[fresh]
-                entering[again], state[again], count[again] = running[again], empty, 0.0
-                out[own] = np.hstack([state[of], count[of], entering[of]])
-                has, fade = m[own] > 0, decay ** m[own]
-
-                def step(s: np.ndarray) -> np.ndarray:
-                    seed = np.where(np.isnan(s), first[own], s)
-                    return np.where(has, fade * seed + gain * d[own], s)
-
-                state[of], count[of] = step(state[of]), count[of] + m[own]
-                running[of] = step(running[of]) if restart else state[of]
-            open_state = state[-1].copy(), running[-1].copy(), entering[-1].copy(), count[-1].copy()
-            head = batch[names[:lead]].reset_index(drop=True)
-            yield pd.concat([head, pd.DataFrame(out, columns=list(states))], axis=1)
-
-    return fold
+
+    def __init__(self, keys: Sequence[str], restart: Sequence[str], rules: dict[str, Recurrence]):
+        self.keys, self.restart, self.names = list(keys), list(restart), list(rules)
+        self.decay = np.array([r.decay for r in rules.values()])
+        self.gain = np.array([r.gain for r in rules.values()])
+        self.seeded = np.array([r.seeded for r in rules.values()])
+        self.empty = np.where(self.seeded, np.nan, 0.0)
+        self.owner = self.segment = None
+        self.first_owner = self.first_segment = None
+        self.runs = self.segments = 0                      # seen so far; segments of the first run only
+        none = np.full(len(rules), np.nan)
+        self.first_in_segment, self.first_in_run = none.copy(), none.copy()
+        #: of the open run: state and count in its segment, what it entered with and after how many
+        #: observations, state and count in the whole run
+        self.open = tuple(x.copy() for x in (self.empty, none * 0, self.empty, none * 0, self.empty, none * 0))
+
+    def _step(self, state: np.ndarray, x: np.ndarray) -> np.ndarray:
+        told = np.where(np.isnan(state), x, self.decay * state + self.gain * x)
+        return np.where(np.isnan(x), state, told)
+
+    def read(self, batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        """state, count, entered, entered_after (rows x values) and zone of every row."""
+        n, width = batch.num_rows, len(self.names)
+        begins, owner = _changes(batch, self.keys, self.owner)
+        turns, segment = _changes(batch, self.restart, self.segment) if self.restart else (np.zeros(n, bool), ())
+        if self.owner is None:
+            self.first_owner = tuple(batch[k][0].as_py() for k in self.keys)
+            self.first_segment = tuple(batch[k][0].as_py() for k in self.restart)
+        self.owner, self.segment = owner, segment
+        turns &= ~begins
+        x = np.column_stack([batch[v].cast(pa.float64()).to_numpy(zero_copy_only=False) for v in self.names]).astype(float)
+
+        # 0: not of the partition's first run; 1: of its first segment; 2: of a later one
+        number = self.runs + np.cumsum(begins)
+        first = number == 1
+        place = self.segments + np.cumsum(turns & first)
+        zone = np.where(first, np.where(place == 0, 1, 2), 0)
+        for own, kept in ((zone == 1, self.first_in_segment), (first, self.first_in_run)):
+            seen = ~np.isnan(x) & own[:, None]
+            at = seen.argmax(axis=0)
+            fill = seen.any(axis=0) & np.isnan(kept)
+            kept[fill] = x[at, np.arange(width)][fill]
+        self.runs, self.segments = int(number[-1]), int(place[-1])
+
+        run = np.cumsum(begins) - (1 if begins[0] else 0)
+        runs = int(run[-1]) + 1
+        state, count, entered, after, whole, total = (np.tile(e, (runs, 1)) for e in (
+            self.empty, np.zeros(width), self.empty, np.zeros(width), self.empty, np.zeros(width)))
+        if not begins[0]:
+            for mine, kept in zip((state, count, entered, after, whole, total), self.open):
+                mine[0] = kept
+        starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        depth = np.arange(n) - starts[run]
+        order = np.argsort(depth, kind="stable")
+        out = {k: np.empty((n, width)) for k in ("state", "count", "entered", "entered_after")}
+        for own in np.split(order, np.flatnonzero(np.diff(depth[order])) + 1):
+            of = run[own]
+            again = of[turns[own]]
+            if len(again):
+                entered[again], after[again] = whole[again], total[again]
+                state[again], count[again] = self.empty, 0.0
+            out["state"][own], out["count"][own] = state[of], count[of]
+            out["entered"][own], out["entered_after"][own] = entered[of], after[of]
+            now, has = x[own], ~np.isnan(x[own])
+            state[of], count[of] = self._step(state[of], now), count[of] + has
+            if self.restart:
+                whole[of], total[of] = self._step(whole[of], now), total[of] + has
+        if not self.restart:
+            whole, total = state, count
+        self.open = tuple(e[-1].copy() for e in (state, count, entered, after, whole, total))
+        return out | {"zone": zone}
+
+    def boundary(self) -> dict:
+        """What the partition hands on, and what it needs to take something in."""
+        return {
+            "first": repr(self.first_owner), "first_segment": repr(self.first_segment), "last": repr(self.owner),
+            "last_segment": repr(self.segment), "one_run": self.runs == 1, "one_segment": self.segments == 0,
+            "x_segment": self.first_in_segment.tolist(), "x_run": self.first_in_run.tolist(),
+            **{k: v.tolist() for k, v in zip(("state", "count", "entered", "after", "whole", "total"), self.open)},
+        }
+
+
+def _joined(local: np.ndarray, n: np.ndarray, before: np.ndarray, first: np.ndarray, rules: Sequence[Recurrence]) -> np.ndarray:
+    """The state that ``n`` observations leave, of what they leave from nothing and the state before them."""
+    fade = np.array([r.decay for r in rules]) ** n
+    seeded = np.array([r.seeded for r in rules])
+    later = np.where(seeded, local + fade * (before - first), local + fade * before)
+    return np.where(n == 0, before, np.where(np.isnan(before), local, later))
+
+
+def _fold_boundaries(told: Sequence[dict], rules: Sequence[Recurrence]) -> list[tuple]:
+    """Per partition that goes on with the key before it: part and, as lists, what its rows take in."""
+    out, before = [], None
+    empty = np.where([r.seeded for r in rules], np.nan, 0.0)
+    for part in sorted(told, key=lambda b: b["part"]):
+        arrays = {k: np.array(part[k], float) for k in ("x_segment", "x_run", "state", "count", "entered", "after", "whole")}
+        leaves = {"key": part["last"], "segment": part["last_segment"], **{k: arrays[k] for k in ("state", "count", "entered", "whole")}}
+        if before is not None and before["key"] == part["first"]:
+            goes_on = before["segment"] == part["first_segment"]
+            state = before["state"] if goes_on else empty
+            count = before["count"] if goes_on else np.zeros(len(rules))
+            entered = before["entered"] if goes_on else before["whole"]
+            out.append((part["part"], *(x.tolist() for x in (
+                state, count, entered, before["whole"], arrays["x_segment"], arrays["x_run"]))))
+            if part["one_run"]:
+                leaves["whole"] = _joined(
+                    arrays["whole"], np.array(part["total"], float), before["whole"], arrays["x_run"], rules)
+                if part["one_segment"]:
+                    leaves["state"] = _joined(arrays["state"], arrays["count"], state, arrays["x_segment"], rules)
+                    leaves["count"], leaves["entered"] = arrays["count"] + count, entered
+                else:
+                    leaves["entered"] = _joined(arrays["entered"], arrays["after"], before["whole"], arrays["x_run"], rules)
+        before = leaves
+    return out
 
 
 def decayed_scan(
     df: DataFrame,
     *,
     entity: Sequence[str],
-    block: Sequence[str],
     order: Sequence[str],
     values: dict[str, Recurrence],
-    restart: int = 0,
+    restart: Sequence[str] = (),
+    parts: int | None = None,
 ) -> DataFrame:
     """State of a null-skipping linear recurrence *before* every row.
 
-    ``block`` lists the time columns that split an entity's history, coarse
-    first; the first ``restart`` of them also reset the state.  ``order``
-    should end in a unique key and carry whatever the caller needs to join
-    back on: the rows then cross one exchange, which all windows, the
-    summary and the join back share.
+    Rows of an entity go by ``restart`` and then ``order``, nulls first; a
+    change of a ``restart`` column resets the state.  ``order`` should end in a unique key and carry
+    whatever the caller needs to join back on: the rows cross one exchange.
+    Null entities are one entity.  Only one boundary row a partition reaches the driver.
 
-    Output: key and order columns, the raw values, and per value ``v``
+    Output: entity, restart and order columns, the raw values, and per value ``v``
     ``v__s`` (state before the row; NULL before any observation when seeded),
     ``v__n`` (observations before the row) and, with ``restart``,
     ``v__e`` (state of the never-reset recurrence when the segment began).
     """
-    rules = values
-    keys = [*entity, *block]
-    slim = df.select(*keys, *order, *rules)
-
-    # SQL text keeps the driver's share small: one call per expression.
-    # Powers of 1/decay stay finite because a chunk has at most CHUNK_ROWS
-    # rows.  The chunk windows reuse the (entity, block) exchange.
-    by, sort = _names(keys), _names(order)
-    chunk = f"PARTITION BY {by}, `__c` ORDER BY {sort} ROWS BETWEEN UNBOUNDED PRECEDING AND"
-    position = f"row_number() OVER (PARTITION BY {by} ORDER BY {sort})"
-    rows = slim.selectExpr("*", f"CAST(floor(({position} - 1) / {CHUNK_ROWS}) AS INT) AS `__c`")
-    rows = rows.selectExpr("*", *[f"count(`{v}`) OVER ({chunk} CURRENT ROW) AS `{v}__j`" for v in rules])
-
-    def fade(decay: float, n: str) -> str:
-        return "1.0D" if decay == 1.0 else f"pow({decay!r}D, {n})"
-
-    def term(v: str) -> str:
-        return f"`{v}` * {fade(1.0 / rules[v].decay, f'`{v}__j`')}"
-
-    summary = rows.groupBy(*keys, "__c").agg(
-        *[F.expr(f"CAST(count(`{v}`) AS DOUBLE) AS `{v}__m`") for v in rules],
-        *[F.expr(f"coalesce(sum({term(v)}), 0.0D) * {fade(r.decay, f'count(`{v}`)')} AS `{v}__d`")
-          for v, r in rules.items()],
-        *[F.expr(f"CAST(min_by(`{v}`, CASE WHEN `{v}` IS NOT NULL THEN `{v}__j` END) AS DOUBLE) AS `{v}__f`"
-                 if r.seeded else f"0.0D AS `{v}__f`") for v, r in rules.items()],
-    )
-    lead = [*keys, "__c"]
-    states = [f"{v}__{k}0" for k in "sne" for v in rules]
-    schema = T.StructType(
-        [rows.schema[c] for c in lead] + [T.StructField(s, T.DoubleType()) for s in states]
-    )
-    carried = (
-        summary.repartition(*entity)
-        .sortWithinPartitions(*lead)
-        .mapInPandas(_fold_blocks(len(entity), restart, list(rules.values()), states), schema)
-    )
-
-    local = rows.selectExpr(
-        "*",
-        *[f"sum({term(v)}) OVER ({chunk} 1 PRECEDING) AS `{v}__l`" for v in rules],
-        *[f"first(`{v}`, true) OVER ({chunk} 1 PRECEDING) AS `{v}__f`" for v, r in rules.items() if r.seeded],
-    )
-    # one row per (entity, block) with its chunks' states, so the join keeps the rows' one exchange
-    held = carried.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("__c", F.struct(*states)))).alias("__states"))
-    joined = local.join(held, keys, "left").withColumn("__now", F.col("__states")[F.col("__c")]).select(
-        *[F.col(f"`{c}`") for c in local.columns], "__now.*")
-
-    def pieces(v: str, rule: Recurrence) -> list[str]:
-        n = f"(`{v}__j` - CASE WHEN `{v}` IS NOT NULL THEN 1 ELSE 0 END)"
-        carry = f"nanvl(`{v}__s0`, CAST(NULL AS DOUBLE))"
-        seed = f"coalesce({carry}, `{v}__f`)" if rule.seeded else f"coalesce({carry}, 0.0D)"
-        size = fade(rule.decay, n)
-        out = [
-            f"CASE WHEN {n} = 0 THEN {carry if rule.seeded else seed} ELSE {size} * {seed} "
-            f"+ coalesce(`{v}__l`, 0.0D) * {size} * {rule.gain!r}D END AS `{v}__s`",
-            f"`{v}__n0` + {n} AS `{v}__n`",
-        ]
+    spark = df.sparkSession
+    ship_package(spark)
+    lead = list(dict.fromkeys([*entity, *restart, *order]))
+    names, rules = list(values), list(values.values())
+    slim = df.select(*[F.col(f"`{c}`") for c in lead if c not in values], *[F.col(f"`{v}`").cast("double") for v in names])
+    lead = [c for c in lead if c not in values]
+    columns = slim.columns
+    kinds = ("s", "n", "e", "k") if restart else ("s", "n")
+    fields = [T.StructField(f"{v}__{k}", T.DoubleType()) for k in kinds for v in names]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in slim.schema.fields] + fields + [
+        T.StructField("__part", T.LongType()), T.StructField("__zone", T.IntegerType()), T.StructField("__told", T.StringType())])
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, part, kinds_of = _Stream(entity, restart, values), TaskContext.get().partitionId(), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds_of = batch.schema
+            out = stream.read(batch)
+            tables = [out[k] for k in ("state", "count", "entered", "entered_after")[:len(kinds)]]
+            n = batch.num_rows
+            yield pa.record_batch(
+                [*(batch[c] for c in columns),
+                 *(pa.array(t[:, i], pa.float64(), from_pandas=True) for t in tables for i in range(len(names))),
+                 pa.array(np.full(n, part)), pa.array(out["zone"], pa.int32()), pa.nulls(n, pa.string())], names=schema.names)
+        if kinds_of is not None:
+            told = json.dumps(stream.boundary() | {"part": part})
+            yield pa.record_batch(
+                [*(pa.nulls(1, kinds_of.field(c).type) for c in columns), *(pa.nulls(1, pa.float64()) for _ in fields),
+                 pa.array([part], pa.int64()), pa.array([0], pa.int32()), pa.array([told])], names=schema.names)
+
+    local = materialize(sorted_ranges(slim, [*entity, *restart, *[c for c in order if c not in values]], parts)
+                        .mapInArrow(scan, schema), "scan")
+    told = [json.loads(r[0]) for r in local.where(F.col("__told").isNotNull()).select("__told").collect()]
+    rows = local.where(F.col("__told").isNull())
+    lists = ("state", "count", "entered", "whole", "x_segment", "x_run")
+    carried = _fold_boundaries(told, rules)
+    shown = [*[f"`{c}`" for c in [*lead, *names]], *[f"`{v}__{k}`" for k in ("s", "n", "e")[:len(kinds)] for v in names]]
+    if not carried:
+        return rows.selectExpr(*shown)
+    taken = spark.createDataFrame(carried, "__part bigint, " + ", ".join(f"`__{k}` array<double>" for k in lists))
+
+    def joined(local_: str, n: str, before: str, first: str, rule: Recurrence) -> str:
+        before, first = f"nanvl({before}, CAST(NULL AS DOUBLE))", f"nanvl({first}, CAST(NULL AS DOUBLE))"
+        fade = "1.0D" if rule.decay == 1.0 else f"pow({rule.decay!r}D, {n})"
+        later = f"{local_} + {fade} * ({before} - {first})" if rule.seeded else f"{local_} + {fade} * {before}"
+        return f"CASE WHEN {n} = 0 THEN {before} WHEN {before} IS NULL THEN {local_} ELSE {later} END"
+
+    def final(i: int, v: str, rule: Recurrence) -> dict[str, str]:
+        at = lambda k: f"`__{k}`[{i}]"
+        out = {
+            "s": f"CASE WHEN `__state` IS NOT NULL AND `__zone` = 1 THEN "
+                 f"{joined(f'`{v}__s`', f'`{v}__n`', at('state'), at('x_segment'), rule)} ELSE `{v}__s` END",
+            "n": f"CASE WHEN `__state` IS NOT NULL AND `__zone` = 1 THEN `{v}__n` + {at('count')} ELSE `{v}__n` END",
+        }
         if restart:
-            out.append(f"nanvl(`{v}__e0`, CAST(NULL AS DOUBLE)) AS `{v}__e`")
+            out["e"] = (f"CASE WHEN `__state` IS NULL THEN `{v}__e` WHEN `__zone` = 1 THEN nanvl({at('entered')}, CAST(NULL AS DOUBLE)) "
+                        f"ELSE {joined(f'`{v}__e`', f'`{v}__k`', at('whole'), at('x_run'), rule)} END")
         return out
 
-    return joined.selectExpr(
-        *[f"`{c}`" for c in (*keys, *order, *rules)],
-        *[p for v, r in rules.items() for p in pieces(v, r)],
-    )
+    told_again = [f"{sql} AS `{v}__{k}`" for k in ("s", "n", "e")[:len(kinds)]
+                  for i, (v, rule) in enumerate(values.items()) for kk, sql in final(i, v, rule).items() if kk == k]
+    late = rows.where("__zone > 0").join(taken, "__part", "left").selectExpr(
+        *[f"`{c}`" for c in [*lead, *names]], *told_again)
+    return rows.where("__zone = 0").selectExpr(*shown).unionByName(late)
 
 
 def state_after(v: str, rule: Recurrence) -> Column:
@@ -288,41 +356,76 @@ def asof_backward(
     key: Sequence[str],
     clock: str,
     values: Sequence[str],
-    block: Column | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """For each left row the latest right row with a strictly earlier clock.
 
-    ``right`` must hold one row per (key, clock).  The two sides are stacked
-    and windowed inside (key, block of BLOCK_WEEKS of the clock); the last right row of
-    earlier blocks is carried in from a per-block summary.
+    ``right`` must hold one row per (key, clock).  The two sides are stacked and sorted over
+    all partitions by (key, clock); each partition carries the last right row along and
+    hands its last one to the partitions after it.  Left rows with a null key
+    or clock have no match and cross no shuffle; right rows with one are nobody's match.
     """
-    block = F.floor(F.col(clock) / BLOCK_WEEKS) if block is None else block
+    spark = left.sparkSession
+    ship_package(spark)
     cols = left.columns
+    row = T.StructType(left.schema.fields)
     payload = T.StructType([right.schema[v] for v in values])
-    stacked = left.select(
-        *key, clock, F.lit(0).alias("__side"), F.struct(*cols).alias("__row"),
-        F.lit(None).cast(payload).alias("__v"),
-    ).unionByName(
-        right.select(
-            *key, clock, F.lit(1).alias("__side"),
-            F.lit(None).cast(left.select(F.struct(*cols).alias("s")).schema["s"].dataType).alias("__row"),
-            F.struct(*values).alias("__v"),
-        )
-    ).withColumn("__block", block)
-    keys = [*key, "__block"]
-    inside = W.partitionBy(*keys).orderBy(clock, "__side").rowsBetween(W.unboundedPreceding, -1)
-    rows = stacked.withColumn("__in", F.last("__v", ignorenulls=True).over(inside))
-    blocks = stacked.groupBy(*keys).agg(
-        F.max_by("__v", F.when(F.col("__side") == 1, F.col(clock))).alias("__last")
-    )
-    past = W.partitionBy(*key).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
-    carried = blocks.select(*keys, F.last("__last", ignorenulls=True).over(past).alias("__carry"))
-    return (
-        rows.where(F.col("__side") == 0)
-        .join(carried, keys, "left")
-        .withColumn("__hit", F.coalesce("__in", "__carry"))
-        .select("__row.*", *[F.col(f"__hit.{v}").alias(v) for v in values])
-    )
+    whole = lambda df: F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in [*key, clock]))
+    keys = [f"__key{i}" for i in range(len(key))]
+    named = [F.col(f"`{k}`").alias(n) for k, n in zip(key, keys)]
+    stacked = left.where(whole(left)).select(
+        *named, F.col(f"`{clock}`").alias("__clock"), F.lit(0).alias("__side"),
+        F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"), F.lit(None).cast(payload).alias("__v"),
+    ).unionByName(right.where(whole(right)).select(
+        *named, F.col(f"`{clock}`").alias("__clock"), F.lit(1).alias("__side"), F.lit(None).cast(row).alias("__row"),
+        F.struct(*[F.col(f"`{v}`") for v in values]).alias("__v")))
+    schema = T.StructType([
+        T.StructField("__row", row), T.StructField("__v", payload), T.StructField("__part", T.LongType()),
+        T.StructField("__open", T.BooleanType()), T.StructField("__first", T.StringType()), T.StructField("__last", T.StringType())])
+
+    def carry(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, owner, first, runs, held, last = TaskContext.get().partitionId(), None, None, 0, None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            last = batch
+            begins, after = _changes(batch, keys, owner)
+            if owner is None:
+                first, held = tuple(batch[k][0].as_py() for k in keys), pa.nulls(1, batch["__v"].type)
+            owner = after
+            right_row = batch["__side"].to_numpy() == 1
+            latest = np.maximum.accumulate(np.where(right_row, np.arange(n), -1))
+            start = np.maximum.accumulate(np.where(begins, np.arange(n), -1))  # -1: the run of the batch before
+            at = np.where(latest >= np.maximum(start, 0), latest + 1, np.where(start < 0, 0, -1))
+            pool = pa.concat_arrays([held, batch["__v"]])
+            found = pool.take(pa.array(at, pa.int64(), mask=at < 0))
+            of_first = runs + np.cumsum(begins) == 1
+            runs += int(begins.sum())
+            held = found.slice(n - 1, 1)
+            keep = pa.array(~right_row)
+            seen = found.filter(keep)
+            m = len(seen)
+            open_ = of_first[~right_row] & seen.is_null().to_numpy(zero_copy_only=False).astype(bool)
+            yield pa.record_batch([batch["__row"].filter(keep), seen, pa.array(np.full(m, part)), pa.array(open_),
+                                   pa.nulls(m, pa.string()), pa.nulls(m, pa.string())], names=schema.names)
+        if last is not None:
+            yield pa.record_batch([pa.nulls(1, last["__row"].type), held, pa.array([part], pa.int64()), pa.array([False]),
+                                   pa.array([repr(first)]), pa.array([repr(owner)])], names=schema.names)
+
+    local = materialize(sorted_ranges(stacked, [*keys, "__clock", "__side"], parts).mapInArrow(carry, schema), "as-of")
+    rows = local.where(F.col("__last").isNull())
+    # one row a partition: what the partitions before it leave to its first key
+    ends = local.where(F.col("__last").isNotNull())
+    steps = ends.select("__part", F.lit(0).alias("__kind"), F.col("__first").alias("__key"), F.lit(None).cast(payload).alias("__v")).unionByName(
+        ends.select("__part", F.lit(1).alias("__kind"), F.col("__last").alias("__key"), "__v"))
+    past = W.partitionBy("__key").orderBy("__part", "__kind").rowsBetween(W.unboundedPreceding, -1)
+    handed = steps.withColumn("__handed", F.last("__v", ignorenulls=True).over(past)).where("__kind = 0").select("__part", "__handed")
+    shown = lambda hit: [F.col("__row.*"), *[F.col(f"{hit}.`{v}`").alias(v) for v in values]]
+    settled = rows.where(~F.col("__open")).select(*shown("__v"))
+    late = rows.where("__open").join(handed, "__part", "left").select(*shown("__handed"))
+    without = left.where(~whole(left)).select("*", *[F.lit(None).cast(payload[v].dataType).alias(v) for v in values])
+    return settled.unionByName(late).unionByName(without)
 
 
 def latest_per_clock(df: DataFrame, key: Sequence[str], clock: str, order: Sequence[str],

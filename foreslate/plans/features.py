@@ -8,7 +8,7 @@ from .. import constants as K
 from ..functions.scalars import clean_feature, clip
 from ..operators.rating import RatingOptions, rating_pass
 from ..operators.reshape import team_points_long
-from ..operators.scans import center, decayed_scan, ewma, week_block
+from ..operators.scans import center, decayed_scan, ewma
 from .passers import availability_features, passer_features
 
 EDGES = {
@@ -41,7 +41,7 @@ def blended_form(stat: str, games_seen: Column, carry=K.FORM_CARRY, full=K.FORM_
 
 
 def team_form(games: DataFrame, team_games: DataFrame | None, stats=K.ROLLED_STATS,
-              alpha: float = K.FORM_ALPHA, weeks_per_block: int = 8) -> DataFrame:
+              alpha: float = K.FORM_ALPHA) -> DataFrame:
     """Pregame form of every team in every contest, centred on earlier seasons.
 
     ``form_games`` counts earlier contests of the season in which the first
@@ -49,9 +49,8 @@ def team_form(games: DataFrame, team_games: DataFrame | None, stats=K.ROLLED_STA
     """
     centered = center(team_observations(games, team_games), list(stats))
     rolled = decayed_scan(
-        centered.withColumn("wb", week_block(F.col("week"), weeks_per_block)),
-        entity=["team"], block=["season", "wb"], order=["week", "kickoff", "game_id", "is_home"],
-        values={s: ewma(alpha) for s in stats}, restart=1,
+        centered, entity=["team"], restart=["season"], order=["week", "kickoff", "game_id", "is_home"],
+        values={s: ewma(alpha) for s in stats},
     )
     seen = F.col(f"{stats[0]}__n")
     return rolled.select(

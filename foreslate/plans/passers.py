@@ -8,7 +8,7 @@ from .. import constants as K
 from ..functions.scalars import clip, period
 from ..operators.reshape import listed_starters
 from ..operators.scans import (
-    asof_backward, center, decayed_scan, ewma, latest_per_clock, running_sum, state_after, week_block,
+    asof_backward, center, decayed_scan, ewma, latest_per_clock, running_sum, state_after,
 )
 from ..sources.store import materialize
 
@@ -25,10 +25,10 @@ def passer_ratings(player_weeks: DataFrame, min_dropbacks: float = K.PASSER_MIN_
     )
     centered = center(
         passers, ["cpoe", "epa"], scale={"cpoe": K.PASSER_CPOE_SCALE, "epa": K.PASSER_EPA_SCALE}
-    ).withColumn("wb", week_block(F.col("week")))
+    )
     rule = ewma(K.PASSER_ALPHA)
     rolled = decayed_scan(
-        centered, entity=["player_id"], block=["season", "wb"], order=["week", "game_id", "team"],
+        centered, entity=["player_id"], order=["season", "week", "game_id", "team"],
         values={"cpoe": rule, "epa": rule, "dropbacks": running_sum()},
     )
 
@@ -60,8 +60,7 @@ def starter_ratings(games: DataFrame, ratings: DataFrame) -> DataFrame:
 def team_passer_baseline(starters: DataFrame) -> DataFrame:
     """Who has been playing quarterback here: pregame average per team."""
     rolled = decayed_scan(
-        starters.withColumn("wb", week_block(F.col("week"))),
-        entity=["team"], block=["season", "wb"], order=["week", "kickoff", "game_id", "is_home"],
+        starters, entity=["team"], order=["season", "week", "kickoff", "game_id", "is_home"],
         values={"qb_rating_pre": ewma(K.PASSER_TEAM_ALPHA)},
     )
     return rolled.select(
@@ -92,10 +91,9 @@ def player_usage(player_weeks: DataFrame) -> DataFrame:
     usage = (
         player_weeks.select("player_id", "season", "week", "team", "game_id", touches.alias("touches"))
         .where(F.col("touches") > 0)
-        .withColumn("wb", week_block(F.col("week")))
     )
     rolled = decayed_scan(
-        usage, entity=["player_id"], block=["season", "wb"], order=["week", "game_id", "team"],
+        usage, entity=["player_id"], order=["season", "week", "game_id", "team"],
         values={"touches": running_sum()},
     )
     return rolled.select(

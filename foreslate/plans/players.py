@@ -8,7 +8,7 @@ from .. import constants as K
 from ..functions.scalars import clean_feature, injury_availability, period, safe_ratio
 from ..operators.aggregates import defence_allowed
 from ..operators.reshape import append_slate_rows, roster_before, slate_player_rows, team_universe
-from ..operators.scans import bias_corrected_mean, decayed_scan, decayed_sum, week_block
+from ..operators.scans import bias_corrected_mean, decayed_scan, decayed_sum
 
 ROLLED = {
     "passing_yards": "form_pass_yards", "attempts": "form_attempts",
@@ -32,9 +32,7 @@ def player_form(rows: DataFrame) -> DataFrame:
     if "is_slate" not in have:
         filled = filled.withColumn("is_slate", F.lit(False))
     rolled = decayed_scan(
-        filled.withColumn("wb", week_block(F.col("week"))),
-        entity=["player_id"], block=["season", "wb"],
-        order=["week", "is_slate", "game_id", "team", "opponent_team"],
+        filled, entity=["player_id"], order=["season", "week", "is_slate", "game_id", "team", "opponent_team"],
         values={c: decayed_sum(K.PLAYER_ALPHA) for c in ROLLED},
     )
     out = rolled.withColumns({
@@ -64,8 +62,7 @@ def defence_form(player_weeks: DataFrame) -> DataFrame:
     """Weighted mean of yards each defence allowed in earlier weeks."""
     columns = ("pass_yards_allowed", "rush_yards_allowed")
     rolled = decayed_scan(
-        defence_allowed(player_weeks).withColumn("wb", week_block(F.col("week"))),
-        entity=["team"], block=["season", "wb"], order=["week"],
+        defence_allowed(player_weeks), entity=["team"], order=["season", "week"],
         values={c: decayed_sum(K.PLAYER_ALPHA) for c in columns},
     )
     return rolled.select(

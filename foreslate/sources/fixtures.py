@@ -212,10 +212,10 @@ class Fixture:
 
     @cached_property
     def events(self) -> DataFrame:
-        """Independent event log: entity, season = week of the timestamp."""
+        """Independent event log: entity, season = weeks since 1970, which go on over years."""
         return self.table("events").select(
             F.col("user_id").alias("entity"),
-            F.weekofyear("ts").alias("season"),
+            F.floor(F.datediff("ts", F.lit("1970-01-01")) / 7).cast("int").alias("season"),
             F.lit(1).alias("week"),
             "ts", "event_id", "event_type",
             # one value in seven is withheld so null-skipping is exercised
@@ -315,7 +315,7 @@ FROM contests k
 JOIN team_schedule h ON h.game_id = k.game_id AND h.is_home
 JOIN team_schedule a ON a.game_id = k.game_id AND NOT a.is_home"""),
     "log": ("", """
-SELECT user_id AS entity, CAST(weekofyear(ts) AS INT) AS season, 1 AS week, ts, event_id, event_type,
+SELECT user_id AS entity, CAST(floor(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) / 7.0) AS INT) AS season, 1 AS week, ts, event_id, event_type,
        CASE WHEN event_id % 7 <> 3 THEN value END AS value
 FROM events"""),
 }

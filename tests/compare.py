@@ -17,6 +17,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import duckdb  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 
+#: The folder that tests read.
+SMALL = "/root/testdata/sf0.001"
+
 
 def session() -> SparkSession:
     cores = os.environ.get("BENCH_CPUS", "8")

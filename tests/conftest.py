@@ -7,8 +7,6 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.join(ROOT, "tests"))
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -19,13 +17,15 @@ def spark():
 
 @pytest.fixture(scope="session")
 def con():
-    from compare import duck
+    from compare import SMALL, duck
 
     return duck(SMALL)
 
 
 @pytest.fixture(scope="session")
 def fx(spark):
+    from compare import SMALL
+
     from foreslate.sources.fixtures import fixture
 
     return fixture(spark, SMALL)

@@ -1,7 +1,7 @@
 """Every query with SQL text agrees with DuckDB; the driver contract holds."""
 
 import pytest
-from conftest import SMALL
+from compare import SMALL
 
 from foreslate.catalog import REGISTRY
 

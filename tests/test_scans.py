@@ -21,13 +21,12 @@ def rows(n=120, entities=3, nulls=0.2, seed=1):
 
 
 def frame(spark, data):
-    df = spark.createDataFrame(data, "e long, season int, week int, id long, x double")
-    return df.withColumn("wb", SC.week_block(F.col("week"), 4))
+    return spark.createDataFrame(data, "e long, season int, week int, id long, x double")
 
 
-def scan(df, rule, restart=0):
-    return SC.decayed_scan(df, entity=["e"], block=["season", "wb"], order=["week", "id"],
-                           values={"x": rule}, restart=restart)
+def scan(df, rule, restart=False, parts=7):
+    return SC.decayed_scan(df, entity=["e"], restart=["season"] if restart else [], order=["season", "week", "id"],
+                           values={"x": rule}, parts=parts)
 
 
 def loop(data, alpha, reset):
@@ -46,11 +45,10 @@ def loop(data, alpha, reset):
     return out
 
 
-@pytest.mark.parametrize("chunk", [3, 1000])
-def test_average_matches_loop_with_restart_and_small_chunks(spark, monkeypatch, chunk):
-    monkeypatch.setattr(SC, "CHUNK_ROWS", chunk)
-    data = rows()
-    got = {r["id"]: (r["x__s"], r["x__e"]) for r in scan(frame(spark, data), SC.ewma(0.3), 1).collect()}
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_average_matches_loop_with_restart_over_any_partitions(spark, parts):
+    data = rows(n=300, nulls=0.5, seed=parts)
+    got = {r["id"]: (r["x__s"], r["x__e"]) for r in scan(frame(spark, data), SC.ewma(0.3), True, parts).collect()}
     for i, (now, prior) in loop(data, 0.3, True).items():
         for a, b in zip(got[i], (now, prior)):
             assert (a is None) == (b is None)
@@ -91,8 +89,8 @@ def test_erasing_the_future_changes_no_earlier_state(spark):
     data = rows(seed=7)
     cut = (2001, 10)
     erased = [(e, s, w, i, x if (s, w) < cut else None) for e, s, w, i, x in data]
-    a = {r["id"]: r["x__s"] for r in scan(frame(spark, data), SC.ewma(0.3), 1).collect()}
-    b = {r["id"]: r["x__s"] for r in scan(frame(spark, erased), SC.ewma(0.3), 1).collect()}
+    a = {r["id"]: r["x__s"] for r in scan(frame(spark, data), SC.ewma(0.3), True).collect()}
+    b = {r["id"]: r["x__s"] for r in scan(frame(spark, erased), SC.ewma(0.3), True).collect()}
     for e, s, w, i, x in data:
         if (s, w) < cut:
             assert a[i] == b[i]
@@ -123,19 +121,86 @@ def test_baseline_uses_earlier_seasons_only(spark):
     assert got == {2000: (2.0, None), 2001: (2.0, 5.0), 2002: (pytest.approx(14 / 3), 5.0)}
 
 
-def test_rows_of_a_scan_cross_one_exchange(spark):
-    import re
-
-    from foreslate.operators.scans import decayed_scan, ewma
-
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_all_rules_together_with_null_keys_over_small_batches(spark):
+    """One entity and null entities spread over many partitions and batches; every rule against plain loops."""
+    rng = random.Random(17)
+    data = [(rng.choice([None, 1, 1, 1, 2]), i // 150, i, *[None if rng.random() < 0.6 else rng.uniform(-3, 3) for _ in range(3)])
+            for i in range(600)]
+    rules = {"a": SC.ewma(0.2), "b": SC.decayed_sum(0.35), "c": SC.running_sum()}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        df = spark.range(200).selectExpr("id % 7 AS e", "id % 5 AS b", "id AS o", "CAST(id AS DOUBLE) AS v", "id * 2 AS extra")
-        out = decayed_scan(df, entity=["e"], block=["b"], order=["o", "extra"], values={"v": ewma(0.3)})
-        plan = out._jdf.queryExecution().executedPlan().toString()
+        df = spark.createDataFrame(data, "e long, s int, o int, a double, b double, c double")
+        found = SC.decayed_scan(df, entity=["e"], restart=["s"], order=["o"], values=rules, parts=19)
+        assert found.count() == len(data)
+        got = {r["o"]: r for r in found.collect()}
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-    wide = set(re.findall(r"Exchange hashpartitioning\(([^)]*)\), ENSURE_REQUIREMENTS", plan))
-    # the windows' exchange by (e, b), and the one that gathers states by the same keys: none by the chunk
-    assert all("__c" not in keys for keys in wide)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for k, (v, rule) in enumerate(rules.items()):
+        empty = None if rule.seeded else 0.0
+        state = {}
+        for e, s, o, *x in data:
+            own = state.setdefault(e, {"s": s, "now": empty, "n": 0, "whole": empty, "entered": empty})
+            if own["s"] != s:
+                own.update(s=s, entered=own["whole"], now=empty, n=0)
+            for name, want in (("s", own["now"]), ("n", own["n"]), ("e", own["entered"])):
+                told = got[o][f"{v}__{name}"]
+                assert (told is None) == (want is None) and (want is None or told == pytest.approx(want, abs=1e-9)), (v, o, name)
+            if x[k] is not None:
+                for name in ("now", "whole"):
+                    own[name] = x[k] if own[name] is None else rule.decay * own[name] + rule.gain * x[k]
+                own["n"] += 1
+
+
+def test_rows_of_a_scan_cross_one_exchange_and_one_key_spreads(spark, monkeypatch):
+    seen, stored = [], []
+    keep = SC.materialize
+
+    def watched(df, name):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        stored.append(keep(df, name))
+        return stored[-1]
+
+    monkeypatch.setattr(SC, "materialize", watched)
+    df = spark.range(4000).selectExpr("0 AS e", "id AS o", "CAST(id AS DOUBLE) AS v", "id * 2 AS extra")
+    SC.decayed_scan(df, entity=["e"], order=["o", "extra"], values={"v": SC.ewma(0.3)}, parts=8)
+    assert seen[0].count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in seen[0]
+    sizes = [r["count"] for r in stored[0].where("__told IS NULL").groupBy("__part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1000
+
+
+def test_empty_scan_and_join(spark):
+    df = spark.createDataFrame([], "e long, o int, v double")
+    assert SC.decayed_scan(df, entity=["e"], order=["o"], values={"v": SC.ewma(0.3)}).collect() == []
+    left = spark.createDataFrame([(1, 2)], "e long, o int")
+    assert SC.asof_backward(left, df, key=["e"], clock="o", values=["v"]).collect() == [(1, 2, None)]
+    assert SC.asof_backward(left.limit(0), df, key=["e"], clock="o", values=["v"]).collect() == []
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_asof_over_years_with_a_hot_key_equals_sql(spark, parts):
+    """Two years of seconds, one key on a third of the rows, null keys and clocks, beside DuckDB."""
+    import duckdb
+
+    rng = random.Random(parts)
+    key = lambda: rng.choice([1, 1, None, 2, *range(3, 9)])
+    moment = lambda: pd.Timestamp("2020-01-01") + pd.Timedelta(seconds=rng.randrange(2 * 366 * 86400))
+    left = pd.DataFrame([(key(), moment() if rng.random() > 0.02 else pd.NaT, i) for i in range(900)], columns=["k", "t", "id"])
+    right = pd.DataFrame([(key(), moment(), None if rng.random() < 0.2 else float(i)) for i in range(400)], columns=["k", "t", "v"])
+    right = right.drop_duplicates(["k", "t"])
+    left.loc[:49, ["k", "t"]] = right.iloc[:50][["k", "t"]].to_numpy()  # exact matches do not count
+    left["k"], right["k"] = left["k"].astype("Int64"), right["k"].astype("Int64")
+    con = duckdb.connect()
+    con.register("l", left)
+    con.register("r", right)
+    want = dict(con.execute("SELECT id, v FROM l ASOF LEFT JOIN r ON l.k = r.k AND l.t > r.t").fetchall())
+    def none(x):
+        if pd.isna(x):
+            return None
+        return x.to_pydatetime() if isinstance(x, pd.Timestamp) else x if isinstance(x, float) else int(x)
+
+    to = lambda df, kinds: spark.createDataFrame([tuple(none(x) for x in r) for r in df.itertuples(index=False)], kinds)
+    got = SC.asof_backward(to(left, "k long, t timestamp, id long"), to(right, "k long, t timestamp, v double"),
+                           key=["k"], clock="t", values=["v"], parts=parts)
+    got = {r["id"]: r["v"] for r in got.collect()}
+    assert len(got) == 900 and got == {i: none(v) for i, v in want.items()}
