@@ -12,66 +12,72 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.store import materialize, scratch_path
-from .bpe import Encoder
+from .chunk_ids import HELD_BYTES, Generations, byte_letters, encode_lists, even, split_at_spaces, with_others
 from .common import buckets, documents, in_worker, python_ready, text_or_empty
 
 #: Ids in a sequence, sequences in a record batch, and ids after which a file is closed.
 LENGTH, BATCH_SEQUENCES, FILE_IDS = 1024, 256, 4 << 20
-#: Characters of text that are encoded at a time, and chunks that are remembered.
-STEP_CHARS, MAX_CHUNKS = 1 << 20, 700_000
 
 
-#: A chunk that ends in punctuation: the pattern always cuts between a letter or number and that.
-WORD_AND_MARKS = re.compile(r"( ?[^\W\d_]+)([^\w\s]+)")
+#: A word, with the space before it, and the marks after it: the byte-level pattern always cuts between the two.
+WORD_AND_MARKS = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)?")
 
 
 class LibraryEncoder:
-    """A tokenizer of the tokenizers library; its byte-level kind gets every distinct chunk once."""
+    """A tokenizer of the tokenizers library; its byte-level kind gets every distinct chunk once.
 
-    def __init__(self, tokenizer_json: str):
+    The ids are those of ``encode(text, add_special_tokens=False)``: a text that holds the string of an added token
+    gets that token's id, so it goes to the library whole, as do texts with two white-space characters in a row.
+    """
+
+    def __init__(self, tokenizer_json: str, held_bytes: int = HELD_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         told = json.loads(tokenizer_json)
         split = told.get("pre_tokenizer") or {}
+        self.added = "|".join(re.escape(t["content"]) for t in told.get("added_tokens", ()))
         self.chunked = (
             split.get("type") == "ByteLevel" and not split.get("add_prefix_space")
             and split.get("use_regex", True) and not told.get("normalizer"))
         self.width = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.width).tobytes() for e in found]
-
-    def _split(self, text: str) -> list[str]:
-        """Chunks that the pattern always cuts apart: a chunk is a word with the space before it."""
-        if not self.chunked or Encoder.UNEVEN.search(text):
-            return [text]
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > MAX_CHUNKS:
-            self.known.clear()
-        chunks = [self._split(t) for t in texts]
-        new = {c for own in chunks for c in own}.difference(self.known)
-        cut = {c: m.groups() for c in new if (m := WORD_AND_MARKS.fullmatch(c))} if self.chunked else {}
-        ask = list(new.difference(cut) | {p for parts in cut.values() for p in parts}.difference(self.known))
-        for at in range(0, len(ask), 4096):
-            part = ask[at:at + 4096]
-            self.known.update(zip(part, self._library(part)))
-        self.known.update((c, self.known[a] + self.known[b]) for c, (a, b) in cut.items())
-        lookup = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(lookup, own)), self.width) for own in chunks]
+        self.letters = byte_letters()
+        self.words = Generations(held_bytes, self._letters)
+        self.others = Generations(held_bytes, self._library)
+
+    def _library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        shown = "".join([self.letters[b] for b in word.encode()])
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _ids(self, chunk: str) -> bytes:
+        cut = WORD_AND_MARKS.fullmatch(chunk)
+        if not cut or not cut[1].lstrip(" ").isalpha():
+            return self.others[chunk]
+        word, marks = cut.groups()
+        return self.words[word] + self.others[marks] if marks else self.words[word]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text's begin; nulls have none."""
+        texts = pc.fill_null(texts, "")
+        fit = even(texts, self.added) if self.chunked else np.zeros(len(texts), bool)
+        ids, starts = encode_lists(split_at_spaces(pc.if_else(pa.array(fit), texts, "")), self._ids)
+        ids, starts = with_others(ids, starts, {
+            i: np.frombuffer(self._library(texts[i].as_py()), "<u4") for i in np.flatnonzero(~fit).tolist()})
+        return ids.astype(self.width), starts
 
 
 def pack_file(docs: list[tuple[object, np.ndarray]], start: int, part: int, number: int, length: int = LENGTH) -> bytes:
@@ -156,16 +162,13 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, path: str, end_id: i
             return pa.record_batch([pa.array([pack_file(held, start, part, number)], pa.binary())], names=["file"])
 
         for batch in batches:
-            ids, texts = batch["id"].to_pylist(), batch["text"].to_pylist()
-            bounds = np.cumsum([len(t) for t in texts]) // STEP_CHARS
-            for step in np.unique(bounds):
-                rows = np.flatnonzero(bounds == step)
-                for r, found in zip(rows, own.encode([texts[r] for r in rows])):
-                    held.append((ids[r], np.concatenate([found, end])))
-                    held_ids += len(found) + 1
-                    if held_ids >= FILE_IDS:
-                        yield closed()
-                        start, number, held, held_ids = start + held_ids, number + 1, [], 0
+            found, starts = own.encode(batch["text"])
+            for doc, a, b in zip(batch["id"].to_pylist(), starts[:-1].tolist(), starts[1:].tolist()):
+                held.append((doc, np.concatenate([found[a:b], end])))
+                held_ids += b - a + 1
+                if held_ids >= FILE_IDS:
+                    yield closed()
+                    start, number, held, held_ids = start + held_ids, number + 1, [], 0
         if held:
             yield closed()
 

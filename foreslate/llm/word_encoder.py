@@ -14,52 +14,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .chunk_ids import HELD_BYTES, Generations, byte_letters, encode_lists, with_others
+
 #: Arrow splits at these, the library does not.
 UNEVEN = "[\\x1c-\\x1f]"
 #: A word and the marks after it: the tokenizer's pattern cuts between the two, and no mark joins a letter.
 WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 #: Letters below this are composed, and lower-cased one by one, alike everywhere; but for a sigma.
 PLAIN, ODD = "Ͱ", "İ"
-#: Bytes of words and ids that are remembered in each of two generations.
-HELD_BYTES = 96 << 20
-#: What a remembered word takes beside its characters and ids.
-ENTRY_BYTES = 200
-
-
-class Generations(dict):
-    """A memory of bounded size: when full, what was not used since the last time goes.
-
-    New entries and those that are used again are in the dictionary itself; the
-    generation before it is ``older``.  What is in neither is asked for.
-    """
-
-    def __init__(self, most_bytes: int, ask):
-        super().__init__()
-        self.older: dict = {}
-        self.most, self.size, self.ask = most_bytes, 0, ask
-
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.ask(key)
-        self[key] = value
-        self.size += len(key) + len(value) + ENTRY_BYTES
-        if self.size > self.most:
-            self.older = self.copy_out()
-        return value
-
-    def copy_out(self) -> dict:
-        out = dict(self)
-        self.clear()
-        self.size = 0
-        return out
-
-
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256."""
-    kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    other = iter(range(0x100, 0x200))
-    return [chr(b) if b in kept else chr(next(other)) for b in range(256)]
 
 
 class WordEncoder:
@@ -110,25 +72,7 @@ class WordEncoder:
         whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
         if not self.split:
             whole[:] = True
-        lists = pc.utf8_split_whitespace(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts)
-        coded = lists.flatten().dictionary_encode()
-        told = [self._ids(w) if w else b"" for w in coded.dictionary.to_pylist()]
-        sizes = np.array([len(b) // 4 for b in told], np.int64)
-        words, counts = coded.indices.to_numpy(), np.diff(lists.offsets.to_numpy())
-        ids, ends = ragged(np.frombuffer(b"".join(told), "<u4"), sizes, words)
-        starts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        if not whole.any():
-            return ids, starts
-        parts = np.split(ids, starts[1:-1]) if len(texts) else []
-        for i in np.flatnonzero(whole):
-            parts[i] = np.frombuffer(self._library(texts[i].as_py()), "<u4")
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-
-
-def ragged(values: np.ndarray, sizes: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lists ``take`` of lists that lie one after the other in ``values``, and where each of them ends."""
-    first = np.cumsum(sizes) - sizes
-    own = sizes[take]
-    ends = np.cumsum(own)
-    places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[take] - (ends - own), own)
-    return values[places], ends
+        ids, starts = encode_lists(
+            pc.utf8_split_whitespace(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts), self._ids)
+        return with_others(ids, starts, {
+            i: np.frombuffer(self._library(texts[i].as_py()), "<u4") for i in np.flatnonzero(whole).tolist()})

@@ -81,10 +81,9 @@ def test_transducer_against_library(codec, library, spark):
 
 def test_transducer_forgets_and_goes_on(codec, library, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_STATES", 20)
-    monkeypatch.setattr(bpe, "MAX_CHUNKS", 5)
     monkeypatch.setattr(bpe, "MAX_PAIRS", 10)
     monkeypatch.setattr(bpe, "LOOKAHEAD", 130)
-    own = bpe.Codec(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    own = bpe.Codec(bpe.read_ranks(RANKS), public_tokenizers.PATTERN, held_bytes=2000)
     rng = random.Random(4)
     for _ in range(150):
         text = "".join(rng.choice("thnerinogab") for _ in range(400)) + " of the"
@@ -118,8 +117,7 @@ def test_token_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_IDS", 700)
     told = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
     library = Tokenizer.from_str(told)
-    library.encode_special_tokens = True
-    texts = odd_texts() + ["<|endoftext|> a  b \n c", "x\0y z"] + [f"doc {i} " * (i % 40) for i in range(120)]
+    texts = odd_texts() + ["a<|endoftext|>b c", "x <|endoftext|>", "caf\u00e9, na\u00efve### \u0130x can't. A's", "\u00b2x \u2167."] + ["<|endoftext|> a  b \n c", "x\0y z"] + [f"doc {i} " * (i % 40) for i in range(120)]
     docs = awkward(spark, texts).unionByName(awkward(spark, texts[7:8], 7))
     path = f"file://{tmp_path}/files"
     token_files.write_token_files(docs, told, path)
