@@ -13,19 +13,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .chunk_ids import HELD_BYTES, Generations, encode_lists, even, split_at_spaces, with_others
 from .common import documents, in_worker, python_ready
 
-#: States of the lazy automaton and remembered chunks; beyond these they are dropped and built anew.
-MAX_STATES, MAX_CHUNKS, MAX_PAIRS = 90_000, 250_000, 250_000
+#: States of the lazy automaton and token pairs; beyond these they are dropped and built anew.
+MAX_STATES, MAX_PAIRS = 120_000, 250_000
 #: Bytes of a piece after which certain tokens are taken out; more than any token's length.
 LOOKAHEAD = 1024
 INFINITE = float("inf")
@@ -206,59 +207,28 @@ def pack(ids: Iterable[int]) -> bytes:
 
 
 class Encoder:
-    """Texts to ids.  Chunks between single spaces or line ends are remembered.
+    """Texts to ids.  Pieces, the matches of the pattern, are remembered.
 
     Before a space that follows no white space, and around a line end between
     two characters that are none, the pattern always starts a new match; so in
     a text without two white-space characters in a row, chunks can be encoded
-    on their own.  Other texts are matched as a whole.
+    on their own, each distinct one of a batch once.  Other texts are matched as a whole.
     """
 
-    UNEVEN = re.compile(r"\s\s|[^\S \n]")
-
-    def __init__(self, pattern: str, encode_piece):
+    def __init__(self, pattern: str, encode_piece, held_bytes: int = HELD_BYTES):
         self.pieces = regex.compile(pattern).findall
-        self.encode_piece = encode_piece
-        self.known: dict[str, bytes] = {}
-        self.line_end = self._packed("\n")
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.known = Generations(held_bytes, lambda piece: pack(encode_piece(piece.encode())))
 
-    def _packed(self, text: str) -> bytes:
-        out = []
-        for piece in self.pieces(text):
-            known = self.known.get(piece)
-            if known is None:
-                if len(self.known) > MAX_CHUNKS:
-                    self.known.clear()
-                known = self.known[piece] = pack(self.encode_piece(piece.encode()))
-            out.append(known)
-        return b"".join(out)
-
-    def _chunks(self, memo: dict[str, bytes], chunks: list[str], lead: str) -> list[bytes]:
-        out = list(map(memo.get, chunks))
-        if None in out:
-            if len(memo) > MAX_CHUNKS:
-                memo.clear()
-            for i, found in enumerate(out):
-                if found is None:
-                    chunk = chunks[i]
-                    known = memo.get(chunk)
-                    out[i] = memo[chunk] = self._packed(lead + chunk) if known is None else known
-        return out
-
-    def encode(self, text: str) -> np.ndarray:
-        if self.UNEVEN.search(text):
-            out = self._chunks(self.first, self.pieces(text), "")
-        else:
-            out = []
-            for line in text.split("\n"):
-                head, *rest = line.split(" ")
-                out += self._chunks(self.first, [head], "")
-                out += self._chunks(self.later, rest, " ")
-                out.append(self.line_end)
-            out.pop()
-        return np.frombuffer(b"".join(out), "<u4")
+    def _ids(self, chunk: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.pieces(chunk)))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text's begin; nulls have none."""
+        texts = pc.fill_null(texts, "")
+        fit = even(texts)
+        ids, starts = encode_lists(split_at_spaces(pc.if_else(pa.array(fit), texts, "")), self._ids)
+        return with_others(ids, starts, {
+            i: np.frombuffer(self._ids(texts[i].as_py()), "<u4") for i in np.flatnonzero(~fit).tolist()})
 
 
 class Utf8Stream:
@@ -308,14 +278,17 @@ class Utf8Stream:
 class Codec:
     """Encoder and decoder of one rank table."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.encoder = Encoder(pattern, Transducer(ranks).encode)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, held_bytes: int = HELD_BYTES):
+        self.encoder = Encoder(pattern, Transducer(ranks).encode, held_bytes)
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for text, rank in ranks.items():
             self.bytes_of[rank] = text
 
     def encode(self, text: str | None) -> np.ndarray:
-        return self.encoder.encode(text or "")
+        return self.encoder.encode(pa.array([text], pa.string()))[0]
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self.encoder.encode(texts)
 
     def decode(self, ids: list[int]) -> Iterator[str]:
         """The text in parts, whatever its length."""
@@ -349,10 +322,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
     rows.  A column that was called ``ids`` is replaced.
     """
     def work(own: Codec, texts: pa.Array) -> list[pa.Array]:
-        ids = [own.encode(t.as_py()) for t in texts]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+        ids, starts = own.encode_all(texts)
+        return [pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32)))]
 
     return _mapped(docs, text_col, ranks_path, pattern, "ids array<int>", ["ids"], work)
 
@@ -368,13 +339,16 @@ def decode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids_col: st
 def digest_round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256: encoded, then decoded from the ids.
 
-    One pass: neither ids nor decoded texts leave their task.
+    One pass: neither ids nor decoded texts leave their task.  Null and empty
+    texts have no ids and the digests of nothing; repeated rows equal digests; no rows give no rows.
+    Columns of ``docs`` with these names are replaced.
     """
     def work(own: Codec, texts: pa.Array) -> list[pa.Array]:
         counts, ids_sha, text_sha = [], [], []
         decimal = [str(i) for i in range(len(own.bytes_of))].__getitem__
-        for text in texts:
-            ids = own.encode(text.as_py()).tolist()
+        flat, starts = own.encode_all(texts)
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            ids = flat[a:b].tolist()
             counts.append(len(ids))
             ids_sha.append(hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
             told = hashlib.sha256()
