@@ -88,6 +88,7 @@ BOOST_DEPTH = 3
 BOOST_ROUNDS = 220
 BOOST_RATE = 0.045
 BOOST_MIN_LEAF = 40
+BOOST_L2 = 1.0
 WINNER_WEIGHTS = {"logistic": 0.40, "margin": 0.35, "boost": 0.25}
 TOTAL_WEIGHTS = {"ridge": 0.60, "boost": 0.40}
 PLAYER_WEIGHTS = {"ridge": 0.50, "boost": 0.50}

@@ -2,8 +2,8 @@
 
 Linear parts come from cross-product matrices: one aggregation gives the
 sums of products, running sums over the clock give them for every cutoff, and
-each fit is a tiny solve on (p + 1)^2 numbers.  Logistic curves and boosted
-trees are Spark ML fits.  All linear predictions are plain Column arithmetic.
+each fit is a tiny solve on (p + 1)^2 numbers.  Logistic curves take Newton
+steps from sums; boosted trees are grown in :mod:`boosting`.  All linear predictions are plain Column arithmetic.
 """
 
 from __future__ import annotations
@@ -13,15 +13,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as K
 from ..functions import scalars as S
 from ..operators.aggregates import fit_facts
+from .boosting import Boost, Forest, Target, fit_forests, forest_score
 
 # --------------------------------------------------------------------------
 # ridge from cross-products
@@ -246,6 +243,8 @@ def logistic_at(rows: DataFrame, features: Sequence[str], label: Column, clock:
             step = scale * np.linalg.lstsq(curve * np.outer(scale, scale), scale * slope, rcond=None)[0]
             trial[k] = best[k] + step
             live[k] = slope @ step > 1e-9 * max(1.0, loss)
+            if not live[k]:  # a last full step: what is left after it is of second order
+                best[k] = trial[k]
     if live.any():
         raise RuntimeError(f"{int(live.sum())} of {count} fits had not settled after {steps} steps")
     return {
@@ -255,56 +254,40 @@ def logistic_at(rows: DataFrame, features: Sequence[str], label: Column, clock:
 
 
 # --------------------------------------------------------------------------
-# Spark ML fits
+# single fits
 # --------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class Boost:
-    """Boosted-tree settings; ``rounds=0`` leaves the boosted part out."""
-
-    rounds: int = K.BOOST_ROUNDS
-    depth: int = K.BOOST_DEPTH
-    rate: float = K.BOOST_RATE
-    leaf: int = K.BOOST_MIN_LEAF
-
-    def settings(self) -> dict:
-        return dict(maxIter=self.rounds, maxDepth=self.depth, stepSize=self.rate,
-                    minInstancesPerNode=self.leaf, maxBins=255, seed=K.SEED)
-
-
-def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="__x").transform(df)
-
-
 def logistic_curve(rows: DataFrame, features: Sequence[str], label: Column, c: float,
-                   n: int, standardize: bool = True) -> tuple[float, list[float]]:
-    """L2 logistic fit with inverse strength ``c``: intercept and coefficients."""
-    data = _assembled(rows.withColumn("__y", label.cast("double")), features).select("__x", "__y")
-    model = LogisticRegression(
-        featuresCol="__x", labelCol="__y", regParam=1.0 / (c * n), elasticNetParam=0.0,
-        standardization=standardize, maxIter=200, tol=1e-9,
-    ).fit(data)
-    return float(model.intercept), [float(v) for v in model.coefficients]
+                   standardize: bool = True) -> tuple[float, list[float]]:
+    """L2 logistic fit with inverse strength ``c`` on all rows: intercept and coefficients."""
+    fit = logistic_at(rows.withColumn("__all", F.lit(0.0)), features, label, "__all", [1.0], c, standardize)[1.0]
+    return fit.intercept, fit.beta
 
 
-def boost_classifier(train: DataFrame, features: Sequence[str], label: Column, boost: Boost):
-    data = _assembled(train.withColumn("__y", label.cast("double")), features).select("__x", "__y")
-    return GBTClassifier(featuresCol="__x", labelCol="__y", **boost.settings()).fit(data)
+def decided_label() -> Column:
+    """1 for a home win, 0 for a loss, null where nothing was decided."""
+    return F.when(F.col("completed") & (F.col("margin") != 0), (F.col("margin") > 0).cast("double"))
 
 
-def boost_regressor(train: DataFrame, features: Sequence[str], target: Column, boost: Boost):
-    data = _assembled(train.withColumn("__y", target), features).select("__x", "__y")
-    return GBTRegressor(featuresCol="__x", labelCol="__y", **boost.settings()).fit(data)
+def edge_seasons(rows: DataFrame, minimum: int) -> Column:
+    """The first seasons that together have ``minimum`` rows: bins of all fits end at their quantiles."""
+    sizes = sorted((r["season"], r["count"]) for r in rows.groupBy("season").count().collect() if r["season"] is not None)
+    total = 0
+    for season, n in sizes:
+        total += n
+        if total >= minimum:
+            return F.col("season") <= season
+    return F.lit(True)
 
 
-def add_boost(frame: DataFrame, model, features: Sequence[str], name: str, classify: bool) -> DataFrame:
-    """Tree score as one column; NULL where there is no fitted tree."""
-    if model is None:
-        return frame.withColumn(name, F.lit(None).cast("double"))
-    scored = model.transform(_assembled(frame, features))
-    value = vector_to_array("probability")[1] if classify else F.col("prediction")
-    return scored.withColumn(name, value).drop("__x", "rawPrediction", "probability", "prediction")
+def boosted(rows: DataFrame, targets: Sequence[Target], boost: Boost, minimum: int) -> dict[str, Forest]:
+    """Forests by target on all rows; of the fit store where the same history was fitted before."""
+    if not boost.rounds:
+        return {}
+    found = fit_forests(rows.withColumn("__all", F.lit(0.0)), "__all", [1.0], targets, boost, minimum,
+                        edge_seasons(rows, K.MIN_BOOST_GAMES) if "season" in rows.columns else None)
+    return {name: forest for (name, _), forest in found.items()}
 
 
 @dataclass
@@ -315,7 +298,7 @@ class WinnerModel:
     logistic: tuple[float, list[float]]
     margin: tuple[float, list[float]]
     margin_sigma: float
-    boost: object | None
+    boost: Forest | None
     market: tuple[float, list[float]] | None
     n_train: int
     seasons: list[int] = field(default_factory=list)
@@ -323,7 +306,7 @@ class WinnerModel:
     def predict(self, frame: DataFrame, use_market: bool = True, blend: float = K.MARKET_BLEND) -> DataFrame:
         base = frame
         if self.boost is not None:
-            base = add_boost(frame, self.boost, self.features, "__boost", classify=True)
+            base = frame.withColumn("__boost", S.expit(forest_score({"all": self.boost})))
         margin = fixed_score(self.features, *self.margin)
         parts = {
             "logistic": S.expit(fixed_score(self.features, *self.logistic)),
@@ -388,28 +371,32 @@ def fit_winner(history: DataFrame, features: Sequence[str] = K.WINNER_FEATURES +
         raise ValueError("no completed, non-tied games to train on")
     won = F.col("margin") > 0
     ridge = ridge_fit(train, features, "margin").first()
-    trees = None
-    if boost.rounds and facts["n"] >= min_boost:
-        trees = boost_classifier(train, features, won, boost)
+    whole = history.where("completed").withColumn("__won", decided_label())
+    trees = boosted(whole, [Target("winner", tuple(features), "__won", True)], boost, min_boost).get("winner")
     market = None
     if facts["priced"] >= min_priced:
         market = logistic_curve(train.where(F.col("market_spread").isNotNull()), ["market_spread"],
-                                won, K.MARKET_C, facts["priced"], standardize=False)
+                                won, K.MARKET_C, standardize=False)
     return WinnerModel(
-        features, logistic_curve(train, features, won, K.LOGISTIC_C, facts["n"]),
+        features, logistic_curve(train, features, won, K.LOGISTIC_C),
         (ridge["intercept"], list(ridge["beta"])),
         min(max(ridge["sigma"], K.MARGIN_SIGMA_BOUNDS[0]), K.MARGIN_SIGMA_BOUNDS[1]),
         trees, market, facts["n"], list(facts["seasons"]),
     )
 
 
+def mixed_total(ridge: Column, trees: Column) -> Column:
+    w = K.TOTAL_WEIGHTS
+    return (w["ridge"] * ridge + w["boost"] * trees) / (w["ridge"] + w["boost"])
+
+
 @dataclass
 class TotalModel:
     """Point total: ridge and boosted trees in points."""
 
     features: list[str]
     ridge: tuple[float, list[float]]
-    boost: object | None
+    boost: Forest | None
     sigma: float = K.TOTAL_SIGMA
     train_mae: float | None = None
     n_train: int = 0
@@ -418,10 +405,7 @@ class TotalModel:
         ridge = fixed_score(self.features, *self.ridge)
         if self.boost is None:
             return frame.withColumn("model_total", ridge)
-        base = self.boost.transform(_assembled(frame, self.features)).drop("__x")
-        w = K.TOTAL_WEIGHTS
-        mixed = (w["ridge"] * ridge + w["boost"] * F.col("prediction")) / (w["ridge"] + w["boost"])
-        return base.withColumn("model_total", mixed).drop("prediction")
+        return frame.withColumn("model_total", mixed_total(ridge, forest_score({"all": self.boost})))
 
     def predict(self, frame: DataFrame, use_market: bool = True, blend: float = K.TOTAL_BLEND) -> DataFrame:
         return total_columns(self.score(frame), F.lit(self.sigma), use_market, blend)
@@ -457,8 +441,7 @@ def fit_total(history: DataFrame, features: Sequence[str] = K.TOTAL_FEATURES, bo
     if ridge is None:
         raise ValueError("no completed games with a final score to train on")
     model = TotalModel(features, (ridge["intercept"], list(ridge["beta"])), None, n_train=ridge["n_train"])
-    if boost.rounds and ridge["n_train"] >= min_boost:
-        model.boost = boost_regressor(train, features, F.col("actual_total"), boost)
+    model.boost = boosted(train, [Target("total", tuple(features), "actual_total")], boost, min_boost).get("total")
     facts = fit_facts(model.score(train), F.col("model_total"), F.col("actual_total")).first()
     model.sigma = min(max(facts["sigma"], K.TOTAL_SIGMA_BOUNDS[0]), K.TOTAL_SIGMA_BOUNDS[1])
     model.train_mae = facts["train_mae"]
@@ -537,7 +520,7 @@ def involved(rows: DataFrame, target: str) -> DataFrame:
 class PlayerModel:
     features: list[str]
     ridge: dict[str, tuple[float, list[float]]]
-    boost: dict[str, object]
+    boost: dict[str, Forest]
     n_train: dict[str, int]
 
     def _value(self, frame: DataFrame, target: str) -> DataFrame:
@@ -546,10 +529,9 @@ class PlayerModel:
             return frame.withColumn(name, F.lit(None).cast("double"))
         value = fixed_score(self.features, *self.ridge[target])
         if target in self.boost:
-            frame = self.boost[target].transform(_assembled(frame, self.features)).drop("__x")
             w = K.PLAYER_WEIGHTS
-            value = w["ridge"] * value + w["boost"] * F.col("prediction")
-        return frame.withColumn(name, value).drop("prediction")
+            value = w["ridge"] * value + w["boost"] * forest_score({"all": self.boost[target]})
+        return frame.withColumn(name, value)
 
     def raw(self, frame: DataFrame) -> DataFrame:
         for target in K.PLAYER_TARGETS:
@@ -588,10 +570,9 @@ def fit_players(history: DataFrame, features: Sequence[str] = K.PLAYER_FEATURES,
     fits = {t: r for t, r in fits.items() if r["n_train"] >= minimum}
     if not fits:
         raise ValueError("no target had enough player-games to fit")
-    trees = {}
-    for target, row in fits.items():
-        if boost.rounds and row["n_train"] >= min_boost:
-            trees[target] = boost_regressor(involved(history, target), features, F.col(target), boost)
+    labelled = history.withColumns({
+        f"__y_{t}": F.when((F.col(t) > 0) | (F.col(K.PLAYER_TARGETS[t]) > 0), F.col(t)) for t in fits})
+    trees = boosted(labelled, [Target(t, tuple(features), f"__y_{t}") for t in fits], boost, min_boost)
     return PlayerModel(
         features, {t: (r["intercept"], list(r["beta"])) for t, r in fits.items()}, trees,
         {t: r["n_train"] for t, r in fits.items()},
