@@ -1,8 +1,8 @@
 """M-rows: fits, forecasts and replays.
 
-Fits have no SQL form and are checked for rows here and against closed forms
-in the tests; the arithmetic around them is checked exactly on the stand-in
-forecasts.  Fits use the library's own rounds and history minimums.
+Tree fits have no SQL form and are checked for rows here and against a plain twin
+in the tests; ridges and one-feature logistic curves have theirs, and the arithmetic around all of them is checked
+exactly on the stand-in forecasts.  Fits use the library's own rounds and history minimums.
 """
 
 from __future__ import annotations
@@ -101,6 +101,29 @@ def _(fx):
     return _coefficients(fx, list(zip(["intercept", *w.features], [w.logistic[0], *w.logistic[1]])))
 
 
+def _newton(rows: str, penalty: str, steps: int = 40) -> str:
+    """Newton steps for a one-feature logistic curve as a recursive query: columns a (intercept) and b (slope)."""
+    return f"""
+WITH RECURSIVE r AS MATERIALIZED ({rows}), k AS MATERIALIZED (SELECT {penalty} AS pen FROM r), n AS (
+  SELECT 0 AS i, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b
+  UNION ALL
+  SELECT i + 1, a - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+    SELECT i, a, b, sum(p - y) AS g0, sum((p - y) * x) + pen * b AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01,
+           sum(p * (1 - p) * x * x) + pen AS h11
+    FROM (SELECT i, a, b, pen, x, y, 1.0 / (1.0 + exp(-greatest(a + b * x, -500.0))) AS p FROM n, k, r WHERE i < {steps}) AS t
+    GROUP BY i, a, b, pen) AS g)"""
+
+
+@query("m1_logistic_one_feature", floats="intercept slope", views="scored", sql=f"""
+SELECT intercept, slope FROM ({_newton(
+    "SELECT model_margin AS x, CAST(margin > 0 AS INT) AS y FROM scored WHERE completed AND margin <> 0",
+    f"var_pop(x) / {K.LOGISTIC_C}")}
+SELECT a AS intercept, b AS slope FROM n WHERE i = 40)""")
+def _(fx):
+    b0, b = M.logistic_curve(M.winner_training(R.scored(fx)), ["model_margin"], F.col("margin") > 0, K.LOGISTIC_C)
+    return fx.spark.createDataFrame([(b0, b[0])], "intercept double, slope double")
+
+
 @query("m2_margin_ridge", floats="intercept sigma b0 b1", ints="n_train")
 def _(fx):
     fit = M.ridge_fit(M.winner_training(history(fx)), K.WINNER_FEATURES, "margin")
@@ -138,7 +161,12 @@ def _(fx):
     return winner(fx).predict(next_season(fx)).select("game_id", "model_prob_home")
 
 
-@query("m4_market_curve", floats="coefficient")
+@query("m4_market_curve", floats="coefficient", views="games", sql=f"""
+SELECT feature, coefficient FROM ({_newton(
+    "SELECT spread_line AS x, CAST(margin > 0 AS INT) AS y FROM games "
+    "WHERE completed AND season < 2001 AND margin <> 0 AND spread_line IS NOT NULL", f"max(1.0) / {K.MARKET_C}")}
+SELECT 'intercept' AS feature, a AS coefficient FROM n WHERE i = 40
+UNION ALL SELECT 'market_spread', b FROM n WHERE i = 40)""")
 def _(fx):
     b0, b = winner(fx).market
     return _coefficients(fx, [("intercept", b0), ("market_spread", b[0])])

@@ -242,7 +242,7 @@ def logistic_at(rows: DataFrame, features: Sequence[str], label: Column, clock:
             scale = 1.0 / np.sqrt(np.maximum(np.diag(curve), 1e-300))
             step = scale * np.linalg.lstsq(curve * np.outer(scale, scale), scale * slope, rcond=None)[0]
             trial[k] = best[k] + step
-            live[k] = slope @ step > 1e-9 * max(1.0, loss)
+            live[k] = slope @ step > 1e-12 * max(1e-2, loss)
             if not live[k]:  # a last full step: what is left after it is of second order
                 best[k] = trial[k]
     if live.any():
