@@ -22,8 +22,10 @@ from .blocks import NO_ID, pack_blocks, unpack
 from .common import buckets, documents, python_ready
 from .shingles import mix, word_hashes
 
-#: Size of the state, fewest known words and classes offered, steps of a window, lanes, rounds of averaging.
-STATE, WORDS, CLASSES, WINDOW, LANES, ROUNDS = 16, 1024, 32, 32, 256, 2
+#: Size of the state, fewest known words, steps of a window, lanes, rounds of averaging.
+STATE, WORDS, WINDOW, LANES, ROUNDS = 16, 1024, 32, 512, 2
+#: Targets of one class that are multiplied together, and the bias of places of no word.
+PACK, NEVER = 16, -1e4
 #: Known words for each root of the number of training tokens.
 WORDS_BY_ROOT = 4
 #: Learning rate, and bytes of text that are brought into lanes at a time.
@@ -76,11 +78,6 @@ class Vocabulary:
         self.known, self.number = known[by], number[by].astype(np.int32)
         self.rare_tokens = max(0, tokens - int(counts.sum()))
         self.rare_types = max(0, types - len(hashes))
-        # frequency bins: classes hold about equal sums of the roots of counts
-        share = np.cumsum(np.sqrt(self.counts)) / np.sqrt(self.counts).sum()
-        classes = max(CLASSES, int(np.ceil(np.sqrt(len(self.counts)))))
-        self.class_of = np.minimum((share * classes).astype(np.int64), classes - 1)
-        _, self.class_of = np.unique(self.class_of, return_inverse=True)
 
     def __len__(self) -> int:
         return len(self.counts)
@@ -93,151 +90,203 @@ class Vocabulary:
         return np.log10((counts + 0.5) / (self.rare_tokens + 0.5 * (self.rare_types + 1)))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _rows(x: np.ndarray) -> np.ndarray:
+    """(steps, width, lanes) as one row for each step and lane."""
+    return x.transpose(0, 2, 1).reshape(-1, x.shape[1])
+
+
+def _softmax(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of one row of each column, and the gradient of its negative by the logits (in their place)."""
+    columns = np.arange(len(at))
+    logits -= logits.max(axis=0)
+    chosen = logits[at, columns]
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=0)
+    logits *= 1 / total
+    logits[at, columns] -= 1
+    return chosen - np.log(total), logits
+
+
+def _biases(counts: np.ndarray, dtype) -> np.ndarray:
+    """Logarithms of counts; places of no word get no share."""
+    return np.where(counts > 0, np.log(np.maximum(counts, 1)) - np.log(counts.max()), NEVER).astype(dtype)
 
 
 class Model:
-    """Weights: input table (word to gates), state matrix, class and word outputs."""
+    """Weights: input table (word to gates), state matrix, and outputs for groups, their classes and their words.
+
+    Words by frequency are cut into classes, classes into groups, all about as wide as the cube root of the
+    number of words: a word's probability is its group's, times its class's there, times its own there.
+    """
 
     def __init__(self, vocabulary: Vocabulary, dtype=np.float32, state: int = STATE):
-        self.class_of = vocabulary.class_of
-        self.members = [np.flatnonzero(self.class_of == c) for c in range(self.class_of.max() + 1)]
-        self.slot = np.zeros(len(vocabulary), np.int64)
-        for own in self.members:
-            self.slot[own] = np.arange(len(own))
+        words = len(vocabulary)
+        self.size = max(2, int(np.ceil(np.cbrt(words))))
+        classes = -(-words // self.size)
+        self.wide = int(np.ceil(np.sqrt(classes)))
+        groups = -(-classes // self.wide)
+        self.class_of = np.arange(words) // self.size
+        counts = np.zeros((groups, self.wide, self.size))
+        counts.reshape(-1)[:words] = vocabulary.counts
         rng = np.random.default_rng(1)
         draw = lambda *shape: rng.normal(0, 0.1, shape).astype(dtype)
-        share = np.log(vocabulary.counts)
-        classes = np.array([np.log(vocabulary.counts[m].sum()) for m in self.members])
         # the biases start as the words' own frequencies, so training starts at the unigram model
         self.weights = {
-            "input": draw(len(vocabulary), 3 * state), "state": draw(state, 3 * state) * dtype(3),
-            "class": draw(state, len(self.members)) * dtype(0.1), "class_bias": (classes - classes.max()).astype(dtype),
-            "word": draw(len(vocabulary), state) * dtype(0.1), "word_bias": (share - share.max()).astype(dtype),
+            "input": draw(words, 3 * state), "state": draw(state, 3 * state) * dtype(3),
+            "group": draw(state, groups) * dtype(0.1), "group_bias": _biases(counts.sum(axis=(1, 2)), dtype),
+            "class": draw(groups, self.wide, state) * dtype(0.1), "class_bias": _biases(counts.sum(axis=2), dtype),
+            "word": draw(groups * self.wide, self.size, state) * dtype(0.1),
+            "word_bias": _biases(counts, dtype).reshape(-1, self.size),
         }
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.weights.items()}
         self.steps = 0
-        self.moved: dict[str, np.ndarray] = {}  # rows of large tables that the last gradients reach
 
     def run(self, inputs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """States of a window of inputs (steps, lanes); the state is cleared where a text begins.
 
-        Arrays (steps, lanes, ...): state before, both gates, the candidate's part from the state,
-        the candidate, and the state after.
+        ``h`` is (lanes, state).  Arrays (steps, ..., lanes), lanes side by side in memory: state before, both
+        gates, the candidate's part from the state, the candidate, and the state after.
         """
         w, n = self.weights, h.shape[1]
         steps, lanes = inputs.shape
-        given = w["input"][inputs.ravel()].reshape(steps, lanes, 3 * n)
-        fresh = (inputs == END)[:, :, None]
-        before, part, new, after = (np.empty((steps, lanes, n), h.dtype) for _ in range(4))
-        gates = np.empty((steps, lanes, 2 * n), h.dtype)
+        given = np.ascontiguousarray(w["input"][inputs].transpose(0, 2, 1))
+        stays = (inputs != END).astype(h.dtype)[:, None, :]
+        turn = np.ascontiguousarray(w["state"].T)
+        h = np.ascontiguousarray(h.T)
+        before, part, new, after = (np.empty((steps, n, lanes), h.dtype) for _ in range(4))
+        gates, own = np.empty((steps, 2 * n, lanes), h.dtype), np.empty((3 * n, lanes), h.dtype)
         for t in range(steps):
-            np.copyto(before[t], h)
-            np.copyto(before[t], 0, where=fresh[t])
-            own = before[t] @ w["state"]
-            zr = np.add(own[:, :2 * n], given[t, :, :2 * n], out=gates[t])
+            np.multiply(h, stays[t], out=before[t])
+            np.matmul(turn, before[t], out=own)
+            zr = np.add(own[:2 * n], given[t, :2 * n], out=gates[t])
             np.negative(zr, out=zr)
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            part[t] = own[:, 2 * n:]
-            np.multiply(zr[:, n:], part[t], out=new[t])
-            new[t] += given[t, :, 2 * n:]
+            part[t] = own[2 * n:]
+            np.multiply(zr[n:], part[t], out=new[t])
+            new[t] += given[t, 2 * n:]
             np.tanh(new[t], out=new[t])
             h = np.subtract(before[t], new[t], out=after[t])
-            h *= zr[:, :n]
+            h *= zr[:n]
             h += new[t]
         return before, gates, part, new, after
 
     def _outputs(self, states: np.ndarray, targets: np.ndarray, grads: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log probabilities of the targets; with ``grads``, also the gradient of their negative sum by the states."""
-        w = self.weights
-        classes = self.class_of[targets]
-        rows = np.arange(len(targets))
-        logits = states @ w["class"] + w["class_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        logs = logits[rows, classes] - np.log(total)
+        """Log probabilities of the targets; with ``grads``, also the gradient of their negative sum by the states.
+
+        Targets are sorted once: a group's and a class's are then runs.  Those of a class are laid in packs of
+        PACK rows, so all classes are multiplied together.
+        """
+        w, n = self.weights, states.shape[1]
+        by = np.argsort(targets, kind="stable")
+        s, words = states[by], targets[by]
+        classes = words // self.size
+        groups = classes // self.wide
+        turned = np.ascontiguousarray(s.T)
+        logits = w["group"].T @ turned
+        logits += w["group_bias"][:, None]
+        logs, e = _softmax(logits, groups)
         back = None
         if grads is not None:
-            e /= total[:, None]
-            e[rows, classes] -= 1
-            back = e @ w["class"].T
-            grads["class"] += states.T @ e
-            grads["class_bias"] += e.sum(axis=0)
-        by = np.argsort(classes, kind="stable")
-        cuts = np.searchsorted(classes[by], np.arange(len(self.members) + 1))
-        if grads is not None:
-            hit = np.zeros(len(self.members), bool)
-            hit[classes] = True
-            self.moved["word"] = self.moved["word_bias"] = np.flatnonzero(hit[self.class_of])
-        for c, members in enumerate(self.members):
-            own = by[cuts[c]:cuts[c + 1]]
-            if not len(own) or len(members) == 1:
-                continue
-            lo, hi = members[0], members[-1] + 1  # classes are runs of words by frequency
-            s, at = states[own], self.slot[targets[own]]
-            logits = s @ w["word"][lo:hi].T + w["word_bias"][lo:hi]
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(axis=1)
-            logs[own] += logits[np.arange(len(own)), at] - np.log(total)
+            back = (w["group"] @ e).T.copy()
+            grads["group"] = slice(None), turned @ e.T
+            grads["group_bias"] = slice(None), e.sum(axis=1)
+            by_class, by_class_bias = np.zeros_like(w["class"]), np.zeros_like(w["class_bias"])
+        cuts = np.searchsorted(groups, np.arange(len(w["class"]) + 1))
+        for g in np.flatnonzero(cuts[1:] > cuts[:-1]):
+            lo, hi = cuts[g], cuts[g + 1]
+            logits = w["class"][g] @ turned[:, lo:hi]
+            logits += w["class_bias"][g][:, None]
+            found, e = _softmax(logits, classes[lo:hi] - g * self.wide)
+            logs[lo:hi] += found
             if grads is not None:
-                e /= total[:, None]
-                e[np.arange(len(own)), at] -= 1
-                back[own] += e @ w["word"][lo:hi]
-                grads["word"][lo:hi] += e.T @ s
-                grads["word_bias"][lo:hi] += e.sum(axis=0)
+                back[lo:hi] += e.T @ w["class"][g]
+                by_class[g], by_class_bias[g] = e @ s[lo:hi], e.sum(axis=1)
+        first = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))[:len(classes)]
+        count = np.diff(np.append(first, len(classes)))
+        packs = -(-count // PACK)
+        start = np.cumsum(packs) - packs
+        at = np.arange(len(classes)) + np.repeat(start * PACK - first, count)
+        packed = np.zeros((int(packs.sum()) * PACK, n), s.dtype)
+        packed[at] = s
+        packed = packed.reshape(-1, PACK, n)
+        own = np.repeat(classes[first], packs)
+        table = w["word"][own]
+        e = packed @ table.transpose(0, 2, 1)
+        e += w["word_bias"][own][:, None, :]
+        e -= e.max(axis=2, keepdims=True)
+        rows = e.reshape(-1, self.size)
+        slot = words - classes * self.size
+        logs += rows[at, slot]
+        np.exp(e, out=e)
+        total = rows.sum(axis=1)
+        logs -= np.log(total[at])
+        if grads is not None:
+            share = np.zeros_like(total)
+            share[at] = 1 / total[at]
+            rows *= share[:, None]
+            rows[at, slot] -= 1
+            back += (e @ table).reshape(-1, n)[at]
+            hit = classes[first]
+            grads["class"], grads["class_bias"] = (slice(None), by_class), (slice(None), by_class_bias)
+            grads["word"] = hit, np.add.reduceat(e.transpose(0, 2, 1) @ packed, start, axis=0)
+            grads["word_bias"] = hit, np.add.reduceat(e.sum(axis=1), start, axis=0)
+            back[by] = back.copy()
+        logs[by] = logs.copy()
         return logs, back
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, h: np.ndarray) -> tuple[float, dict, np.ndarray]:
-        """Negative log likelihood of the valid targets of a window, its gradients, and the last state."""
+        """Negative log likelihood of the valid targets of a window, its gradients in full, and the last state."""
+        loss, grads, last = self._gradients(inputs, targets, valid, h)
+        full = {k: np.zeros_like(v) for k, v in self.weights.items()}
+        for k, (rows, g) in grads.items():
+            full[k][rows] = g
+        return loss, full, last
+
+    def _gradients(self, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, h: np.ndarray) -> tuple[float, dict, np.ndarray]:
+        """The same, each gradient as rows of its table that the window reaches, and their values."""
         w, n = self.weights, h.shape[1]
-        grads = {k: np.zeros_like(v) for k, v in w.items()}
+        grads: dict[str, tuple] = {}
         before, gates, part, new, after = self.run(inputs, h)
         flat = valid.ravel()
-        states = after.reshape(-1, n)
-        logs, found = self._outputs(states[flat], targets.ravel()[flat], grads)
-        back = np.zeros_like(states)
+        logs, found = self._outputs(_rows(after)[flat], targets.ravel()[flat], grads)
+        back = np.zeros((len(flat), n), h.dtype)
         back[flat] = found
-        back = back.reshape(after.shape)
-        z, r = gates[:, :, :n], gates[:, :, n:]
+        back = np.ascontiguousarray(back.reshape(*inputs.shape, n).transpose(0, 2, 1))
+        z, r = gates[:, :n], gates[:, n:]
         # what each gate's gradient is of the state's, for all steps at once
         by_new = (1 - z) * (1 - new * new)
         by_z = (before - new) * z * (1 - z)
         by_r = part * r * (1 - r)
-        stays = (inputs != END)[:, :, None]
-        later = np.zeros_like(h)
-        via = np.empty((*inputs.shape, 3 * n), h.dtype)  # gradients by what the state gives to the gates
+        stays = (inputs != END).astype(h.dtype)[:, None, :]
+        later = np.zeros_like(after[0])
+        via = np.empty((len(inputs), 3 * n, inputs.shape[1]), h.dtype)  # gradients by what the state gives to the gates
         dnew = np.empty_like(after)
         for t in range(len(inputs) - 1, -1, -1):
             dh = np.add(back[t], later, out=back[t])
             np.multiply(dh, by_new[t], out=dnew[t])
-            np.multiply(dh, by_z[t], out=via[t, :, :n])
-            np.multiply(dnew[t], by_r[t], out=via[t, :, n:2 * n])
-            np.multiply(dnew[t], r[t], out=via[t, :, 2 * n:])
-            later = via[t] @ w["state"].T
+            np.multiply(dh, by_z[t], out=via[t, :n])
+            np.multiply(dnew[t], by_r[t], out=via[t, n:2 * n])
+            np.multiply(dnew[t], r[t], out=via[t, 2 * n:])
+            np.matmul(w["state"], via[t], out=later)
             later += dh * z[t]
             later *= stays[t]
-        grads["state"] += before.reshape(-1, n).T @ via.reshape(-1, 3 * n)
-        via[:, :, 2 * n:] = dnew
+        grads["state"] = slice(None), (before @ via.transpose(0, 2, 1)).sum(axis=0)
+        via[:, 2 * n:] = dnew
         x = inputs.ravel()
         by = np.argsort(x, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], x[by][1:] != x[by][:-1]]))
-        self.moved["input"] = x[by][first]
-        grads["input"][x[by][first]] = np.add.reduceat(via.reshape(-1, 3 * n)[by], first)
-        return -float(logs.sum()), grads, after[-1]
+        grads["input"] = x[by][first], np.add.reduceat(_rows(via)[by], first)
+        return -float(logs.sum()), grads, after[-1].T
 
     def update(self, grads: dict, count: int, rate: float) -> None:
         """One Adam step on the mean gradient, the smaller the fewer targets it rests on:
         a single long text that outlasts the other lanes must not turn the model to itself."""
         self.steps += 1
         scale = rate * min(1.0, count / (WINDOW * LANES)) * np.sqrt(1 - 0.999 ** self.steps) / (1 - 0.9 ** self.steps)
-        for k, g in grads.items():
-            rows = self.moved.get(k, slice(None))  # the rest of a table stays, its moments too
-            g = g[rows] / g.dtype.type(count)
+        for k, (rows, g) in grads.items():  # the rest of a table stays, its moments too
+            g = g / g.dtype.type(count)
             m, v = (x[rows] for x in self.moments[k])
             m += (g - m) * g.dtype.type(0.1)
             v += (g * g - v) * g.dtype.type(0.001)
@@ -245,8 +294,8 @@ class Model:
             self.weights[k][rows] -= m * g.dtype.type(scale) / (np.sqrt(v) + g.dtype.type(SMALL))
 
     def train(self, texts: list[np.ndarray], rate: float = RATE) -> None:
-        for inputs, targets, valid, _, h, keep in windows(texts, self.weights["state"].shape[0], self.weights["state"].dtype):
-            _, grads, last = self.gradients(inputs, targets, valid, h)
+        for inputs, targets, valid, _, h, keep in windows(texts, self.weights["state"].shape[0], self.weights["state"].dtype, True):
+            _, grads, last = self._gradients(inputs, targets, valid, h)
             self.update(grads, max(1, int(valid.sum())), rate)
             keep(last)
 
@@ -256,9 +305,9 @@ class Model:
         for inputs, targets, valid, owner, h, keep in windows(texts, self.weights["state"].shape[0], self.weights["state"].dtype):
             after = self.run(inputs, h)[-1]
             flat = valid.ravel()
-            logs, _ = self._outputs(after.reshape(-1, h.shape[1])[flat], targets.ravel()[flat], None)
+            logs, _ = self._outputs(_rows(after)[flat], targets.ravel()[flat], None)
             total += np.bincount(owner.ravel()[flat], weights=logs, minlength=len(texts))
-            keep(after[-1])
+            keep(after[-1].T)
         return total
 
     def flat(self) -> np.ndarray:
@@ -273,37 +322,47 @@ class Model:
         return self
 
 
-def windows(texts: list[np.ndarray], state: int, dtype) -> Iterator[tuple]:
-    """Texts (each closed by END) end to end in lanes of about equal length, WINDOW steps at a time.
-
-    Yields inputs, targets, valid and owner (steps, lanes), the state before, and a function that
-    takes the state after.  Lanes that are used up leave, so few long texts cost only themselves.
-    """
-    if not texts:
-        return
+def _lanes(texts: list[np.ndarray]) -> tuple[list[int], np.ndarray]:
+    """Whole texts dealt to lanes of about equal length: their order, and the lanes' lengths, longest first."""
     lanes: list[list[int]] = [[] for _ in range(min(LANES, len(texts)))]
     heap = [(0, i) for i in range(len(lanes))]
     for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
         size, lane = heap[0]
         heapq.heapreplace(heap, (size + len(texts[i]), lane))
         lanes[lane].append(i)
-    lanes.sort(key=lambda own: -sum(len(texts[i]) for i in own))
-    streams = [np.concatenate([texts[i] for i in own]) for own in lanes]
-    owners = [np.repeat(np.array(own), [len(texts[i]) for i in own]) for own in lanes]
-    lengths = np.array([len(s) for s in streams])
-    h, held = np.zeros((len(lanes), state), dtype), {}
-    for at in range(0, lengths[0], WINDOW):
+    dealt = sorted(((sum(len(texts[i]) for i in own), own) for own in lanes), reverse=True)
+    return [i for _, own in dealt for i in own], np.array([size for size, _ in dealt if size])
+
+
+def windows(texts: list[np.ndarray], state: int, dtype, cut: bool = False) -> Iterator[tuple]:
+    """Texts (each closed by END) end to end in lanes, WINDOW steps at a time.
+
+    Yields inputs, targets, valid and owner (steps, lanes), the state before, and a function that
+    takes the state after.  Lanes hold whole texts, and leave when they are used up; the fewer are left, the
+    more steps a window has.  With ``cut``, for training, lanes are equal cuts of all texts end to end, so that
+    a long text fills all lanes instead of outlasting the others.
+    """
+    total = sum(map(len, texts))
+    if not total:
+        return
+    if cut:
+        order, starts = range(len(texts)), np.arange(0, total, -(-total // min(LANES, len(texts))))
+        lengths = np.diff(np.append(starts, total))
+    else:
+        order, lengths = _lanes(texts)
+        starts = np.cumsum(lengths) - lengths
+    every = np.concatenate([texts[i] for i in order]).astype(np.int32)
+    owners = np.repeat(np.array(order), [len(texts[i]) for i in order])
+    given = np.concatenate([[END], every[:-1]]).astype(np.int32)
+    h, held, at = np.zeros((len(lengths), state), dtype), {}, 0
+    while at < lengths[0]:
         n = int((lengths > at).sum())
-        steps = min(WINDOW, int(lengths[0] - at))
-        x, y, own = np.zeros((steps, n), np.int32), np.zeros((steps, n), np.int32), np.zeros((steps, n), np.int64)
-        valid = np.zeros((steps, n), bool)
-        for lane in range(n):
-            k = min(steps, int(lengths[lane]) - at)
-            y[:k, lane] = streams[lane][at:at + k]
-            x[1:k, lane] = y[:k - 1, lane]
-            x[0, lane] = streams[lane][at - 1] if at else END
-            own[:k, lane] = owners[lane][at:at + k]
-            valid[:k, lane] = True
+        most = WINDOW if cut else max(WINDOW, WINDOW * LANES // n)
+        step = np.arange(at, min(at + most, lengths[0]))[:, None]
+        at += most
+        valid = step < lengths[:n]
+        place = np.where(valid, starts[:n] + step, 0)
+        x, y, own = (np.where(valid, v[place], 0) for v in (given, every, owners))
         yield x, y, valid, own, h[:n], lambda last: held.__setitem__("h", last)
         h = held["h"]
 
@@ -479,7 +538,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts whose id's crc32 leaves 1 modulo 5 are held out; a null id counts as
     an empty one.  Null and empty texts are one end token.  Words are told apart by
     64-bit hashes.  Without training texts both scores rest on the smoothing alone.
-    Repeated rows each count and each give a row; no rows give no rows.
+    Repeated rows each count and each give a row; no rows give no rows.  Base scores rest
+    on counts alone; ``score`` also on which texts share a block and a task, so it moves a
+    little (1 % or so) with the partitions of ``docs``.
     """
     spark = docs.sparkSession
     python_ready(spark)
