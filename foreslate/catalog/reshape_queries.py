@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import rating as RT
 from ..operators import reshape as U
+from ..operators.ranks import place_in_group
 from ..plans import players as PL
 from ..plans import walkforward as WF
 from . import frames as R
@@ -17,8 +18,8 @@ from .registry import query
 @query("t1_chronological_order", ints="game_id season week place", views="games", sql="""
 SELECT game_id, season, week, row_number() OVER (PARTITION BY season, week ORDER BY kickoff, game_id) AS place FROM games""")
 def _(fx):
-    order = W.partitionBy("season", "week").orderBy("kickoff", "game_id")
-    return fx.games.select("game_id", "season", "week", F.row_number().over(order).alias("place"))
+    games = fx.games.select("game_id", "season", "week", "kickoff")
+    return place_in_group(games, ["season", "week"], [("kickoff", False), ("game_id", False)], "place").drop("kickoff")
 
 
 @query("t2_slate_orders", ints="game_id season week by_confidence by_total by_margin", views="edges", sql="""
@@ -26,12 +27,13 @@ SELECT game_id, season, week, row_number() OVER (PARTITION BY season, week ORDER
        row_number() OVER (PARTITION BY season, week ORDER BY round(pred_total, 9) DESC, game_id) AS by_total,
        row_number() OVER (PARTITION BY season, week ORDER BY round(pred_margin, 9) DESC, game_id) AS by_margin FROM edges""")
 def _(fx):
-    def place(column):
-        return F.row_number().over(W.partitionBy("season", "week").orderBy(F.desc(F.round(column, 9)), "game_id"))
-
-    return R.priced(fx).select(
-        "game_id", "season", "week", place("pick_prob").alias("by_confidence"),
-        place("pred_total").alias("by_total"), place("pred_margin").alias("by_margin"))
+    # one row for each of the three orders, so one sort places all
+    orders = {"by_confidence": "pick_prob", "by_total": "pred_total", "by_margin": "pred_margin"}
+    long = R.priced(fx).select("game_id", "season", "week", F.explode(F.array(*[
+        F.struct(F.lit(o).alias("kind"), F.round(c, 9).alias("value")) for o, c in orders.items()])).alias("of"))
+    placed = place_in_group(long, ["season", "week", "of.kind"], [("of.value", True), ("game_id", False)], "place")
+    return placed.groupBy("game_id", "season", "week").agg(
+        *[F.max(F.when(F.col("of.kind") == o, F.col("place"))).alias(o) for o in orders])
 
 
 @query("t3_top_players", floats="value", ints="player_id game_id rank", views="player_weeks", sql="UNION ALL ".join(

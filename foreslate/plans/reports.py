@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .. import constants as K
 from ..functions import scalars as S
 from ..operators import grading as G
+from ..operators.ranks import place_in_group
 from ..operators.scans import prior_baseline
 
 SLATE = ("season", "week")
@@ -252,8 +253,7 @@ def ranked_picks(slate: DataFrame) -> DataFrame:
         F.explode(F.array_compact(F.array(money, sided, over))).alias("m"),
     ).select("game_id", *SLATE, "game", "m.*")
     # strengths equal but for the last bits of a logarithm are ties
-    order = W.partitionBy(*SLATE, "market").orderBy(F.desc(F.round("strength", 9)), "game_id")
-    return picks.withColumn("rank", F.row_number().over(order))
+    return place_in_group(picks, [*SLATE, "market"], [(F.round("strength", 9), True), ("game_id", False)], "rank")
 
 
 # --- players, ratings, pairs ----------------------------------------------
