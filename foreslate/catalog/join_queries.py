@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import scalars as S
 from ..operators import aggregates as A
+from ..operators import histories as H
 from ..operators import reshape as U
-from ..operators.scans import (
-    asof_backward, expanding_join, latest_per_clock, prefix_totals, prior_baseline,
-)
+from ..operators.scans import asof_backward, latest_per_clock, prefix_totals, prior_baseline
 from ..plans import features as FT
 from ..plans import passers as P
 from ..plans import players as PL
@@ -115,9 +114,21 @@ FROM (SELECT season, min(season * 100 + week) AS cutoff FROM games GROUP BY seas
 JOIN games g ON g.season * 100 + g.week < c.cutoff WHERE g.completed GROUP BY c.cutoff""")
 def _(fx):
     clocked = fx.games.withColumn("period", S.period(F.col("season"), F.col("week")))
-    cutoffs = [r[0] for r in clocked.groupBy("season").agg(F.min("period")).select(F.col("min(period)")).collect()]
-    history = expanding_join(clocked.where("completed"), cutoffs, "period")
-    return history.groupBy("cutoff").agg(F.count("*").alias("history"), F.sum("margin").alias("margin_sum"))
+    cutoffs = clocked.groupBy("season").agg(F.min("period").alias("cutoff"))
+    return H.expanding_states(clocked.where("completed"), cutoffs, "period", "cutoff", {
+        "history": H.counted(F.lit(True)), "margin_sum": H.total(F.col("margin"))}).where("history > 0")
+
+
+@query("j10_expanding_extremes", floats="least_margin most_margin", ints="cutoff history home_wins", views="games", sql="""
+SELECT c.cutoff, count(g.game_id) AS history, count(*) FILTER (WHERE g.margin > 0) AS home_wins,
+       min(g.margin) AS least_margin, max(g.margin) AS most_margin
+FROM (SELECT DISTINCT season * 100 + week AS cutoff FROM games WHERE season IS NOT NULL AND week IS NOT NULL) c
+LEFT JOIN games g ON g.season * 100 + g.week < c.cutoff AND g.completed GROUP BY c.cutoff""")
+def _(fx):
+    clocked = fx.games.withColumn("period", S.period(F.col("season"), F.col("week")))
+    margin = F.col("margin")
+    return H.expanding_states(clocked.where("completed"), clocked.withColumnRenamed("period", "cutoff"), "period", "cutoff", {
+        "history": H.counted(F.lit(True)), "home_wins": H.counted(margin > 0), "least_margin": H.least(margin), "most_margin": H.greatest(margin)})
 
 
 @query("j10_prefix_totals", floats="margin_sum", ints="period history", views="games", sql="""

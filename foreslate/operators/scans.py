@@ -436,21 +436,10 @@ def latest_per_clock(df: DataFrame, key: Sequence[str], clock: str, order: Seque
 
 
 # --------------------------------------------------------------------------
-# expanding join
+# expanding history: see also histories.py
 # --------------------------------------------------------------------------
 
 
-def expanding_join(rows: DataFrame, cutoffs: Sequence[int], clock: str, name: str = "cutoff") -> DataFrame:
-    """Every row once per cutoff later than its clock.
-
-    Cutoffs are refit points (one per season), so each row carries its own
-    short list of later ones: no join and no shuffle.  Additive statistics
-    over many cutoffs use :func:`prefix_totals`, which repeats no row.
-    """
-    later = F.filter(F.array(*[F.lit(int(c)) for c in sorted(cutoffs)]), lambda c: c > F.col(clock))
-    return rows.withColumn(name, F.explode(later))
-
-
 def prefix_totals(rows: DataFrame, clock: str, aggs: dict[str, Column]) -> DataFrame:
     """Sums over all strictly earlier clock values, one row per clock value.
 
