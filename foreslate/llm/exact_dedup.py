@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import documents, text_or_empty
+from .common import documents, free_names, text_or_empty
 
 #: A run of white space that is not already one plain space.
 UNEVEN_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -60,18 +60,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all their columns untouched; of repeated rows, one.
 
-    A row is repeated when another has its id and its normalised text.
+    A row is repeated when another has its id and its normalised text.  Columns may have any
+    other names.
     """
+    row_id, row_sha, kept_id, kept_sha = free_names(docs, "__row_id", "__row_sha", "__kept_id", "__kept_sha")
     kept = (
         keyed(docs, id_col, text_col).groupBy("__hash", "__norm").agg(F.min("__id").alias("__keep"))
-        .select(F.col("__keep").alias("__kept_id"), F.unhex(F.sha2("__norm", 256)).alias("__kept_sha"))
+        .select(F.col("__keep").alias(kept_id), F.unhex(F.sha2("__norm", 256)).alias(kept_sha))
     )
     sha = F.unhex(F.sha2(normalised(text_or_empty(text_col)), 256))
-    same = F.col("__row_id").eqNullSafe(F.col("__kept_id")) & (F.col("__row_sha") == F.col("__kept_sha"))
+    same = F.col(row_id).eqNullSafe(F.col(kept_id)) & (F.col(row_sha) == F.col(kept_sha))
     return (
-        docs.withColumns({"__row_id": F.col(id_col), "__row_sha": sha})
+        docs.withColumns({row_id: F.col(id_col), row_sha: sha})
         .join(kept, same, "left_semi")
-        .dropDuplicates(["__row_id", "__row_sha"]).drop("__row_id", "__row_sha")
+        .dropDuplicates([row_id, row_sha]).drop(row_id, row_sha)
     )
 
 

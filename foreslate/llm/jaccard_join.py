@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.store import materialize
-from .common import buckets, documents, python_ready, release
+from .common import buckets, documents, free_names, python_ready, release
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
@@ -409,8 +409,9 @@ def without_near_copies(docs: DataFrame, measure: Measure, id_col: str = "doc_id
     """``docs`` with the smallest id of each component alone, all columns untouched.
 
     Rows that share an id are one document and stay or go together; rows
-    without an id stay.
+    without an id stay.  Columns may have any other names.
     """
     told = jaccard_components(docs, measure, id_col, text_col)
-    staying = told.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col("component_id") == F.col(id_col)).alias("__stays"))
-    return docs.join(staying.where("not __stays"), F.col(id_col) == F.col("__id"), "left_anti")
+    own, stays = free_names(docs, "__id", "__stays")
+    staying = told.groupBy(F.col(id_col).alias(own)).agg(F.max(F.col("component_id") == F.col(id_col)).alias(stays))
+    return docs.join(staying.where(~F.col(stays)), F.col(id_col) == F.col(own), "left_anti")
