@@ -204,3 +204,36 @@ def test_asof_over_years_with_a_hot_key_equals_sql(spark, parts):
                            key=["k"], clock="t", values=["v"], parts=parts)
     got = {r["id"]: r["v"] for r in got.collect()}
     assert len(got) == 900 and got == {i: none(v) for i, v in want.items()}
+
+
+@pytest.mark.parametrize("restart", [(), ("s",)])
+def test_a_batch_of_one_entity_takes_few_steps_and_matches_a_loop(restart):
+    """A batch inside one entity used to take one array step per row."""
+    import random as r
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n = r.Random(3), 200_000
+    x = [None if rng.random() < 0.3 else rng.uniform(-9, 9) for _ in range(n)]
+    keys, seasons = [0] * (n - 5) + [1] * 5, [i // 40_000 for i in range(n)]
+    table = pa.table({"e": keys, "s": seasons, "v": pa.array(x, pa.float64()), "w": pa.array(x, pa.float64())})
+    rules = {"v": SC.ewma(0.3), "w": SC.decayed_sum(0.35)}
+    stream, took, got = SC._Stream(["e"], restart, rules), 0.0, []
+    for batch in table.to_batches(max_chunksize=10_000):
+        began = time.process_time()
+        got.append(stream.read(batch))
+        took += time.process_time() - began
+    got = {k: np.concatenate([g[k] for g in got]) for k in got[0] if k != "zone"}
+    state, count, key = [float("nan"), 0.0], 0, None
+    for i in range(n):
+        if key != (keys[i], seasons[i] if restart else 0):
+            state, count, key = [float("nan"), 0.0], 0, (keys[i], seasons[i] if restart else 0)
+        if i % 997 < 3 or i > n - 20:
+            np.testing.assert_allclose(got["state"][i], state, atol=1e-9)
+            assert got["count"][i].tolist() == [count, count]
+        if x[i] is not None:
+            state = [x[i] if np.isnan(state[0]) else 0.7 * state[0] + 0.3 * x[i], 0.65 * state[1] + x[i]]
+            count += 1
+    assert took < 1.5
