@@ -135,3 +135,29 @@ def test_tracking_cuts_at_the_first_kickoff(fx):
     for week, n in list(weeks)[:3]:
         cut = fx.games.where((F.col("season") == 1999) & (F.col("week") == week)).agg(F.min("kickoff")).first()[0]
         assert n == games.where(F.col("kickoff") < F.lit(cut)).count()
+
+
+def test_a_curve_of_rows_told_apart_settles_at_its_optimum(spark):
+    """A quoted spread tells winners from losers; the penalty alone bounds the slope, and the loss is flat near it."""
+    gaps = [g for g in range(-90, 91) if g] * 400
+    x, y = np.array([(g * 6 // 10) / 2 for g in gaps]), np.array([g > 0 for g in gaps], float)
+    rows = spark.createDataFrame(list(zip(map(float, gaps), x.tolist())), "margin double, market_spread double")
+    b0, (b1,) = M.market_curve(rows)
+    for _ in range(2):  # a Newton step from there goes nowhere
+        p = 1.0 / (1.0 + np.exp(-np.clip(b0 + b1 * x, -500, 500)))
+        w = p * (1 - p)
+        g0, g1 = (p - y).sum(), ((p - y) * x).sum() + b1 / K.MARKET_C
+        h = np.array([[w.sum(), (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + 1 / K.MARKET_C]])
+        assert np.abs(np.linalg.solve(h, [g0, g1])).max() < 1e-6
+
+
+def test_linear_parts_of_the_winner_grow_no_tree(monkeypatch, spark):
+    from foreslate.catalog import REGISTRY
+    from compare import SMALL
+
+    def refuse(*_):
+        raise AssertionError("trees were grown")
+
+    monkeypatch.setattr(M, "boosted", refuse)
+    for key in ("m1_winner_logistic", "m4_market_curve"):
+        assert REGISTRY[key].run(spark, SMALL).count() > 1
