@@ -119,7 +119,7 @@ SELECT game_id, season, week, away_team, home_team, away_team_total, home_team_t
        first_half_margin_pred, pred_total - first_half_total_pred AS second_half_total_pred,
        pred_margin - first_half_margin_pred AS second_half_margin_pred FROM halved""")
 def _(fx):
-    return RP.splits_table(M.predict_halves(R.scored(fx), M.fit_halves(R.scored(fx))))
+    return RP.splits_table(M.predict_halves(R.halved(fx), M.fit_halves(R.halved(fx))))
 
 
 @query("r11_player_table", floats="value availability", ints="player_id rank", views="player_rolled one_listing", sql="UNION ALL ".join(
