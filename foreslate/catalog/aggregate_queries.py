@@ -253,7 +253,7 @@ FROM r JOIN b USING (season) GROUP BY season"""
           + coalesce(p.home_points_against, 0) + coalesce(p.away_points_against, 0)) / 2.0 AS own
   FROM scored s JOIN paired p USING (game_id) WHERE s.completed"""))
 def _(fx):
-    own = R.paired(fx).select("game_id", FT.pair_sums()["scoring_sum"].alias("own"))
+    own = R.paired_on(fx, ("points_for", "points_against")).select("game_id", FT.pair_sums()["scoring_sum"].alias("own"))
     return RP.naive_comparison(R.settled(fx).join(own, "game_id"), "actual_total", "model_total", "own")
 
 

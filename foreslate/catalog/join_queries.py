@@ -56,8 +56,8 @@ def _(fx):
        sql="SELECT game_id, home_off_epa_play, away_off_epa_play, home_points_for, away_points_for, "
            "home_form_games, away_form_games FROM paired")
 def _(fx):
-    return R.paired(fx).select("game_id", "home_off_epa_play", "away_off_epa_play", "home_points_for",
-                               "away_points_for", "home_form_games", "away_form_games")
+    return R.paired_on(fx, ("off_epa_play", "points_for")).select("game_id", "home_off_epa_play", "away_off_epa_play",
+        "home_points_for", "away_points_for", "home_form_games", "away_form_games")
 
 
 @query("j6_passer_terms_on_games", floats="qb_delta qb_edge availability_edge", ints="game_id",
