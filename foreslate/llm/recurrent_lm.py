@@ -95,6 +95,30 @@ def _rows(x: np.ndarray) -> np.ndarray:
     return x.transpose(0, 2, 1).reshape(-1, x.shape[1])
 
 
+def _sorted(words: np.ndarray) -> np.ndarray:
+    """The stable order of numbers below 2 ** 32, by halves: these are dealt by value, not compared."""
+    by = np.argsort((words & 0xFFFF).astype(np.uint16), kind="stable")
+    high = (words >> 16).astype(np.uint16)
+    return by[np.argsort(high[by], kind="stable")] if high.any() else by
+
+
+def _runs(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at ``first``: the next row of all runs at once, the rest of a long one as a product."""
+    flat = rows.reshape(len(rows), -1)
+    size = np.diff(np.append(first, len(flat)))
+    by = np.argsort(-size, kind="stable")
+    size, at = size[by], first[by]
+    sums, done = flat[at], 1
+    while (live := int(np.searchsorted(-size, -done))) > 32:
+        sums[:live] += flat[at[:live] + done]
+        done += 1
+    for i in range(live):
+        sums[i] += np.ones(size[i] - done, flat.dtype) @ flat[at[i] + done:at[i] + size[i]]
+    out = np.empty_like(sums)
+    out[by] = sums
+    return out.reshape(len(first), *rows.shape[1:])
+
+
 def _softmax(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log probability of one row of each column, and the gradient of its negative by the logits (in their place)."""
     columns = np.arange(len(at))
@@ -179,7 +203,7 @@ class Model:
         PACK rows, so all classes are multiplied together.
         """
         w, n = self.weights, states.shape[1]
-        by = np.argsort(targets, kind="stable")
+        by = _sorted(targets)
         s, words = states[by], targets[by]
         classes = words // self.size
         groups = classes // self.wide
@@ -220,7 +244,7 @@ class Model:
         slot = words - classes * self.size
         logs += rows[at, slot]
         np.exp(e, out=e)
-        total = rows.sum(axis=1)
+        total = rows @ np.ones(self.size, rows.dtype)
         logs -= np.log(total[at])
         if grads is not None:
             share = np.zeros_like(total)
@@ -230,8 +254,8 @@ class Model:
             back += (e @ table).reshape(-1, n)[at]
             hit = classes[first]
             grads["class"], grads["class_bias"] = (slice(None), by_class), (slice(None), by_class_bias)
-            grads["word"] = hit, np.add.reduceat(e.transpose(0, 2, 1) @ packed, start, axis=0)
-            grads["word_bias"] = hit, np.add.reduceat(e.sum(axis=1), start, axis=0)
+            grads["word"] = hit, _runs(e.transpose(0, 2, 1) @ packed, start)
+            grads["word_bias"] = hit, _runs(np.ones(PACK, e.dtype) @ e, start)
             back[by] = back.copy()
         logs[by] = logs.copy()
         return logs, back
@@ -275,9 +299,9 @@ class Model:
         grads["state"] = slice(None), (before @ via.transpose(0, 2, 1)).sum(axis=0)
         via[:, 2 * n:] = dnew
         x = inputs.ravel()
-        by = np.argsort(x, kind="stable")
+        by = _sorted(x)
         first = np.flatnonzero(np.concatenate([[True], x[by][1:] != x[by][:-1]]))
-        grads["input"] = x[by][first], np.add.reduceat(_rows(via)[by], first)
+        grads["input"] = x[by][first], _runs(_rows(via)[by], first)
         return -float(logs.sum()), grads, after[-1].T
 
     def update(self, grads: dict, count: int, rate: float) -> None:
@@ -287,11 +311,17 @@ class Model:
         scale = rate * min(1.0, count / (WINDOW * LANES)) * np.sqrt(1 - 0.999 ** self.steps) / (1 - 0.9 ** self.steps)
         for k, (rows, g) in grads.items():  # the rest of a table stays, its moments too
             g = g / g.dtype.type(count)
-            m, v = (x[rows] for x in self.moments[k])
+            first, second = self.moments[k]
+            m, v = first[rows], second[rows]
             m += (g - m) * g.dtype.type(0.1)
             v += (g * g - v) * g.dtype.type(0.001)
-            self.moments[k][0][rows], self.moments[k][1][rows] = m, v
-            self.weights[k][rows] -= m * g.dtype.type(scale) / (np.sqrt(v) + g.dtype.type(SMALL))
+            if not isinstance(rows, slice):
+                first[rows], second[rows] = m, v
+            step = np.sqrt(v)
+            step += g.dtype.type(SMALL)
+            np.divide(m, step, out=step)
+            step *= g.dtype.type(scale)
+            self.weights[k][rows] -= step
 
     def train(self, texts: list[np.ndarray], rate: float = RATE) -> None:
         for inputs, targets, valid, _, h, keep in windows(texts, self.weights["state"].shape[0], self.weights["state"].dtype, True):

@@ -8,10 +8,9 @@ _RANDOM = np.random.default_rng(20240229)
 #: A random number for each byte value at each of 64 places of a word.
 _PLACE = _RANDOM.integers(0, 1 << 64, (64, 256), np.uint64).ravel()
 _ODD = _RANDOM.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
+_SPACES = b" \t\n\x0b\x0c\r"
+_IS_WORD = bytes(b not in _SPACES for b in range(256))
+_LOWER = bytes(range(256)).lower()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -26,17 +25,25 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     The second array has one entry more than there are texts.
     """
-    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8) if texts else np.zeros(0, np.uint8)
-    word = ~_SPACE[data]
-    edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
-    starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    data = b" ".join([*texts, b""]) if texts else b""
+    word = np.frombuffer(data.translate(_IS_WORD), bool)
+    edges = np.flatnonzero(word[1:] != word[:-1]) + 1
+    if len(word) and word[0]:
+        edges = np.concatenate([[0], edges])
+    starts, stops = edges[::2], edges[1::2]  # the last byte is a space
     lengths = stops - starts
-    letters = _LOWER[data[word]]
+    letters = np.frombuffer(data.translate(_LOWER, _SPACES), np.uint8)
     first = np.cumsum(lengths) - lengths
-    place = np.arange(len(letters)) - np.repeat(first, lengths)
-    value = _PLACE[((place & 63) << 8) | letters]
-    if len(lengths) and lengths.max() > 64:
-        value *= (place >> 6).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    at = np.arange(0, 256 * len(letters), 256)  # 256 times the place in the word, then also the byte
+    at -= np.repeat(256 * first, lengths)
+    most = int(lengths.max()) if len(lengths) else 0
+    turns = (at >> 14).astype(np.uint64) * np.uint64(2) + np.uint64(1) if most > 64 else None
+    if most > 64:
+        at &= 0x3FFF
+    at |= letters
+    value = _PLACE[at]
+    if turns is not None:
+        value *= turns
     hashes = np.add.reduceat(value, first) if len(first) else np.zeros(0, np.uint64)
     ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, int)
     return mix(hashes + lengths.astype(np.uint64)), np.concatenate([[0], np.searchsorted(starts, ends)])
