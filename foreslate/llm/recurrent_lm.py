@@ -24,8 +24,14 @@ from .shingles import mix, word_hashes
 
 #: Size of the state, fewest known words, steps of a window, lanes, rounds of averaging.
 STATE, WORDS, WINDOW, LANES, ROUNDS = 16, 1024, 32, 512, 2
-#: Targets of one class that are multiplied together, and the bias of places of no word.
-PACK, NEVER = 16, -1e4
+#: Targets of one class that are multiplied together, and from how many a class is multiplied by itself.
+PACK, ALONE = 8, 64
+#: Rows of logits, and numbers of a table, worked on at a time: they stay in a core's cache.
+CHUNK, CACHED = 1024, 1 << 15
+#: Targets scored together; more of a class meet, so fewer places of packs stay empty.
+SCORED = 1 << 17
+#: The bias of places of no word, and the sums of exponentials between which no logit needs to be shifted.
+NEVER, LEAST, MOST = -1e4, 1e-15, 1e15
 #: Known words for each root of the number of training tokens.
 WORDS_BY_ROOT = 4
 #: Learning rate, and bytes of text that are brought into lanes at a time.
@@ -45,13 +51,16 @@ def held_out(doc_id: int | None) -> bool:
 
 
 class Tokens:
-    """Words of a block as hashes, each text closed by its end."""
+    """Words of a block as hashes, each text closed by its end; with ``training``, of its training texts alone."""
 
-    def __init__(self, ids: list[int], sizes: list[int], blob: bytes):
+    def __init__(self, ids: list[int], sizes: list[int], blob: bytes, training: bool = False):
         raw = unpack(blob, sum(sizes))
         self.ids = [None if i == NO_ID else i for i in ids]
-        stops = np.cumsum(sizes).tolist()
-        words, bounds = word_hashes([raw[b - n:b] for n, b in zip(sizes, stops)])
+        texts = [raw[b - n:b] for n, b in zip(sizes, np.cumsum(sizes).tolist())]
+        if training:
+            own = [j for j, i in enumerate(self.ids) if not held_out(i)]
+            self.ids, texts = [self.ids[j] for j in own], [texts[j] for j in own]
+        words, bounds = word_hashes(texts)
         words = np.maximum(words, np.uint64(1))  # 0 is the end's
         self.hashes = np.insert(words, bounds[1:], END_HASH)
         self.bounds = bounds + np.arange(len(bounds))
@@ -76,6 +85,10 @@ class Vocabulary:
         number = np.concatenate([[END], np.arange(2, len(order) + 2)])
         by = np.argsort(known)
         self.known, self.number = known[by], number[by].astype(np.int32)
+        # where the hashes of each beginning start: of mixed hashes hardly two begin alike
+        bits = max(8, len(known).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(self.known >> self.shift, np.arange((1 << bits) + 1)).astype(np.int32)
         self.rare_tokens = max(0, tokens - int(counts.sum()))
         self.rare_types = max(0, types - len(hashes))
 
@@ -83,8 +96,13 @@ class Vocabulary:
         return len(self.counts)
 
     def encode(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[at] == hashes, self.number[at], RARE).astype(np.int32)
+        begins = (hashes >> self.shift).astype(np.intp)
+        at, end = self.starts.take(begins), self.starts.take(begins + 1)
+        found = self.known.take(at, mode="clip") == hashes
+        rest = np.flatnonzero(~found & (end - at > 1))
+        at[rest] = np.searchsorted(self.known, hashes[rest])
+        found[rest] = self.known.take(at[rest], mode="clip") == hashes[rest]
+        return np.where(found, self.number.take(at, mode="clip"), np.int32(RARE))
 
     def rare_log10(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.rare_tokens + 0.5 * (self.rare_types + 1)))
@@ -95,6 +113,11 @@ def _rows(x: np.ndarray) -> np.ndarray:
     return x.transpose(0, 2, 1).reshape(-1, x.shape[1])
 
 
+def _room(steps: int, width: int, lanes: int, dtype) -> np.ndarray:
+    """(steps, width, lanes) that is soon turned: lanes of a power of two would share few places of the cache."""
+    return np.empty((steps, width, lanes + 16), dtype)[:, :, :lanes]
+
+
 def _sorted(words: np.ndarray) -> np.ndarray:
     """The stable order of numbers below 2 ** 32, by halves: these are dealt by value, not compared."""
     by = np.argsort((words & 0xFFFF).astype(np.uint16), kind="stable")
@@ -108,27 +131,41 @@ def _runs(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
     size = np.diff(np.append(first, len(flat)))
     by = np.argsort(-size, kind="stable")
     size, at = size[by], first[by]
-    sums, done = flat[at], 1
+    sums, done = flat.take(at, axis=0), 1
     while (live := int(np.searchsorted(-size, -done))) > 32:
-        sums[:live] += flat[at[:live] + done]
+        sums[:live] += flat.take(at[:live] + done, axis=0)
         done += 1
     for i in range(live):
         sums[i] += np.ones(size[i] - done, flat.dtype) @ flat[at[i] + done:at[i] + size[i]]
-    out = np.empty_like(sums)
-    out[by] = sums
-    return out.reshape(len(first), *rows.shape[1:])
+    back = np.empty_like(by)
+    back[by] = np.arange(len(by))
+    return sums.take(back, axis=0).reshape(len(first), *rows.shape[1:])
 
 
-def _softmax(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of one row of each column, and the gradient of its negative by the logits (in their place)."""
-    columns = np.arange(len(at))
-    logits -= logits.max(axis=0)
-    chosen = logits[at, columns]
-    np.exp(logits, out=logits)
-    total = logits.sum(axis=0)
-    logits *= 1 / total
-    logits[at, columns] -= 1
-    return chosen - np.log(total), logits
+def _choices(table: np.ndarray, states: np.ndarray, parts: tuple, picks: tuple, sums: np.ndarray, shift: bool, learn: bool) -> tuple:
+    """Logits of one pick from each part of a table's rows, a softmax each, by states; ``sums`` takes those of their exponentials.
+
+    With ``learn`` also the gradients of the picks' negative log probability by the table and by the states.
+    ``shift`` takes the largest off first.
+    """
+    e = table @ states.T
+    if shift:
+        for part in parts:
+            e[part] -= e[part].max(axis=0)
+    flat, m = e.reshape(-1), len(states)
+    places = [pick * m + np.arange(part.start * m, part.start * m + m) for part, pick in zip(parts, picks)]
+    logits = flat.take(places[0])
+    for place in places[1:]:
+        logits += flat.take(place)
+    np.exp(e, out=e)
+    for part, total in zip(parts, sums):
+        np.add.reduce(e[part], axis=0, out=total)
+    if not learn:
+        return logits, None, None
+    for part, place, total in zip(parts, places, sums):
+        e[part] *= 1 / total
+        flat[place] -= 1
+    return logits, e @ states, e.T @ table[:, :-1]
 
 
 def _biases(counts: np.ndarray, dtype) -> np.ndarray:
@@ -154,111 +191,150 @@ class Model:
         counts.reshape(-1)[:words] = vocabulary.counts
         rng = np.random.default_rng(1)
         draw = lambda *shape: rng.normal(0, 0.1, shape).astype(dtype)
-        # the biases start as the words' own frequencies, so training starts at the unigram model
+        # the biases, last in a row, start as the words' own frequencies, so training starts at the unigram model
+        ended = lambda rows, biases: np.concatenate([rows * dtype(0.1), biases[..., None]], axis=-1)
         self.weights = {
             "input": draw(words, 3 * state), "state": draw(state, 3 * state) * dtype(3),
-            "group": draw(state, groups) * dtype(0.1), "group_bias": _biases(counts.sum(axis=(1, 2)), dtype),
-            "class": draw(groups, self.wide, state) * dtype(0.1), "class_bias": _biases(counts.sum(axis=2), dtype),
-            "word": draw(groups * self.wide, self.size, state) * dtype(0.1),
-            "word_bias": _biases(counts, dtype).reshape(-1, self.size),
+            "group": ended(draw(state, groups).T, _biases(counts.sum(axis=(1, 2)), dtype)),
+            "class": ended(draw(groups, self.wide, state), _biases(counts.sum(axis=2), dtype)),
+            "word": ended(draw(groups * self.wide, self.size, state), _biases(counts, dtype).reshape(-1, self.size)),
         }
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.weights.items()}
         self.steps = 0
 
-    def run(self, inputs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    def run(self, inputs: np.ndarray, h: np.ndarray, learn: bool = True) -> tuple[np.ndarray, ...]:
         """States of a window of inputs (steps, lanes); the state is cleared where a text begins.
 
         ``h`` is (lanes, state).  Arrays (steps, ..., lanes), lanes side by side in memory: state before, both
-        gates, the candidate's part from the state, the candidate, and the state after.
+        gates, the candidate's part from the state, the candidate, and the state after; without ``learn`` the
+        others than the last are of one step.
         """
         w, n = self.weights, h.shape[1]
         steps, lanes = inputs.shape
-        given = np.ascontiguousarray(w["input"][inputs].transpose(0, 2, 1))
         stays = (inputs != END).astype(h.dtype)[:, None, :]
         turn = np.ascontiguousarray(w["state"].T)
         h = np.ascontiguousarray(h.T)
-        before, part, new, after = (np.empty((steps, n, lanes), h.dtype) for _ in range(4))
-        gates, own = np.empty((steps, 2 * n, lanes), h.dtype), np.empty((3 * n, lanes), h.dtype)
+        kept = steps if learn else 1
+        before, part, new = (np.empty((kept, n, lanes), h.dtype) for _ in range(3))
+        after, gates = np.empty((steps, n, lanes), h.dtype), np.empty((kept, 2 * n, lanes), h.dtype)
+        own, given = np.empty((3 * n, lanes), h.dtype), np.empty((3 * n, lanes), h.dtype)
         for t in range(steps):
-            np.multiply(h, stays[t], out=before[t])
-            np.matmul(turn, before[t], out=own)
-            zr = np.add(own[:2 * n], given[t, :2 * n], out=gates[t])
+            k = t % kept
+            np.copyto(given, w["input"].take(inputs[t], axis=0).T)
+            np.multiply(h, stays[t], out=before[k])
+            np.matmul(turn, before[k], out=own)
+            zr = np.add(own[:2 * n], given[:2 * n], out=gates[k])
             np.negative(zr, out=zr)
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            part[t] = own[2 * n:]
-            np.multiply(zr[n:], part[t], out=new[t])
-            new[t] += given[t, 2 * n:]
-            np.tanh(new[t], out=new[t])
-            h = np.subtract(before[t], new[t], out=after[t])
+            part[k] = own[2 * n:]
+            np.multiply(zr[n:], part[k], out=new[k])
+            new[k] += given[2 * n:]
+            np.tanh(new[k], out=new[k])
+            h = np.subtract(before[k], new[k], out=after[t])
             h *= zr[:n]
-            h += new[t]
+            h += new[k]
         return before, gates, part, new, after
 
-    def _outputs(self, states: np.ndarray, targets: np.ndarray, grads: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
+    @np.errstate(over="ignore", divide="ignore", invalid="ignore")
+    def _outputs(self, states: np.ndarray, targets: np.ndarray, grads: dict | None, shift: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probabilities of the targets; with ``grads``, also the gradient of their negative sum by the states.
 
-        Targets are sorted once: a group's and a class's are then runs.  Those of a class are laid in packs of
-        PACK rows, so all classes are multiplied together.
+        Targets are sorted once: a group's and a class's are then runs.  A group and its classes are chosen from
+        together; so are the words of a class with many targets, and those of all other classes in packs.
+        Only where a sum of exponentials leaves the range in which floats keep their digits, all is done
+        again with ``shift``: the largest logit is taken off each.
         """
-        w, n = self.weights, states.shape[1]
+        w, n, learn = self.weights, states.shape[1], grads is not None
         by = _sorted(targets)
-        s, words = states[by], targets[by]
+        words = targets.take(by)
+        s = np.ones((len(by), n + 1), states.dtype)  # the last are the biases'
+        s[:, :n] = states.take(by, axis=0)
         classes = words // self.size
-        groups = classes // self.wide
-        turned = np.ascontiguousarray(s.T)
-        logits = w["group"].T @ turned
-        logits += w["group_bias"][:, None]
-        logs, e = _softmax(logits, groups)
-        back = None
-        if grads is not None:
-            back = (w["group"] @ e).T.copy()
-            grads["group"] = slice(None), turned @ e.T
-            grads["group_bias"] = slice(None), e.sum(axis=1)
-            by_class, by_class_bias = np.zeros_like(w["class"]), np.zeros_like(w["class_bias"])
-        cuts = np.searchsorted(groups, np.arange(len(w["class"]) + 1))
-        for g in np.flatnonzero(cuts[1:] > cuts[:-1]):
-            lo, hi = cuts[g], cuts[g + 1]
-            logits = w["class"][g] @ turned[:, lo:hi]
-            logits += w["class_bias"][g][:, None]
-            found, e = _softmax(logits, classes[lo:hi] - g * self.wide)
-            logs[lo:hi] += found
-            if grads is not None:
-                back[lo:hi] += e.T @ w["class"][g]
-                by_class[g], by_class_bias[g] = e @ s[lo:hi], e.sum(axis=1)
+        slot = words - classes * self.size
+        logs, sums = np.empty(len(by), s.dtype), np.empty((3, len(by)), s.dtype)
+        back = np.empty((len(by), n), s.dtype) if learn else None
+        groups, wide = w["class"].shape[:2]
+        by_group, by_class = np.zeros_like(w["group"]), np.zeros_like(w["class"])
+        cuts = np.searchsorted(classes, np.arange(groups + 1) * wide).tolist()
+        for g, (begin, end) in enumerate(zip(cuts, cuts[1:])):
+            table = np.concatenate([w["group"], w["class"][g]])
+            for lo in range(begin, end, CHUNK):
+                own = slice(lo, min(lo + CHUNK, end))
+                logs[own], by_table, by_state = _choices(
+                    table, s[own], (slice(0, groups), slice(groups, groups + wide)), (g, classes[own] - g * wide), sums[:2, own], shift, learn)
+                if learn:
+                    back[own] = by_state
+                    by_group += by_table[:groups]
+                    by_class[g] += by_table[groups:]
         first = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))[:len(classes)]
         count = np.diff(np.append(first, len(classes)))
-        packs = -(-count // PACK)
-        start = np.cumsum(packs) - packs
-        at = np.arange(len(classes)) + np.repeat(start * PACK - first, count)
-        packed = np.zeros((int(packs.sum()) * PACK, n), s.dtype)
-        packed[at] = s
-        packed = packed.reshape(-1, PACK, n)
-        own = np.repeat(classes[first], packs)
-        table = w["word"][own]
-        e = packed @ table.transpose(0, 2, 1)
-        e += w["word_bias"][own][:, None, :]
-        e -= e.max(axis=2, keepdims=True)
-        rows = e.reshape(-1, self.size)
-        slot = words - classes * self.size
-        logs += rows[at, slot]
-        np.exp(e, out=e)
-        total = rows @ np.ones(self.size, rows.dtype)
-        logs -= np.log(total[at])
-        if grads is not None:
-            share = np.zeros_like(total)
-            share[at] = 1 / total[at]
-            rows *= share[:, None]
-            rows[at, slot] -= 1
-            back += (e @ table).reshape(-1, n)[at]
-            hit = classes[first]
-            grads["class"], grads["class_bias"] = (slice(None), by_class), (slice(None), by_class_bias)
-            grads["word"] = hit, _runs(e.transpose(0, 2, 1) @ packed, start)
-            grads["word_bias"] = hit, _runs(np.ones(PACK, e.dtype) @ e, start)
-            back[by] = back.copy()
-        logs[by] = logs.copy()
-        return logs, back
+        hit = classes[first]
+        by_word = np.zeros((len(hit), *w["word"].shape[1:]), s.dtype) if learn else None
+        for i in np.flatnonzero(count >= ALONE).tolist():
+            end = first[i] + count[i]
+            for lo in range(first[i], end, CHUNK):
+                own = slice(lo, min(lo + CHUNK, end))
+                found, by_table, by_state = _choices(
+                    w["word"][hit[i]], s[own], (slice(0, self.size),), (slot[own],), sums[2:, own], shift, learn)
+                logs[own] += found
+                if learn:
+                    back[own] += by_state
+                    by_word[i] += by_table
+        few = count < ALONE
+        if few.any():
+            place, found, totals, by_state, by_few = self._packed(s, slot, hit[few], first[few], count[few], shift, learn)
+            logs[place] += found
+            sums[2, place] = totals
+            if learn:
+                back[place] += by_state
+                by_word[few] = by_few
+        if not shift and len(by) and not (LEAST < sums.min() and sums.max() < MOST):
+            return self._outputs(states, targets, grads, True)
+        logs -= np.log(sums).sum(axis=0)
+        if learn:
+            grads["group"], grads["class"], grads["word"] = (slice(None), by_group), (slice(None), by_class), (hit, by_word)
+        at = np.empty_like(by)
+        at[by] = np.arange(len(by))
+        return logs.take(at), back.take(at, axis=0) if learn else None
+
+    def _packed(self, s: np.ndarray, slot: np.ndarray, hit: np.ndarray, first: np.ndarray, count: np.ndarray,
+                shift: bool, learn: bool) -> tuple:
+        """The words of classes ``hit`` in packs of PACK targets, which are the sorted ones from ``first``.
+
+        Returns the targets' places, logits and sums, and with ``learn`` gradients by their states and by the classes' words.
+        """
+        n, packs, before = s.shape[1] - 1, -(-count // PACK), np.cumsum(count) - count
+        start, every = np.cumsum(packs) - packs, np.arange(int(count.sum()))
+        place, at = every + np.repeat(first - before, count), every + np.repeat(start * PACK - before, count)
+        own = np.repeat(hit, packs)
+        packed = np.zeros((len(own) * PACK, n + 1), s.dtype)
+        packed[at] = s.take(place, axis=0)
+        packed = packed.reshape(-1, PACK, n + 1)
+        pick = np.arange(len(own) * PACK) % CHUNK * self.size  # within its chunk
+        pick[at] += slot[place]
+        logits, sums, ones = np.empty(len(pick), s.dtype), np.empty(len(pick), s.dtype), np.ones(self.size, s.dtype)
+        if learn:
+            by_state, by_pack = np.empty((len(pick), n), s.dtype), np.empty((len(own), self.size, n + 1), s.dtype)
+        for a in range(0, len(own), CHUNK // PACK):
+            part = slice(a, min(a + CHUNK // PACK, len(own)))
+            rows = slice(part.start * PACK, part.stop * PACK)
+            table = self.weights["word"].take(own[part], axis=0)
+            e = packed[part] @ table.transpose(0, 2, 1)
+            if shift:
+                e -= e.max(axis=2, keepdims=True)
+            flat = e.reshape(-1, self.size)
+            logits[rows] = flat.take(pick[rows])
+            np.exp(e, out=e)
+            np.matmul(flat, ones, out=sums[rows])
+            if learn:
+                flat *= (1 / sums[rows])[:, None]
+                flat.reshape(-1)[pick[rows]] -= 1
+                by_state[rows] = (e @ table[:, :, :n]).reshape(-1, n)
+                np.matmul(e.transpose(0, 2, 1), packed[part], out=by_pack[part])
+        told = place, logits.take(at), sums.take(at)
+        return *told, *((by_state.take(at, axis=0), _runs(by_pack, start)) if learn else (None, None))
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, h: np.ndarray) -> tuple[float, dict, np.ndarray]:
         """Negative log likelihood of the valid targets of a window, its gradients in full, and the last state."""
@@ -273,11 +349,15 @@ class Model:
         w, n = self.weights, h.shape[1]
         grads: dict[str, tuple] = {}
         before, gates, part, new, after = self.run(inputs, h)
-        flat = valid.ravel()
-        logs, found = self._outputs(_rows(after)[flat], targets.ravel()[flat], grads)
-        back = np.zeros((len(flat), n), h.dtype)
-        back[flat] = found
-        back = np.ascontiguousarray(back.reshape(*inputs.shape, n).transpose(0, 2, 1))
+        rows, y, flat = _rows(after), targets.ravel(), valid.ravel()
+        if flat.all():
+            logs, rows = self._outputs(rows, y, grads)
+        else:
+            logs, found = self._outputs(rows[flat], y[flat], grads)
+            rows = np.zeros_like(rows)
+            rows[flat] = found
+        back = _room(len(inputs), n, inputs.shape[1], h.dtype)
+        back[:] = rows.reshape(*inputs.shape, n).transpose(0, 2, 1)
         z, r = gates[:, :n], gates[:, n:]
         # what each gate's gradient is of the state's, for all steps at once
         by_new = (1 - z) * (1 - new * new)
@@ -285,7 +365,7 @@ class Model:
         by_r = part * r * (1 - r)
         stays = (inputs != END).astype(h.dtype)[:, None, :]
         later = np.zeros_like(after[0])
-        via = np.empty((len(inputs), 3 * n, inputs.shape[1]), h.dtype)  # gradients by what the state gives to the gates
+        via = _room(len(inputs), 3 * n, inputs.shape[1], h.dtype)  # gradients by what the state gives to the gates
         dnew = np.empty_like(after)
         for t in range(len(inputs) - 1, -1, -1):
             dh = np.add(back[t], later, out=back[t])
@@ -300,8 +380,9 @@ class Model:
         via[:, 2 * n:] = dnew
         x = inputs.ravel()
         by = _sorted(x)
-        first = np.flatnonzero(np.concatenate([[True], x[by][1:] != x[by][:-1]]))
-        grads["input"] = x[by][first], _runs(_rows(via)[by], first)
+        x = x.take(by)
+        first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        grads["input"] = x[first], _runs(_rows(via).take(by, axis=0), first)
         return -float(logs.sum()), grads, after[-1].T
 
     def update(self, grads: dict, count: int, rate: float) -> None:
@@ -309,19 +390,27 @@ class Model:
         a single long text that outlasts the other lanes must not turn the model to itself."""
         self.steps += 1
         scale = rate * min(1.0, count / (WINDOW * LANES)) * np.sqrt(1 - 0.999 ** self.steps) / (1 - 0.9 ** self.steps)
-        for k, (rows, g) in grads.items():  # the rest of a table stays, its moments too
-            g = g / g.dtype.type(count)
-            first, second = self.moments[k]
-            m, v = first[rows], second[rows]
-            m += (g - m) * g.dtype.type(0.1)
-            v += (g * g - v) * g.dtype.type(0.001)
-            if not isinstance(rows, slice):
-                first[rows], second[rows] = m, v
-            step = np.sqrt(v)
-            step += g.dtype.type(SMALL)
-            np.divide(m, step, out=step)
-            step *= g.dtype.type(scale)
-            self.weights[k][rows] -= step
+        for k, (rows, every) in grads.items():  # the rest of a table stays, its moments too
+            table, (first, second), whole = self.weights[k], self.moments[k], isinstance(rows, slice)
+            size = max(1, CACHED * len(table) // table.size)
+            for a in range(0, len(every), size):
+                own = slice(a, a + size) if whole else rows[a:a + size]
+                g = every[a:a + size] / every.dtype.type(count)
+                m, v = (x[own] if whole else x.take(own, axis=0) for x in (first, second))
+                m += (g - m) * g.dtype.type(0.1)
+                g *= g
+                g -= v
+                g *= g.dtype.type(0.001)
+                v += g
+                step = np.sqrt(v)
+                step += g.dtype.type(SMALL)
+                np.divide(m, step, out=step)
+                step *= g.dtype.type(scale)
+                if whole:
+                    table[own] -= step
+                else:
+                    for x, y in ((first, m), (second, v), (table, table.take(own, axis=0) - step)):
+                        x.reshape(len(x), -1)[own] = y.reshape(len(y), -1)
 
     def train(self, texts: list[np.ndarray], rate: float = RATE) -> None:
         for inputs, targets, valid, _, h, keep in windows(texts, self.weights["state"].shape[0], self.weights["state"].dtype, True):
@@ -331,13 +420,24 @@ class Model:
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural log likelihood of each text, its state carried over all its windows."""
-        total = np.zeros(len(texts))
+        total, held, size = np.zeros(len(texts)), [], 0
+
+        def settle() -> None:
+            states, targets, owners = (np.concatenate(x) for x in zip(*held))
+            total[:] += np.bincount(owners, weights=self._outputs(states, targets, None)[0], minlength=len(texts))
+            held.clear()
+
         for inputs, targets, valid, owner, h, keep in windows(texts, self.weights["state"].shape[0], self.weights["state"].dtype):
-            after = self.run(inputs, h)[-1]
-            flat = valid.ravel()
-            logs, _ = self._outputs(_rows(after)[flat], targets.ravel()[flat], None)
-            total += np.bincount(owner.ravel()[flat], weights=logs, minlength=len(texts))
+            after = self.run(inputs, h, learn=False)[-1]
             keep(after[-1].T)
+            flat = np.flatnonzero(valid)
+            held.append((_rows(after).take(flat, axis=0), targets.ravel().take(flat), owner.ravel().take(flat)))
+            size += len(held[-1][0])
+            if size >= SCORED:
+                settle()
+                size = 0
+        if held:
+            settle()
         return total
 
     def flat(self) -> np.ndarray:
@@ -391,8 +491,8 @@ def windows(texts: list[np.ndarray], state: int, dtype, cut: bool = False) -> It
         step = np.arange(at, min(at + most, lengths[0]))[:, None]
         at += most
         valid = step < lengths[:n]
-        place = np.where(valid, starts[:n] + step, 0)
-        x, y, own = (np.where(valid, v[place], 0) for v in (given, every, owners))
+        place = (starts[:n] + step) * valid
+        x, y, own = (v.take(place) * valid for v in (given, every, owners))
         yield x, y, valid, own, h[:n], lambda last: held.__setitem__("h", last)
         h = held["h"]
 
@@ -532,9 +632,9 @@ def train_round(blocks: DataFrame, vocabulary, flat, number: int, rounds: int) -
         for rows in _grouped(batches):
             texts = []
             for row in rows:
-                told = Tokens(row["ids"], row["sizes"], row["blob"])
+                told = Tokens(row["ids"], row["sizes"], row["blob"], training=True)
                 coded = words.encode(told.hashes)
-                texts += [coded[a:b] for a, b, t in zip(told.bounds[:-1], told.bounds[1:], told.trained) if t]
+                texts += [coded[a:b] for a, b in zip(told.bounds[:-1], told.bounds[1:])]
             model.train(texts)
             seen += sum(map(len, texts))
         if seen:
