@@ -28,6 +28,8 @@ STATE, WORDS, WINDOW, LANES, ROUNDS = 16, 1024, 32, 512, 2
 PACK, ALONE = 8, 64
 #: Rows of logits, and numbers of a table, worked on at a time: they stay in a core's cache.
 CHUNK, CACHED = 1024, 1 << 15
+#: Bytes of text whose words are hashed at a time, for the same reason.
+HASHED = 1 << 17
 #: Targets scored together; more of a class meet, so fewer places of packs stay empty.
 SCORED = 1 << 17
 #: The bias of places of no word, and the sums of exponentials between which no logit needs to be shifted.
@@ -50,6 +52,20 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
 
+def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The same as ``word_hashes``, HASHED bytes or one long text at a time."""
+    told, size, begin = [], 0, 0
+    for i, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= HASHED or i == len(texts):
+            told.append(word_hashes(texts[begin:i]))
+            size, begin = 0, i
+    if not told:
+        return word_hashes(texts)
+    counts = np.concatenate([np.diff(bounds) for _, bounds in told])
+    return np.concatenate([words for words, _ in told]), np.concatenate([[0], np.cumsum(counts)])
+
+
 class Tokens:
     """Words of a block as hashes, each text closed by its end; with ``training``, of its training texts alone."""
 
@@ -60,7 +76,7 @@ class Tokens:
         if training:
             own = [j for j, i in enumerate(self.ids) if not held_out(i)]
             self.ids, texts = [self.ids[j] for j in own], [texts[j] for j in own]
-        words, bounds = word_hashes(texts)
+        words, bounds = _hashed(texts)
         words = np.maximum(words, np.uint64(1))  # 0 is the end's
         self.hashes = np.insert(words, bounds[1:], END_HASH)
         self.bounds = bounds + np.arange(len(bounds))
@@ -701,11 +717,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     p = answer["part"]
                     count[by[ends[p]:ends[p + 1]]] = np.frombuffer(answer["counts"], np.int64)
                 coded, first = known.encode(own), told.bounds[:-1]
-                sums = lambda x: np.add.reduceat(x[at], first) if len(first) else np.zeros(0)
+                sums = lambda x: np.add.reduceat(x.take(at), first) if len(first) else np.zeros(0)
                 base = sums(np.log10((count + 0.5) / norm))
                 rare = sums(np.where(coded == RARE, known.rare_log10(count), 0.0))
                 seen = sums((count > 0).astype(np.int64))
-                tokens = coded[at]
+                tokens = coded.take(at)
                 texts += [tokens[a:b] for a, b in zip(told.bounds[:-1], told.bounds[1:])]
                 out += list(zip(told.ids, (~told.trained).tolist(), told.lengths.tolist(), seen.tolist(), base.tolist(), rare.tolist()))
             logs = model.score(texts) / np.log(10)

@@ -96,3 +96,10 @@ def test_training_reads_its_own_texts():
     cut = [every.hashes[a:b].tolist() for a, b in zip(every.bounds, every.bounds[1:])]
     assert [own.hashes[a:b].tolist() for a, b in zip(own.bounds, own.bounds[1:])] == [c for c, t in zip(cut, every.trained) if t]
     assert own.trained.all() and len(own.ids) == int(every.trained.sum())
+
+
+@pytest.mark.parametrize("texts", [[], [b""], [b"", b"a  b" * 50, b"", b"c", b" "], [b"x y " * 9] * 30 + [b"", b"z"]])
+def test_words_hashed_in_parts_are_the_same(monkeypatch, texts):
+    monkeypatch.setattr(R, "HASHED", 40)
+    for told, want in zip(R._hashed(texts), R.word_hashes(texts)):
+        assert told.tolist() == want.tolist()
