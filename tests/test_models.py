@@ -161,3 +161,43 @@ def test_linear_parts_of_the_winner_grow_no_tree(monkeypatch, spark):
     monkeypatch.setattr(M, "boosted", refuse)
     for key in ("m1_winner_logistic", "m4_market_curve"):
         assert REGISTRY[key].run(spark, SMALL).count() > 1
+
+
+def test_a_slate_with_both_forests_is_scored_in_bounded_time(spark):
+    """Both forecasts in one plan copied their formulas at each use: the plan did not end, whatever the rows."""
+    import signal
+
+    import pandas as pd
+
+    rng, n = np.random.default_rng(12), 800
+    names = dict.fromkeys((*K.WINNER_FEATURES, *K.PASSER_FEATURES, *K.TOTAL_FEATURES))
+    home, away = rng.integers(10, 40, n).astype(float), rng.integers(10, 40, n).astype(float)
+    away += home == away
+    data = pd.DataFrame({
+        "game_id": np.arange(n), "season": 1995 + np.arange(n) // 200, "week": 1 + np.arange(n) % 200 // 20, "home_team": "a", "away_team": "b",
+        "kickoff": pd.Timestamp("1995-01-01") + pd.to_timedelta(np.arange(n), "h"), "completed": True, "home_score": home, "away_score": away,
+        "margin": home - away, "home_win": (home > away).astype(float), "market_spread": rng.normal(size=n) * 5 + (home - away) / 3,
+        "market_total": 50.0 + np.arange(n) % 7, "home_moneyline": -120.0, "away_moneyline": 110.0,
+        "first_half_total": (home + away) / 2, "first_half_margin": (home - away) / 2, "elo_prob_home": 0.5,
+        **{f: rng.normal(size=n) for f in names}})
+    features = spark.createDataFrame(data)
+
+    def late(*_):
+        raise TimeoutError("the slate was not scored in time")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(200)
+    try:
+        told = WF.predict_slate(features, 1998, 10, WF.ReplayOptions(boost=M.Boost(rounds=2)))
+        rows = {r["game_id"]: r for r in told.slate.collect()}
+        points = told.points.count()
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+    assert sorted(rows) == list(range(780, 800)) and points > 0
+    assert told.winner.boost is not None and told.total.boost is not None
+    slate = features.where("game_id >= 780")
+    for r in told.total.predict(slate).select("game_id", "pred_total").collect():
+        assert rows[r["game_id"]]["pred_total"] == pytest.approx(r["pred_total"], abs=1e-12)
+    for r in told.winner.predict(slate).select("game_id", "prob_home", "pred_margin").collect():
+        assert [rows[r["game_id"]][c] for c in ("prob_home", "pred_margin")] == pytest.approx([r["prob_home"], r["pred_margin"]], abs=1e-12)
