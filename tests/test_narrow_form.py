@@ -29,3 +29,22 @@ def test_linear_fits_read_a_part_of_the_feature_table(spark):
     full = frames.features(fx).select(part.columns)
     assert part.count() == full.count() > 0
     assert _rounded(part).exceptAll(_rounded(full)).isEmpty()
+
+
+def test_tables_on_the_way_to_the_feature_table_are_deleted(spark):
+    """Scans, ratings and terms used to stay beside the table they led to."""
+    import os
+
+    from foreslate.sources import store
+
+    def kept():
+        folder = store.run_folder(spark).removeprefix("file://").removeprefix("file:")
+        return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+    fx = Fixture(spark, SMALL)
+    fx.__dict__["_shared"] = {}
+    inputs = fx.games, frames.team_games(fx), fx.player_weeks  # noqa: F841 - made before, and kept
+    before = kept()
+    table = frames.model_inputs(fx)
+    assert [name.rsplit("-", 1)[0] for name in kept() - before] == ["frame"]
+    assert table.count() == fx.games.count()
